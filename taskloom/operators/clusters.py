@@ -169,7 +169,7 @@ def _leader_fold(options: ClusterOptions):
     threshold = options.similarity_threshold
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start_time", "ms", "seq"], kind="stable")
+        frame = frame.sort_values(["start_time", "ms", "seq"], kind="stable", ignore_index=True)
         actions, contexts = _Shapes(), _Shapes()
         tokens: list = []
         minutes, lengths = array("q"), array("q")
@@ -246,7 +246,7 @@ def _leader_fold(options: ClusterOptions):
                 "descriptor": frame["descriptor"],
                 "cluster_seq": [founders[c] for c in assigned],
                 "settled_seq": [founders[home[d]] for d in numbers],
-                "open": [not settled[d] for d in numbers] & (frame["copies"] > frame["taken"]),
+                "open": np.array([not settled[d] for d in numbers]) & (frame["copies"] > frame["taken"]),
             }
         )
 
@@ -583,7 +583,7 @@ def cluster_similarity(members: DataFrame, chosen: DataFrame, options: ClusterOp
         .groupBy(*CLUSTER)
         .agg(
             *[
-                (F.sum(F.col(k) * n) / F.sum(n)).alias(k)
+                (F.sum(F.col(k) * n) / F.sum(n)).alias(f"mean_{k}")
                 for k in ("sequence", "action_set", "context", "time_of_day", "composite")
             ]
         )
@@ -659,7 +659,7 @@ def summarize_clusters(
     concentration = F.get("top_variants", 0)["occurrence_count"] / F.greatest(F.lit(1), size)
     repetition = F.least(F.lit(1.0), size / F.lit(5))
     confidence = (
-        F.col("composite") * F.lit(cw.composite)
+        F.col("mean_composite") * F.lit(cw.composite)
         + concentration * F.lit(cw.top_variant)
         + repetition * F.lit(cw.repetition)
     )
@@ -680,7 +680,7 @@ def summarize_clusters(
             fixed(cw.repetition).alias("repetition"),
         ).alias("confidence_weights"),
         *[
-            round_score(F.col(k)).alias(f"average_{k}_similarity")
+            round_score(F.col(f"mean_{k}")).alias(f"average_{k}_similarity")
             for k in ("sequence", "action_set", "context", "time_of_day", "composite")
         ],
         round_score(concentration).alias("top_variant_concentration"),
