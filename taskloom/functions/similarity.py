@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs_length(left, right) -> int:
@@ -39,7 +40,7 @@ def sequence_score(left, right) -> float:
     return lcs_length(left, right) / max(a, b) * 0.75 + shared * 0.25
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     known: dict = {}
     scores = []
@@ -51,7 +52,7 @@ def sequence_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(scores, dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_of(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x, y) for x, y in zip(left, right)], dtype="int32")
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import has_text, stable_id
 from ..schema import FEEDBACK_FIELDS
 
-WHEN = F.struct("created_at", "id")
-
 
 def latest_values() -> list[Column]:
     """The latest non-null value of every field."""

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null, canonical_timestamp, iso_utc
 from ..functions.urls import canonical_fields
@@ -47,7 +48,7 @@ def _redacted_text(text: str) -> str:
     return json.dumps(_redact(free), separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _redact_json(texts: pd.Series) -> pd.Series:
     return texts.map(_redacted_text, na_action="ignore")
 
