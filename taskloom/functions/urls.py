@@ -260,13 +260,11 @@ def segment_slot(segment: Column) -> Column:
     )
 
 
-def route_taxonomy(url: Column) -> Column:
-    """Route facts of a page, from its ``#`` route if it has one, else its path."""
-    parts = parse_url(url)
-    parsed = F.when(parts.isNotNull(), url_fields(parts))
+def with_route_taxonomy(pages):
+    """Add ``route_taxonomy``: facts of the ``#`` route if a page has one, else of its path."""
+    parts, parsed = F.col("_parts"), F.col("_parsed")
     route = F.regexp_extract(parsed["fragment"], "^!?([^?]*)", 1)
-    hash_route = F.when(route != "", F.when(route.startswith("/"), route).otherwise(F.concat(F.lit("/"), route)))
-    source = F.when(hash_route.isNotNull(), F.lit("hash")).otherwise(F.lit("pathname"))
+    rooted = F.when(route.startswith("/"), route).otherwise(F.concat(F.lit("/"), route))
 
     def normalize(raw: Column) -> Column:
         decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
@@ -274,19 +272,29 @@ def route_taxonomy(url: Column) -> Column:
         word = F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "_"), F.lit("_"))
         return F.coalesce(segment_slot(s), F.nullif(word, F.lit("")), F.lit("segment"))
 
-    segments = F.transform(path_segments(F.coalesce(hash_route, parsed["path"])), normalize)
-    return F.when(
-        parsed.isNotNull(),
-        F.struct(
-            source.alias("source"),
-            F.concat(source, F.lit(":"), as_path(segments)).alias("signature"),
-            as_path(segments).alias("route_template"),
-            F.size(segments).cast("long").alias("depth"),
-            F.get(segments, 0).alias("primary_section"),
-            F.get(segments, 1).alias("secondary_section"),
-            F.try_element_at(segments, F.lit(-1)).alias("leaf_section"),
-            F.size(F.filter(segments, lambda s: s.startswith("{")))
-            .cast("long")
-            .alias("dynamic_segment_count"),
-        ),
+    segments, source = F.col("_segments"), F.col("_source")
+    facts = F.struct(
+        source.alias("source"),
+        F.concat(source, F.lit(":"), as_path(segments)).alias("signature"),
+        as_path(segments).alias("route_template"),
+        F.size(segments).cast("long").alias("depth"),
+        F.get(segments, 0).alias("primary_section"),
+        F.get(segments, 1).alias("secondary_section"),
+        F.try_element_at(segments, F.lit(-1)).alias("leaf_section"),
+        F.size(F.filter(segments, lambda s: s.startswith("{")))
+        .cast("long")
+        .alias("dynamic_segment_count"),
+    )
+    return (
+        pages.withColumn("_parts", parse_url(F.col("url")))
+        .withColumn("_parsed", F.when(parts.isNotNull(), url_fields(parts)))
+        .withColumns(
+            {
+                "_source": F.when(route != "", F.lit("hash")).otherwise(F.lit("pathname")),
+                "_path": F.when(route != "", rooted).otherwise(parsed["path"]),
+            }
+        )
+        .withColumn("_segments", F.transform(path_segments(F.col("_path")), normalize))
+        .withColumn("route_taxonomy", F.when(parts.isNotNull(), facts))
+        .drop("_parts", "_parsed", "_source", "_path", "_segments")
     )

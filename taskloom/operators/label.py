@@ -133,7 +133,7 @@ def _rule_test(rule: ActionRule) -> Column:
 
 def matched_rule_number(packs=ACTION_PACKS) -> Column:
     """1-based rank of the best matching rule, NULL if none."""
-    chain = None
+    chain = F.lit(None).cast("int") if not packs else None
     for number, (_, rule) in enumerate(ranked_rules(packs), start=1):
         test, value = _rule_test(rule), F.lit(number)
         chain = F.when(test, value) if chain is None else chain.when(test, value)
@@ -281,8 +281,9 @@ def label_in_context(events: DataFrame, packs=ACTION_PACKS) -> DataFrame:
     """Label events that already carry their neighbours."""
     signal = _guess(F.lit("calendar_signal"), 1.0, "generic", "calendar_signal", source="rule")
     numbered = _with_rule_inputs(events).withColumn("_rule", matched_rule_number(packs))
+    ruled = [F.try_element_at(rule_table(packs), F.col("_rule"))] if packs else []
     chosen = F.coalesce(
-        F.try_element_at(rule_table(packs), F.col("_rule")),
+        *ruled,
         F.when(is_calendar_signal(F.col("calendar_signal")), signal),
         fallback_action(),
     )
