@@ -1,2 +1,2 @@
-from . import events, workflows  # noqa: F401
+from . import events, reports, workflows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

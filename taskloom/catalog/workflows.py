@@ -454,7 +454,7 @@ facts AS (SELECT *, CASE WHEN grade = 'low' THEN 'Manual review before automatio
     len(list_filter(involved, lambda a: a NOT IN ('chrome', 'safari', 'firefox'))) = 0 AS browser_only,
     len(list_filter(actions, lambda a: regexp_matches(a, '^(edit|update|verify|review)_'))) > 0 AS structured FROM facts2)"""
 
-_HUMAN = "array_to_string(list_transform(string_split(trim(regexp_replace({0}, '[._-]+', ' ', 'g')), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
+_HUMAN = "replace(array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace({0}, '[._-]+', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' '), '{{id}}', '{{Id}}')"
 
 
 @query(
