@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clusters import describe_sessions
-from ..operators.label import label_events, with_nearby_context
+from ..operators.label import label_raw_events, spread_over_slices, with_nearby_context
 from ..operators.normalize import normalize_events
 from ..operators.sessions import assign_sessions, roll_up_sessions
 from ..options import AnalyzeOptions
@@ -45,12 +45,16 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_nearby_context(normalized(spark, sf_dir), OPTIONS.labels)
+    spread = spread_over_slices(raw(spark, sf_dir), OPTIONS.labels)
+    return with_nearby_context(normalize_events(spread, OPTIONS.urls), OPTIONS.labels)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
-        spark, sf_dir, "labelled", lambda: label_events(normalized(spark, sf_dir), OPTIONS.labels)
+        spark,
+        sf_dir,
+        "labelled",
+        lambda: label_raw_events(raw(spark, sf_dir), OPTIONS.labels, OPTIONS.urls),
     )
 
 

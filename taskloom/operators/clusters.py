@@ -25,6 +25,7 @@ from ..functions.text import (
 )
 from ..options import ClusterOptions, ShortFormOptions
 from ..plans.materialize import materialize
+from ..plans.slices import in_stream_order
 from ..rules import vocabulary as V
 from .sessions import SESSION
 
@@ -155,102 +156,120 @@ class _Shapes:
         return np.divide(shared, union, out=np.ones_like(shared), where=union > 0)
 
 
-def _leader_fold(options: ClusterOptions):
-    """The sequential rule, run over the first occurrences of each distinct descriptor.
+class _Leaders:
+    """The sequential rule for one group, fed the first copies of each descriptor.
 
     A session joins the cluster with the best mean of its two nearest members, if that
     reaches the threshold. Once a descriptor has two members in a cluster, every later
     copy scores the maximum there, and a third copy changes no score. So later copies
     neither need to be looked at nor influence anything.
     """
+
+    def __init__(self, weights, threshold: float):
+        self.weights, self.threshold = weights, threshold
+        self.actions, self.contexts = _Shapes(), _Shapes()
+        self.tokens: list = []
+        self.minutes, self.lengths = array("q"), array("q")
+        self.number: dict = {}
+        self.sequence: dict = {}
+        self.members: list[list[int]] = []  # per cluster: descriptors, each at most twice
+        self.founders: list[int] = []
+        self.flat_cluster, self.flat_descriptor = array("q"), array("q")
+        self.home: dict = {}
+        self.placed: list = []
+
+    def _best(self, me: int, row) -> int | None:
+        w, threshold = self.weights, self.threshold
+        clusters = np.frombuffer(self.flat_cluster, dtype=np.int64)
+        nearby = np.frombuffer(self.flat_descriptor, dtype=np.int64)
+        shared = self.actions.overlap(row.action_set)
+        apart = np.abs(np.frombuffer(self.minutes, dtype=np.int64) - int(row.start_minute))
+        day = np.maximum(0, 1 - np.minimum(apart, 1440 - apart) / 720)
+        size, own = np.frombuffer(self.lengths, dtype=np.int64), len(self.tokens[me])
+        most = np.where(
+            shared > 0, np.minimum(size, own) / np.maximum(size, own) * 0.75 + 0.25, 0.0
+        )
+        rest = shared * w[1], self.contexts.overlap(row.contexts) * w[2], day * w[3]
+        bound = ((most * w[0] + rest[0]) + rest[1]) + rest[2]
+
+        def exact(i: int) -> float:
+            key = (self.tokens[i], self.tokens[me])
+            if key not in self.sequence:
+                self.sequence[key] = sequence_score(*key)
+            return ((self.sequence[key] * w[0] + rest[0][i]) + rest[1][i]) + rest[2][i]
+
+        # A mean of two reaches the threshold only if one of them does.
+        near = bound[nearby] >= threshold - 1e-9
+        viable = {
+            c
+            for c, d in zip(clusters[near].tolist(), nearby[near].tolist())
+            if exact(d) >= threshold
+        }
+        best, best_score = None, 0.0
+        for c in sorted(viable):
+            scores = sorted((exact(d) for d in self.members[c]), reverse=True)[:2]
+            score = sum(scores) / len(scores)
+            if score >= threshold and score > best_score:
+                best, best_score = c, score
+        return best
+
+    def place(self, row) -> None:
+        me = self.number.get(row.descriptor)
+        if me is None:
+            me = self.number[row.descriptor] = len(self.tokens)
+            self.tokens.append(tuple(row.tokens))
+            self.minutes.append(int(row.start_minute))
+            self.lengths.append(len(row.tokens))
+            self.actions.add(row.action_set)
+            self.contexts.add(row.contexts)
+        best = self._best(me, row) if self.members else None
+        if best is None:
+            best = len(self.members)
+            self.members.append([])
+            self.founders.append(row.session_seq)
+        if self.members[best].count(me) < 2:
+            self.members[best].append(me)
+            self.flat_cluster.append(best)
+            self.flat_descriptor.append(me)
+        self.home[me] = best
+        more = row.copies > row.taken
+        self.placed.append((row.stream_id, row.session_seq, row.descriptor, best, me, more))
+
+    def results(self) -> list:
+        settled = {d: self.members[c].count(d) >= 2 for d, c in self.home.items()}
+        return [
+            (stream, session, descriptor, self.founders[c], self.founders[self.home[d]],
+             more and not settled[d])
+            for stream, session, descriptor, c, d, more in self.placed
+        ]
+
+
+FOLD_COLUMNS = ["stream_id", "session_seq", "descriptor", "cluster_seq", "settled_seq", "open"]
+
+
+def _leader_fold(options: ClusterOptions, keys: list[str]):
+    """Run the rule over rows sorted by group and start."""
     w = options.similarity_weights.normalized()
     legacy = options.strategy == "legacy"
     weights = (1.0, 0.0, 0.0, 0.0) if legacy else (w.sequence, w.action_set, w.context, w.time_of_day)
-    threshold = options.similarity_threshold
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start_time", "ms", "seq"], kind="stable", ignore_index=True)
-        actions, contexts = _Shapes(), _Shapes()
-        tokens: list = []
-        minutes, lengths = array("q"), array("q")
-        number: dict = {}
-        sequence: dict = {}
-        members: list[list[int]] = []  # per cluster: descriptors, each at most twice
-        founders: list[int] = []
-        flat_cluster, flat_descriptor = array("q"), array("q")
-        home: dict = {}
-        assigned = []
-
-        def score_of(i: int, j: int) -> float:
-            key = (tokens[i], tokens[j])
-            if key not in sequence:
-                sequence[key] = sequence_score(*key)
-            return sequence[key]
-
-        for row in frame.itertuples(index=False):
-            me = number.get(row.descriptor)
-            if me is None:
-                me = number[row.descriptor] = len(tokens)
-                tokens.append(tuple(row.tokens))
-                minutes.append(int(row.start_minute))
-                lengths.append(len(row.tokens))
-                actions.add(list(row.action_set))
-                contexts.add(list(row.contexts))
-            best, best_score = None, 0.0
-            if flat_cluster:
-                clusters = np.frombuffer(flat_cluster, dtype=np.int64)
-                nearby = np.frombuffer(flat_descriptor, dtype=np.int64)
-                shared = actions.overlap(list(row.action_set))
-                apart = np.abs(np.frombuffer(minutes, dtype=np.int64) - int(row.start_minute))
-                day = np.maximum(0, 1 - np.minimum(apart, 1440 - apart) / 720)
-                size = np.frombuffer(lengths, dtype=np.int64)
-                most = np.where(
-                    shared > 0,
-                    np.minimum(size, len(tokens[me])) / np.maximum(size, len(tokens[me])) * 0.75 + 0.25,
-                    0.0,
-                )
-                rest = shared * weights[1], contexts.overlap(list(row.contexts)) * weights[2], day * weights[3]
-                bound = ((most * weights[0] + rest[0]) + rest[1]) + rest[2]
-
-                def exact(i: int) -> float:
-                    return ((score_of(i, me) * weights[0] + rest[0][i]) + rest[1][i]) + rest[2][i]
-
-                # A mean of two reaches the threshold only if one of them does.
-                viable = {
-                    int(c)
-                    for c, d in zip(*(x[bound[nearby] >= threshold - 1e-9] for x in (clusters, nearby)))
-                    if exact(int(d)) >= threshold
-                }
-                for c in sorted(viable):
-                    scores = sorted((exact(d) for d in members[c]), reverse=True)[:2]
-                    score = sum(scores) / len(scores)
-                    if score >= threshold and score > best_score:
-                        best, best_score = c, score
-                del clusters, nearby, apart, size
-            if best is None:
-                best = len(members)
-                members.append([])
-                founders.append(row.session_seq)
-            if members[best].count(me) < 2:
-                members[best].append(me)
-                flat_cluster.append(best)
-                flat_descriptor.append(me)
-            home[me] = best
-            assigned.append(best)
-        settled = {d: members[c].count(d) >= 2 for d, c in home.items()}
-        numbers = [number[d] for d in frame["descriptor"]]
-        return pd.DataFrame(
-            {
-                "stream_id": frame["stream_id"],
-                "session_seq": frame["session_seq"],
-                "descriptor": frame["descriptor"],
-                "cluster_seq": [founders[c] for c in assigned],
-                "settled_seq": [founders[home[d]] for d in numbers],
-                "open": np.array([not settled[d] for d in numbers]) & (frame["copies"] > frame["taken"]),
-            }
-        )
 
-    return fold
+    def walk(frames):
+        group, leaders, done = None, None, []
+        for frame in frames:
+            names = zip(*[frame[k] for k in keys])
+            for name, row in zip(names, frame.itertuples(index=False)):
+                if name != group:
+                    if leaders is not None:
+                        done.extend(leaders.results())
+                    group, leaders = name, _Leaders(weights, options.similarity_threshold)
+                leaders.place(row)
+            if done:
+                yield pd.DataFrame(done, columns=FOLD_COLUMNS)
+                done = []
+        if leaders is not None:
+            yield pd.DataFrame(leaders.results(), columns=FOLD_COLUMNS)
+
+    return walk
 
 
 _FOLD_SCHEMA = (
@@ -335,8 +354,9 @@ def assign_clusters(candidates: DataFrame, options: ClusterOptions) -> DataFrame
                     parts, ["stream_id", "action"], "left"
                 ).drop("action")
                 keys = ["stream_id", "part"]
+        ordered = in_stream_order(heads, keys, ["start_time", "ms", "seq"])
         folded = materialize(
-            heads.groupBy(*keys).applyInPandas(_leader_fold(options), _FOLD_SCHEMA), "fold"
+            ordered.mapInPandas(_leader_fold(options, keys), _FOLD_SCHEMA), "fold"
         )
         if folded.filter("open").isEmpty():
             break

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import sequence_score
 from ..functions.text import has_text, stable_id
 from ..options import SimilarityWeights
+from ..plans.slices import in_stream_order
 from .clusters import CLUSTER
 from .sessions import SESSION
 
@@ -393,7 +394,7 @@ def session_lineage(steps: DataFrame, sessions: DataFrame, raw: DataFrame) -> Da
     )
 
 
-def _peer_fold(weights: SimilarityWeights):
+def _peer_walk(weights: SimilarityWeights):
     """Best peers of the asked descriptors of one cluster, a block of them at a time."""
     w = weights.normalized()
 
@@ -404,14 +405,14 @@ def _peer_fold(weights: SimilarityWeights):
     def rounded(x: float) -> float:
         return float(np.floor(x * 100 + 0.5) / 100)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(rows: list) -> list:
         peers = [
             (tuple(r.tokens), set(r.action_set), set(r.contexts), int(r.start_minute), r.sessions)
-            for r in frame.itertuples(index=False)
+            for r in rows
         ]
         known: dict = {}
-        rows = []
-        for asked in frame[frame["asked"]].itertuples(index=False):
+        out = []
+        for asked in (r for r in rows if r.asked):
             tokens, actions, contexts = tuple(asked.tokens), set(asked.action_set), set(asked.contexts)
             best = []
             for p_tokens, p_actions, p_contexts, minute, sessions in peers:
@@ -428,12 +429,27 @@ def _peer_fold(weights: SimilarityWeights):
                 if len(best) > 64:
                     best = sorted(best)[:4]
             for b in sorted(best)[:4]:
-                rows.append((asked.stream_id, asked.cluster_seq, asked.descriptor, b[2], b[1], *(rounded(x) for x in b[3]), -b[0]))
-        names = ["stream_id", "cluster_seq", "descriptor", "peer_seq", "peer_start", "sequence_similarity",
-                 "action_set_similarity", "context_similarity", "time_of_day_similarity", "composite_similarity"]
-        return pd.DataFrame(rows, columns=names)
+                out.append((asked.stream_id, asked.cluster_seq, asked.descriptor, b[2], b[1], *(rounded(x) for x in b[3]), -b[0]))
+        return out
 
-    return fold
+    def walk(frames):
+        group, rows = None, []
+        for frame in frames:
+            done = []
+            for r in frame.itertuples(index=False):
+                name = (r.stream_id, r.cluster_seq, r.block)
+                if name != group:
+                    done.extend(compare(rows))
+                    group, rows = name, []
+                rows.append(r)
+            yield pd.DataFrame(done, columns=PEER_COLUMNS)
+        yield pd.DataFrame(compare(rows), columns=PEER_COLUMNS)
+
+    return walk
+
+
+PEER_COLUMNS = ["stream_id", "cluster_seq", "descriptor", "peer_seq", "peer_start", "sequence_similarity",
+                "action_set_similarity", "context_similarity", "time_of_day_similarity", "composite_similarity"]
 
 
 def explain_membership(members: DataFrame, weights: SimilarityWeights = SimilarityWeights(), block: int = 500) -> DataFrame:
@@ -463,7 +479,8 @@ def explain_membership(members: DataFrame, weights: SimilarityWeights = Similari
         "sequence_similarity double, action_set_similarity double, context_similarity double, "
         "time_of_day_similarity double, composite_similarity double"
     )
-    peers = spread.groupBy(*CLUSTER, "block").applyInPandas(_peer_fold(weights), schema)
+    placed = in_stream_order(spread, [*CLUSTER, "block"], ["descriptor"])
+    peers = placed.mapInPandas(_peer_walk(weights), schema)
     listed = peers.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(

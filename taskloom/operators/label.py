@@ -8,41 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, identifier, lookup
-from ..options import LabelOptions
+from ..options import LabelOptions, UrlOptions
 from ..plans.slices import home_slice
 from ..rules import vocabulary as V
 from ..rules.action_packs import ACTION_PACKS, REGISTRY_VERSION, ActionRule, ranked_rules
+from .normalize import normalize_events
 
 CONTEXT_FIELDS = ["target", "page_type", "resource_hint"]
 
 
-def with_nearby_context(events: DataFrame, options: LabelOptions = LabelOptions()) -> DataFrame:
-    """Nearest earlier and later event of the same application and domain.
+def spread_over_slices(events: DataFrame, options: LabelOptions = LabelOptions()) -> DataFrame:
+    """Cut streams into time slices, so one busy stream spreads over many tasks.
 
-    Streams are cut into time slices, so one busy stream spreads over many tasks. Rows
-    near an edge are copied into the neighbouring slice; the copies only lend context.
+    Rows near an edge are copied into the neighbouring slice; the copies only lend
+    context. Raw rows are narrower than normalised ones, so this is best done first.
     """
     reach = options.nearby_ms
     slice_ms = max(options.slice_ms, reach)
-    ms = F.unix_millis("ts")
-    offset = F.pmod(ms, F.lit(slice_ms))
-    home = home_slice(slice_ms)
-    sliced = (
-        events.withColumn("_home", home)
-        .withColumn(
-            "slice",
-            F.explode(
-                F.array_compact(
-                    F.array(
-                        F.col("_home"),
-                        F.when(offset < reach, F.col("_home") - 1),
-                        F.when(offset >= slice_ms - reach, F.col("_home") + 1),
-                    )
-                )
-            ),
+    offset = F.pmod(F.unix_millis("ts"), F.lit(slice_ms))
+    home = F.col("_home")
+    slices = F.array_compact(
+        F.array(
+            home,
+            F.when(offset < reach, home - 1),
+            F.when(offset >= slice_ms - reach, home + 1),
         )
+    )
+    return (
+        events.withColumn("_home", home_slice(slice_ms))
+        .withColumn("slice", F.explode(slices))
         .repartition("stream_id", "slice")
     )
+
+
+def with_nearby_context(events: DataFrame, options: LabelOptions = LabelOptions()) -> DataFrame:
+    """Nearest earlier and later event of the same application and domain."""
+    sliced = events if "_home" in events.columns else spread_over_slices(events, options)
+    ms = F.unix_millis("ts")
     w = Window.partitionBy("stream_id", "slice", "application", "domain").orderBy(
         "ts", "ts_text", "seq"
     )
@@ -50,7 +52,9 @@ def with_nearby_context(events: DataFrame, options: LabelOptions = LabelOptions(
 
     def within_reach(other: Column) -> Column:
         gap = F.abs(F.unix_millis(other["ts"]) - ms)
-        return F.when(gap <= reach, F.struct(*[other[f].alias(f) for f in CONTEXT_FIELDS]))
+        return F.when(
+            gap <= options.nearby_ms, F.struct(*[other[f].alias(f) for f in CONTEXT_FIELDS])
+        )
 
     return (
         sliced.withColumns({"_before": F.lag(here).over(w), "_after": F.lead(here).over(w)})
@@ -308,6 +312,13 @@ def label_in_context(events: DataFrame, packs=ACTION_PACKS) -> DataFrame:
     )
 
 
+def label_raw_events(
+    raw: DataFrame, options: LabelOptions = LabelOptions(), urls: UrlOptions = UrlOptions()
+) -> DataFrame:
+    """Raw events -> labelled events over one shuffle of the raw rows."""
+    return label_events(normalize_events(spread_over_slices(raw, options), urls), options)
+
+
 def label_events(
     normalized: DataFrame, options: LabelOptions = LabelOptions(), packs=ACTION_PACKS
 ) -> DataFrame:

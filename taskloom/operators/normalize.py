@@ -180,7 +180,9 @@ def normalize_events(
         }
     )
     pack = domain_pack_fields(number, taxonomy, packs)
+    placement = [x for x in ("slice", "_home") if x in raw.columns]
     return matched.select(
+        *placement,
         stable_id("normalized_event", F.col("id")).alias("id"),
         F.col("id").alias("raw_event_id"),
         "stream_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_text, iso_utc, stable_id
 from ..options import SessionOptions
 from ..plans.materialize import materialize
-from ..plans.slices import NO_TIME, ORDER, home_slice, order_key, with_order
+from ..plans.slices import NO_TIME, ORDER, home_slice, in_stream_order, order_key, with_order
 from ..rules import vocabulary as V
 from .label import is_calendar_signal
 
@@ -200,37 +200,47 @@ def rolling_counts(marked: DataFrame, options: SessionOptions) -> DataFrame:
 
 
 def _decide(options: SessionOptions):
-    """Walk the candidates of one stream in order; keep only those that split.
+    """Walk the candidates of each stream in order; keep only those that split.
 
-    Candidates are at least one interruption gap apart, so a stream has few of them
-    however many events it has.
+    Rows come sorted by stream and candidate, one per block of a candidate's window. All
+    that is carried along is where the current session began.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at_ms", "at_text", "at_seq"], kind="stable")
-        start, kept = None, []
-        for row in frame.itertuples(index=False):
-            hard = (row.hard_ms, row.hard_text, row.hard_seq) if row.has_hard else None
-            if hard is not None and (start is None or hard > start):
-                start = hard
-            n = app = dom = route = 0
-            for b in row.blocks:
-                if start is None or (b["ms"], b["text"], b["seq"]) >= start:
-                    n += b["n"]
-                    app += b["same_application"]
-                    dom += b["same_domain"]
-                    route += b["same_route"]
-            suppressed = (
+    def walk(frames):
+        stream = candidate = start = None
+        totals = [0, 0, 0, 0]
+
+        def splits() -> bool:
+            n, app, dom, route = totals
+            return not (
                 n >= options.rolling_minimum_events
                 and app / n >= options.rolling_dominance
                 and max(dom, route) / n >= options.rolling_dominance
             )
-            if not suppressed:
-                start = (row.at_ms, row.at_text, row.at_seq)
-                kept.append(row.at_seq)
-        return pd.DataFrame({"stream_id": frame["stream_id"].iloc[0], "seq": kept})
 
-    return fold
+        for frame in frames:
+            kept = []
+            for r in frame.itertuples(index=False):
+                here = (r.at_ms, r.at_text, r.at_seq)
+                if r.stream_id != stream or here != candidate:
+                    if candidate is not None and splits():
+                        kept.append((stream, candidate[2]))
+                        start = candidate
+                    if r.stream_id != stream:
+                        stream, start = r.stream_id, None
+                    candidate, totals = here, [0, 0, 0, 0]
+                    if r.has_hard and (start is None or (r.hard_ms, r.hard_text, r.hard_seq) > start):
+                        start = (r.hard_ms, r.hard_text, r.hard_seq)
+                if r.n and (start is None or (r.first_ms, r.first_text, r.first_seq) >= start):
+                    totals[0] += r.n
+                    totals[1] += r.same_application
+                    totals[2] += r.same_domain
+                    totals[3] += r.same_route
+            yield pd.DataFrame(kept, columns=["stream_id", "seq"])
+        if candidate is not None and splits():
+            yield pd.DataFrame([(stream, candidate[2])], columns=["stream_id", "seq"])
+
+    return walk
 
 
 def surviving_soft_boundaries(marked: DataFrame, options: SessionOptions) -> DataFrame:
@@ -260,36 +270,29 @@ def surviving_soft_boundaries(marked: DataFrame, options: SessionOptions) -> Dat
     placed = near.join(far, SLICE, "left").select(
         "stream_id", "at", F.coalesce("near", "far").alias("hard_at")
     )
-    blocks = (
-        rolling_counts(marked, options)
-        .groupBy("stream_id", "at")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    F.col("first")["ms"].alias("ms"),
-                    F.coalesce(F.col("first")["tie"], F.lit("")).alias("text"),
-                    F.col("first")["seq"].alias("seq"),
-                    "n",
-                    "same_application",
-                    "same_domain",
-                    "same_route",
-                )
-            ).alias("blocks")
-        )
+    blocks = rolling_counts(marked, options).select(
+        "stream_id", "at", "first", "n", "same_application", "same_domain", "same_route"
     )
-    none = F.array().cast(blocks.schema["blocks"].dataType)
+
+    def flat(name: str, prefix: str) -> list[Column]:
+        key = F.col(name)
+        return [
+            F.coalesce(key["ms"], F.lit(0)).alias(f"{prefix}_ms"),
+            F.coalesce(key["tie"], F.lit("")).alias(f"{prefix}_text"),
+            F.coalesce(key["seq"], F.lit(0)).alias(f"{prefix}_seq"),
+        ]
+
     rows = placed.join(blocks, ["stream_id", "at"], "left").select(
         "stream_id",
-        F.col("at")["ms"].alias("at_ms"),
-        F.coalesce(F.col("at")["tie"], F.lit("")).alias("at_text"),
-        F.col("at")["seq"].alias("at_seq"),
+        *flat("at", "at"),
         F.col("hard_at").isNotNull().alias("has_hard"),
-        F.coalesce(F.col("hard_at")["ms"], F.lit(0)).alias("hard_ms"),
-        F.coalesce(F.col("hard_at")["tie"], F.lit("")).alias("hard_text"),
-        F.coalesce(F.col("hard_at")["seq"], F.lit(0)).alias("hard_seq"),
-        F.coalesce("blocks", none).alias("blocks"),
+        *flat("hard_at", "hard"),
+        *flat("first", "first"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "same_application", "same_domain", "same_route")],
+    )
+    return in_stream_order(rows, ["stream_id"], ["at_ms", "at_text", "at_seq"]).mapInPandas(
+        _decide(options), "stream_id string, seq long"
     )
-    return rows.groupBy("stream_id").applyInPandas(_decide(options), "stream_id string, seq long")
 
 
 def assign_sessions(

@@ -116,3 +116,12 @@ def with_running_max(df, keys: list[str], values: dict[str, Column], slice_ms: i
     return joined.withColumns(
         {n: F.coalesce(F.col(f"_w_{n}"), F.col(f"_f_{n}")) for n in values}
     ).drop(*[f"_{p}_{n}" for n in values for p in "vwmf"])
+
+
+def in_stream_order(df, keys: list[str], order: list[str]):
+    """Whole keys per task, rows sorted, for a walk in Python.
+
+    The number of tasks is stated, because row sizes say little about the work per row.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)

@@ -18,12 +18,13 @@ from taskloom.operators.report import report_cycle, resolve_window
 from taskloom.operators.sessions import assign_sessions, roll_up_sessions, session_steps
 from taskloom.options import AnalyzeOptions, ClusterOptions, SessionOptions
 from taskloom.plans.analysis import analyze
+from taskloom.plans.materialize import materialize
 from taskloom.schema import FEEDBACK
 
 
 @pytest.fixture(scope="module")
 def golden(spark):
-    return analyze(raw(spark, golden_events()))
+    return analyze(materialize(raw(spark, golden_events())))
 
 
 def test_golden_sessions(golden):
@@ -51,8 +52,8 @@ def test_no_unknown_actions(golden):
 
 
 def _sessions(spark, events, options=SessionOptions()):
-    labelled = label_events(normalize_events(raw(spark, events)))
-    return assign_sessions(labelled, options)
+    labelled = materialize(label_events(normalize_events(materialize(raw(spark, events)))))
+    return materialize(assign_sessions(labelled, options, reuse=False))
 
 
 def _reasons(assigned):
@@ -100,7 +101,7 @@ def test_slices_do_not_change_sessions(spark, slice_ms):
         app = random.choice(["chrome", "chrome", "slack"])
         events.append(event(second, target, random.choice([NAV, "browser.click"]), app, url=random.choice([f"{ADMIN}/orders", f"{ADMIN}/refunds", None])))
     whole = SessionOptions(slice_ms=10**12)
-    labelled = label_events(normalize_events(raw(spark, events))).drop("slice")
+    labelled = materialize(label_events(normalize_events(materialize(raw(spark, events)))).drop("slice"))
     expected = assign_sessions(labelled, whole).select("seq", "session_seq", "boundary_reason").orderBy("seq").collect()
     found = assign_sessions(labelled, SessionOptions(slice_ms=slice_ms)).select("seq", "session_seq", "boundary_reason").orderBy("seq").collect()
     assert found == expected
@@ -158,7 +159,7 @@ def test_split_feedback(spark):
 
     legacy = hashlib.sha1(b"workflow_signature:open_admin>search_order>update_status").hexdigest()
     feedback = _feedback(spark, workflow_signature=legacy, split_after_action_name="search_order")
-    run = analyze(raw(spark, SPLIT), LAX, feedback)
+    run = analyze(materialize(raw(spark, SPLIT)), LAX, feedback)
     rows = run.described.orderBy("start_order").collect()
     assert [list(r["actions"]) for r in rows] == [["open_admin", "search_order"], ["update_status"]]
     assert rows[1]["boundary_details"]["split_after"] == "search_order"
@@ -169,11 +170,11 @@ def test_merge_feedback(spark):
     for i, e in enumerate(events):
         e["seq"] = i
         e["timestamp"] = at(i // 3 * 400 + i % 3 * 30)
-    plain = analyze(raw(spark, events)).clusters.collect()
+    plain = analyze(materialize(raw(spark, events))).clusters.collect()
     assert len(plain) == 2
     first, second = plain[0]["workflow_signature"], plain[1]["workflow_signature"]
     feedback = _feedback(spark, workflow_signature=first, merge_into_workflow_signature=second)
-    run = analyze(raw(spark, events), feedback=feedback)
+    run = analyze(materialize(raw(spark, events)), feedback=feedback)
     merged = run.clusters.collect()
     assert len(merged) == 1 and merged[0]["frequency"] == 6 and merged[0]["workflow_signature"] == second
     assert run.bridge.count() == 6
@@ -297,7 +298,7 @@ def test_benchmark_hybrid_beats_sequence_only(spark):
 def test_report_cycle(spark):
     events = [e for e in golden_events() if e["stream_id"] == "order-review"]
     windows = [resolve_window("day", "2026-03-14"), resolve_window("week", "2026-03-13")]
-    rows = report_cycle(raw(spark, events), windows, F.lit("2026-03-15").cast("timestamp")).collect()
+    rows = report_cycle(materialize(raw(spark, events)), windows, F.lit("2026-03-15").cast("timestamp")).collect()
     assert [(r["window"], r["total_sessions"], len(r["workflows"])) for r in rows] == [("day", 3, 1)]
 
 
