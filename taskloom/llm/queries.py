@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language import fit_languages, held_out, identify_languages
 from .packing import pack_documents
 from .pretokens import vocabulary_path
 from .secret_scan import BASE_KINDS, scan_secrets
@@ -57,10 +58,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir)
+    known = rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    found = identify_languages(rows.select("doc_id", "text"), fit_languages(known))
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op5_token_counts": op5_token_counts,
+    "op9_language_id": op9_language_id,
 }
 
 # Positions come from the texts between matches. Values with a checksum are beyond SQL: ``spans``
