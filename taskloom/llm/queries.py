@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import fit_languages, held_out, identify_languages
+from .outliers import judge_quality
 from .packing import pack_documents
 from .pretokens import vocabulary_path
 from .secret_scan import BASE_KINDS, scan_secrets
@@ -58,6 +59,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "distance",
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir)
     known = rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -71,6 +87,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op5_token_counts": op5_token_counts,
+    "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
 }
 
