@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
 from .language import fit_languages, held_out, identify_languages
+from .near_duplicates import link_documents
 from .outliers import judge_quality
 from .packing import pack_documents
 from .pretokens import vocabulary_path
@@ -60,6 +61,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_documents(documents(spark, sf_dir), shingle=4, percent=80)
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return judged.select(
@@ -94,6 +100,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
