@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PreTokens
+from .pretokens import PreTokens, Remembered
 from .words import text_chunks
 
 CAPACITY = 4096
 GROUP_TOKENS = 1 << 21
-HELD = 300_000
+HELD = 400_000
 
 
 def sequence_lengths(total: int, capacity: int) -> list[int]:
@@ -85,19 +85,14 @@ def pack_documents(
     end = int(end_id).to_bytes(4, "little")
 
     def place(batches):
-        splitter, known = PreTokens(path), {}
+        splitter = PreTokens(path)
+        pieces_of = Remembered(lambda p: np.array(splitter.ids(p), dtype="<u4").tobytes(), HELD)
+        # No pre-token reaches over white space, so a text's ids are those of its words in a row.
+        words = Remembered(lambda w: b"".join(pieces_of.of(splitter.split(w.decode()))), HELD)
         task, sequences = TaskContext.get().partitionId(), 0
 
         def encoded(text: bytes) -> bytes:
-            pretokens = splitter.split(text.decode())
-            try:
-                return b"".join(map(known.__getitem__, pretokens)) + end
-            except KeyError:
-                if len(known) > HELD:
-                    known.clear()
-                for p in set(pretokens).difference(known):
-                    known[p] = np.array(splitter.ids(p), dtype="<u4").tobytes()
-                return b"".join(map(known.__getitem__, pretokens)) + end
+            return b"".join(words.of(text.split())) + end
 
         def packed(ids, held):
             nonlocal sequences

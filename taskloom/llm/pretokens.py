@@ -27,6 +27,23 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Remembered(dict):
+    """Values of a function by key; forgotten all at once when there are too many."""
+
+    def __init__(self, function, held: int):
+        super().__init__()
+        self.function, self.held = function, held
+
+    def __missing__(self, key):
+        value = self[key] = self.function(key)
+        return value
+
+    def of(self, keys: list) -> list:
+        if len(self) > self.held:
+            self.clear()
+        return list(map(self.__getitem__, keys))
+
+
 class PreTokens:
     """Splits texts; made on executors, from the path of a file that each machine has."""
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .pretokens import PreTokens
+from .pretokens import PreTokens, Remembered
 from .words import text_chunks
 
 FREQUENT = 200_000
@@ -34,15 +34,19 @@ def pretoken_frequencies(documents: DataFrame, path: str, text: str = "text") ->
         splitter, held = PreTokens(path), Counter()
 
         def rows():
-            batch = pa.RecordBatch.from_pydict(
-                {"pretoken": list(held.keys()), "n": pa.array(held.values(), pa.int64())}
-            )
+            # No pre-token reaches over white space, so words can be counted first.
+            found = Counter()
+            for word, n in held.items():
+                for p in splitter.split(word.decode()):
+                    found[p] += n
             held.clear()
-            return batch
+            return pa.RecordBatch.from_pydict(
+                {"pretoken": list(found.keys()), "n": pa.array(found.values(), pa.int64())}
+            )
 
         for _, texts in text_chunks(batches, text):
             for t in texts:
-                held.update(splitter.split(t.decode()))
+                held.update(t.split())
             if len(held) > HELD:
                 yield rows()
         yield rows()
@@ -106,6 +110,13 @@ def count_tokens(
 
     def parts(batches):
         splitter, sizes = PreTokens(path), table.value
+
+        def look(word: bytes) -> tuple[int, list[str]]:
+            """The pieces of a word's known pre-tokens, and the other ones."""
+            pretokens = splitter.split(word.decode())
+            return sum(sizes.get(p, 0) for p in pretokens), [p for p in pretokens if p not in sizes]
+
+        words = Remembered(look, HELD)
         task, number = TaskContext.get().partitionId(), 0
         for rows, texts in text_chunks(batches):
             row, of, pretoken, times, here, n_bytes = [], [], [], [], [], []
@@ -113,12 +124,10 @@ def count_tokens(
                 key = (task << 36) | number
                 number += 1
                 rest, total = Counter(), 0
-                for p, n in Counter(splitter.split(t.decode())).items():
-                    size = sizes.get(p)
-                    if size is None:
-                        rest[p] = n
-                    else:
-                        total += size * n
+                for known_pieces, others in words.of(t.split()):
+                    total += known_pieces
+                    if others:
+                        rest.update(others)
                 # A document without other pre-tokens gets a key that is none and its own.
                 pairs = list(rest.items()) or [(f" {key}", 0)]
                 row += [key] * len(pairs)
