@@ -10,6 +10,7 @@ from .language import fit_languages, held_out, identify_languages
 from .near_duplicates import link_documents
 from .outliers import judge_quality
 from .packing import pack_documents
+from .phrase_dedup import remove_repeated_passages
 from .pretokens import vocabulary_path
 from .secret_scan import BASE_KINDS, scan_secrets
 from .token_counts import count_tokens
@@ -56,6 +57,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeated_passages(documents(spark, sf_dir))
+    return cleaned.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(documents(spark, sf_dir), vocabulary_path(VOCABULARY))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -99,6 +107,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
+    "op4_phrase_dedup": op4_phrase_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
