@@ -14,6 +14,7 @@ from .phrase_dedup import remove_repeated_passages
 from .pretokens import vocabulary_path
 from .secret_scan import BASE_KINDS, scan_secrets
 from .token_counts import count_tokens
+from .weak_labels import classify_quality
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -74,6 +75,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return judged.select(
@@ -110,6 +115,7 @@ QUERIES = {
     "op4_phrase_dedup": op4_phrase_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
