@@ -23,7 +23,12 @@ from .words import Words, mix, text_chunks
 
 BINS = 1 << 14
 SAMPLE = 20_000
-HEURISTICS = ("length", "symbols", "repeats", "lines", "capitals", "word_length", "variety", "separators")
+HEURISTICS = (
+    "length", "symbols", "repeats", "lines", "capitals", "word_length", "variety", "separators", "letters",
+    "plain_words", "sentences", "doubled_words",
+)
+
+_NEED_WORDS = ("repeats", "lines", "variety", "sentences", "doubled_words")
 
 
 def _class_table(members: bytes) -> np.ndarray:
@@ -33,6 +38,7 @@ def _class_table(members: bytes) -> np.ndarray:
 
 
 _SYMBOL = _class_table(b"#*$%&|<>")
+_MARK, _END = _class_table(b".,;:!?"), _class_table(b".!?")
 _UPPER = _class_table(bytes(range(65, 91)))
 _LETTER = _class_table(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 
@@ -42,7 +48,7 @@ def _ratio(a, b) -> np.ndarray:
 
 
 def votes(words: Words, texts: list[bytes], hashes: np.ndarray) -> np.ndarray:
-    """Votes of each heuristic on each text: 1 good, -1 bad, 0 abstains. Few words only let the length vote."""
+    """Votes of each heuristic on each text: 1 good, -1 bad, 0 abstains. Rates over few words abstain."""
     n = words.counts()
     data, begin = words.buffer[:-8], words.text_start[:-1]
     letters = np.add.reduceat(_LETTER[data], begin, dtype=np.int64)
@@ -51,24 +57,35 @@ def votes(words: Words, texts: list[bytes], hashes: np.ndarray) -> np.ndarray:
     symbols = np.add.reduceat(_SYMBOL[data], begin, dtype=np.int64)
     lines = np.array([repeated_lines(t) for t in texts], dtype=np.int64).reshape(-1, 2)
     with_letter = np.concatenate(([0], np.cumsum(_LETTER[data])))
-    bare = with_letter[words.end] == with_letter[words.start]
+    own = with_letter[words.end] - with_letter[words.start]
+    size = words.end - words.start
+    final = data[words.end - 1] if len(words) else data[:0]
+    plain = (own > 0) & ((own == size) | ((own == size - 1) & _MARK[final]))
+    visible = _ratio(letters, np.maximum(np.diff(np.concatenate(([0], np.cumsum(size)))[words.first]), 1))
+    ends = _per_text(_END[final], words.first)
+    doubled = np.zeros(len(words), dtype=bool)
+    doubled[1:] = hashes[1:] == hashes[:-1]
     distinct = np.array([len(np.unique(hashes[a:b])) for a, b in zip(words.first[:-1], words.first[1:])])
 
     def vote(value, good, bad):
         return np.where(bad(value), -1, np.where(good(value), 1, 0))
 
     cast = [
-        vote(n, lambda v: v >= 50, lambda v: v < 10),
+        vote(n, lambda v: v >= 50, lambda v: v < 3),
         vote(_ratio(symbols, n), lambda v: v < 0.05, lambda v: v > 0.3),
         vote(_ratio(repeated_words(words), n), lambda v: v < 0.05, lambda v: v > 0.2),
         vote(_ratio(lines[:, 1], lines[:, 0]), lambda v: v < 0.05, lambda v: v > 0.3),
         vote(_ratio(upper, ascii_letters), lambda v: v < 0.15, lambda v: v > 0.4),
         vote(_ratio(letters, n), lambda v: (v > 2.5) & (v < 9), lambda v: (v < 1.5) | (v > 15)),
-        vote(_ratio(distinct, np.sqrt(n)), lambda v: v > 4, lambda v: v < 1.5),
-        vote(_ratio(_per_text(bare, words.first), n), lambda v: v < 0.05, lambda v: v > 0.25),
+        vote(_ratio(distinct, np.sqrt(n)), lambda v: v > 4, lambda v: v < 2),
+        vote(_ratio(_per_text(own == 0, words.first), n), lambda v: v < 0.05, lambda v: v > 0.15),
+        vote(visible, lambda v: v > 0.9, lambda v: v < 0.8),
+        vote(_ratio(_per_text(plain, words.first), n), lambda v: v > 0.9, lambda v: v < 0.7),
+        vote(_ratio(ends, n), lambda v: (v > 0.02) & (v < 0.35), lambda v: (v < 0.005) | (v > 0.6)),
+        vote(_ratio(_per_text(doubled, words.first), n), lambda v: v < 0.03, lambda v: v > 0.1),
     ]
     cast = np.stack(cast, axis=1)
-    cast[n < 10, 1:] = 0
+    cast[np.ix_(n < 10, [HEURISTICS.index(h) for h in _NEED_WORDS])] = 0
     return cast
 
 
@@ -90,13 +107,16 @@ def estimate_accuracies(patterns: np.ndarray, counts: np.ndarray, heuristics: in
         share = float(np.clip((weight * good).sum(), 0.01, 0.99))
         tables = []
         for side in (good, 1 - good):
-            table = np.stack([[(weight * side * (cast[:, j] == v)).sum() for v in range(3)] for j in range(heuristics)])
+            table = np.stack([[(weight * side * (cast[:, j] == v)).sum() for v in (0, 2)] for j in range(heuristics)])
             tables.append((table + 1e-4) / (table + 1e-4).sum(axis=1, keepdims=True))
-        log = [np.log(t[np.arange(heuristics), cast]).sum(axis=1) for t in tables]
+        # Abstaining is no evidence.
+        log = [
+            np.where(cast == 1, 0.0, np.log(t[np.arange(heuristics), cast // 2])).sum(axis=1) for t in tables
+        ]
         good = 1 / (1 + np.exp(np.clip(log[1] + np.log(1 - share) - log[0] - np.log(share), -500, 500)))
         if np.abs(good - before).max() < 1e-9:
             break
-    if len(patterns) and tables[0][:, 2].sum() < tables[1][:, 2].sum():
+    if len(patterns) and tables[0][:, 1].sum() < tables[1][:, 1].sum():
         good, share, tables = 1 - good, 1 - share, tables[::-1]
     return good, share, tables
 
@@ -183,7 +203,7 @@ def classify_quality(
         rows = rows.sort_values("at", kind="stable")
         return pd.DataFrame({"weights": [fit_scorer(rows.bins, rows["values"], rows.label, bins).tolist()]})
 
-    fitted = rows.groupBy(F.lit(0)).applyInPandas(fit, "weights array<double>").first()
+    fitted = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "weights array<double>").first()
     weights = spark.sparkContext.broadcast(np.array(fitted.weights) if fitted else np.zeros(bins + 1))
 
     def score(batches):
