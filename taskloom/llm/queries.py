@@ -12,6 +12,7 @@ from .outliers import judge_quality
 from .packing import pack_documents
 from .phrase_dedup import remove_repeated_passages
 from .pretokens import vocabulary_path
+from .quotations import link_quotations
 from .secret_scan import BASE_KINDS, scan_secrets
 from .token_counts import count_tokens
 from .weak_labels import classify_quality
@@ -58,6 +59,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return linked.withColumn("reply_path", F.array_join(F.transform("reply_path", lambda t: t.cast("string")), "."))
+
+
 def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeated_passages(documents(spark, sf_dir))
     return cleaned.select(
@@ -112,6 +118,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_phrase_dedup": op4_phrase_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
@@ -151,4 +158,44 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN listed USING (doc_id)
 """
 
-ORACLES = {"op1_secret_scan": OP1_SQL}
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS content
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w)),
+owners AS (SELECT content, min(doc_id) AS owner FROM windows GROUP BY content),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q
+  FROM windows JOIN owners USING (content) WHERE owner < doc_id),
+gaps AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(qs, []), i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gaps USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+smallest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM smallest LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op1_secret_scan": OP1_SQL, "op4_phrase_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL}
