@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix, text_chunks, window_hashes
+from .words import mix, text_chunks, unused, window_hashes
 
 WINDOW = 13
 LEAST_LITERALS = 6
@@ -212,8 +212,8 @@ def find_contamination(
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text shares no consistent template window with an item; texts decide, not ids."""
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
-    texts = documents.select(digest.alias("_digest"), F.col(text).alias("text"))
+    digest, name = F.md5(F.coalesce(F.col(text), F.lit(""))), unused(documents, "_digest")
+    texts = documents.select(digest.alias("digest"), F.col(text).alias("text"))
     items = benchmark.select("item_id", "text")
-    leaked = find_contamination(texts, items, doc_key="_digest").select("_digest").distinct()
-    return documents.withColumn("_digest", digest).join(leaked, "_digest", "left_anti").drop("_digest")
+    leaked = find_contamination(texts, items, doc_key="digest").select(F.col("digest").alias(name)).distinct()
+    return documents.withColumn(name, digest).join(leaked, name, "left_anti").select(*documents.columns)

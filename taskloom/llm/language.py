@@ -140,13 +140,13 @@ def identify_languages(
     Without a letter (null and empty texts included), or with nothing learned, a row is ``und`` with score 0 and not
     ambiguous. Columns of these names are replaced, others pass through. Equal texts get equal results.
     """
-    keep = [c for c in documents.columns if c not in ("lang_pred", "score", "ambiguous", text)]
-    source = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+    made = ("lang_pred", "score", "ambiguous")
+    source = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in made])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches):
         known = shared.value
-        for rows, texts in text_chunks(batches, "_text"):
+        for rows, texts in text_chunks(batches, text):
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for at in range(0, len(texts), 256):
                 bins_of = [gram_bins(t, bins) for t in texts[at : at + 256]]
@@ -160,12 +160,11 @@ def identify_languages(
             unsure = [n != UNKNOWN and s < AMBIGUOUS_BELOW for n, s in zip(names, scores)]
             yield pa.RecordBatch.from_arrays(
                 [*rows.columns, pa.array(names), pa.array(scores), pa.array(unsure)],
-                names=[*rows.schema.names, "lang_pred", "score", "ambiguous"],
+                names=[*rows.schema.names, *made],
             )
 
     schema = _widened(source, "lang_pred string, score double, ambiguous boolean")
-    out = source.mapInArrow(apply, schema)
-    return out.withColumnRenamed("_text", text)
+    return source.mapInArrow(apply, schema)
 
 
 def _widened(source: DataFrame, more: str) -> T.StructType:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
 from .graph import components
-from .words import Words, text_chunks, window_hashes
+from .words import Words, text_chunks, unused, window_hashes
 
 MINIMA, ROWS, BITS = 128, 4, 4
 BANDS = MINIMA // ROWS
@@ -257,17 +257,14 @@ def drop_near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent:
     Rows of one id and one text count as one document. Rows with a null doc_id all stay. All columns are returned.
     """
     placed = link_documents(documents, shingle, percent)
-    chosen = placed.filter(F.col("kept") & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("_doc_id"), F.coalesce("text_hash", F.lit(0)).alias("_hash")
-    )
-    marked = documents.withColumn("_text_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    chosen = placed.filter(F.col("kept") & F.col("doc_id").isNotNull())
+    chosen = chosen.select("doc_id", F.coalesce("text_hash", F.lit(0)).alias("text_hash"))
+    text_hash = unused(documents, "_text_hash")
+    marked = documents.withColumn(text_hash, F.coalesce(F.xxhash64("text"), F.lit(0)))
+    same = (marked["doc_id"] == chosen["doc_id"]) & (marked[text_hash] == chosen["text_hash"])
     return (
-        marked.join(
-            chosen,
-            (F.col("doc_id") == F.col("_doc_id")) & (F.col("_text_hash") == F.col("_hash")),
-            "left_semi",
-        )
-        .dropDuplicates(["doc_id", "_text_hash"])
+        marked.join(chosen, same, "left_semi")
+        .dropDuplicates(["doc_id", text_hash])
         .unionByName(marked.filter(F.col("doc_id").isNull()))
-        .drop("_text_hash")
+        .drop(text_hash)
     )

@@ -70,14 +70,13 @@ def repeated_lines(text: bytes) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the text by n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
+def with_statistics(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns to keep, n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    keep = [c for c in documents.columns if c not in (*made, text)]
-    source = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+    source = documents.select(*keep, text)
 
     def count(batches):
-        for rows, texts in text_chunks(batches, "_text"):
+        for rows, texts in text_chunks(batches, text):
             words = Words(texts)
             data, begin = words.buffer[:-8], words.text_start[:-1]
             point = ((data & 0xC0) != 0x80) & ~_BLANK[data]
@@ -95,7 +94,7 @@ def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
                 kept + [pa.array(c.astype(np.int64)) for c in columns], names=[*keep, *made]
             )
 
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text"]
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text]
     return source.mapInArrow(count, ", ".join([*types, *[f"{c} long" for c in made]]))
 
 
@@ -186,6 +185,7 @@ def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 def judge_quality(
     documents: DataFrame,
+    doc_id: str = "doc_id",
     text: str = "text",
     keys: tuple[str, ...] = ("lang", "source"),
     cutoff: float = CUTOFF,
@@ -193,11 +193,11 @@ def judge_quality(
 ) -> DataFrame:
     """Statistics of each row, base_failed, distance (squared) and kept.
 
-    The keys and other columns pass through; a null key is a group of its own. Groups under 50 rows are pooled by the first
+    The id and the keys pass through, other columns are not read; a null key is a group of its own. Groups under 50 rows are pooled by the first
     key; rows of a pool under 50 have no distance and pass. Null and empty texts have 0 words
     and fail the base rule. Equal rows get equal results; nothing is merged.
     """
-    rows = with_group(with_statistics(documents, text).withColumns(axes()), list(keys))
+    rows = with_group(with_statistics(documents, [doc_id, *keys], text).withColumns(axes()), list(keys))
     rows = materialize(rows, "statistics")
     known = rows.filter(F.col("_group").isNotNull()).select("_group", *AXES)
     estimate = _first_estimate(known)

@@ -86,7 +86,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_quality(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    judged = judge_quality(documents(spark, sf_dir))
     return judged.select(
         "doc_id",
         "n_words",

@@ -96,8 +96,11 @@ def pattern_of(cast: np.ndarray) -> np.ndarray:
 def estimate_accuracies(patterns: np.ndarray, counts: np.ndarray, heuristics: int, rounds: int = 200):
     """Expectation-maximisation over vote patterns: the posterior of each, the good share, and vote probabilities.
 
-    Starts from the majority vote. The class whose votes are more often good is the good one.
+    Starts from the majority vote. The class whose votes are more often good is the good one;
+    without patterns there is nothing to estimate.
     """
+    if not len(patterns):
+        return np.zeros(0), 0.5, None
     cast = (patterns[:, None] // 3 ** np.arange(heuristics)) % 3
     weight = counts / max(counts.sum(), 1)
     good = np.clip(0.5 + 0.4 * np.sign((cast - 1).sum(axis=1)), 0.05, 0.95)
@@ -116,7 +119,7 @@ def estimate_accuracies(patterns: np.ndarray, counts: np.ndarray, heuristics: in
         good = 1 / (1 + np.exp(np.clip(log[1] + np.log(1 - share) - log[0] - np.log(share), -500, 500)))
         if np.abs(good - before).max() < 1e-9:
             break
-    if len(patterns) and tables[0][:, 1].sum() < tables[1][:, 1].sum():
+    if tables[0][:, 1].sum() < tables[1][:, 1].sum():
         good, share, tables = 1 - good, 1 - share, tables[::-1]
     return good, share, tables
 

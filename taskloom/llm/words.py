@@ -36,6 +36,13 @@ def text_chunks(batches, column: str = "text", limit: int = CHUNK_BYTES):
             yield batch.slice(start), texts[start:]
 
 
+def unused(frame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name in frame.columns:
+        name += "_"
+    return name
+
+
 class Words:
     """Byte ranges of the words of some texts, in one buffer.
 
