@@ -723,25 +723,39 @@ _TABS = f"""tb AS (SELECT user_id::VARCHAR AS stream_id, event_id AS seq, date_t
     (event_id // 400) % 2 AS url, CASE WHEN event_type = 'view' THEN event_id::VARCHAR END AS document_type FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
 
 
+# A period of an active tab: from its activation to the next one or to the tab's closing.
+_PERIODS = f"""{_TABS},
+    o AS (SELECT *, row_number() OVER (PARTITION BY stream_id, window_id ORDER BY ts, seq) AS n FROM tb),
+    acts AS (SELECT *, lead(n) OVER w AS next_n, lead(tab_id) OVER w AS next_tab FROM o WHERE kind = 'tab_activated' WINDOW w AS (PARTITION BY stream_id, window_id ORDER BY n)),
+    closed AS (SELECT a.stream_id, a.window_id, a.n, MIN(r.n) AS closed_n FROM acts a JOIN o r ON r.stream_id = a.stream_id AND r.window_id = a.window_id AND r.kind = 'tab_removed' AND r.tab_id = a.tab_id
+      AND r.n > a.n AND r.n < coalesce(a.next_n, 9e15) GROUP BY ALL),
+    periods AS (SELECT a.*, closed_n, coalesce(closed_n, next_n, 9e15) AS last_n FROM acts a LEFT JOIN closed USING (stream_id, window_id, n))"""
+
+
 @query(
     "b8_tab_order",
-    f"""WITH {_TABS} SELECT seq, row_number() OVER (PARTITION BY stream_id ORDER BY ts, seq) AS global_sequence, row_number() OVER (PARTITION BY stream_id, window_id ORDER BY ts, seq) AS window_sequence,
-      lag(tab_id) OVER (PARTITION BY stream_id, window_id ORDER BY ts, seq) AS previous_tab_id FROM tb WHERE kind = 'tab_activated'""",
+    f"""WITH {_PERIODS} SELECT seq, row_number() OVER (PARTITION BY stream_id ORDER BY ts, seq) AS global_sequence, row_number() OVER w AS window_sequence,
+      CASE WHEN lag(closed_n) OVER w IS NULL THEN lag(tab_id) OVER w END AS previous_tab_id FROM periods WINDOW w AS (PARTITION BY stream_id, window_id ORDER BY ts, seq)""",
 )
 def b8(spark, sf_dir):
-    rows = _tabs(spark, sf_dir).filter("kind = 'tab_activated'").withColumn("id", c("seq").cast("string"))
-    return B.tab_order(rows, I.OPTIONS.sessions.slice_ms).select("seq", "global_sequence", "window_sequence", "previous_tab_id")
+    rows = B.tab_order(_tabs(spark, sf_dir), I.OPTIONS.sessions.slice_ms)
+    return rows.select("seq", "global_sequence", "window_sequence", "previous_tab_id")
 
 
 @query(
     "b9_dwell_segments",
-    f"""WITH {_TABS}, tl AS (SELECT *, lead(ts) OVER w AS nt, lead(kind) OVER w AS nk, lead(tab_id) OVER w AS nb FROM tb WINDOW w AS (PARTITION BY stream_id, window_id ORDER BY ts, seq)),
-      tr AS (SELECT seq, epoch_ms(nt) - epoch_ms(ts) AS duration_ms, CASE WHEN nk = 'tab_activated' AND nb <> tab_id THEN 'tab_switch' WHEN nk = 'navigation' AND nb = tab_id THEN 'navigation'
-        WHEN nk = 'tab_removed' AND nb = tab_id THEN 'tab_closed' WHEN nk = 'window_blur' THEN 'window_blur' END AS reason FROM tl WHERE kind IN ('tab_activated', 'navigation', 'window_focus'))
-      SELECT seq, duration_ms, reason FROM tr WHERE duration_ms > 0 AND reason IS NOT NULL""",
+    f"""WITH {_PERIODS},
+      ev AS (SELECT p.stream_id, p.window_id, p.n AS p, p.tab_id AS tab, p.next_n, p.next_tab, p.closed_n, p.last_n, e.n, e.seq, e.ts, e.kind FROM periods p
+        JOIN o e ON e.stream_id = p.stream_id AND e.window_id = p.window_id AND e.n BETWEEN p.n AND p.last_n
+        WHERE e.n IN (p.n, p.last_n) OR e.kind IN ('window_focus', 'window_blur') OR (e.kind = 'navigation' AND e.tab_id = p.tab_id)),
+      tl AS (SELECT *, lead(n) OVER w AS nn, lead(ts) OVER w AS nt, lead(kind) OVER w AS nk FROM ev WINDOW w AS (PARTITION BY stream_id, window_id, p ORDER BY n)),
+      tr AS (SELECT seq, tab AS tab_id, epoch_ms(nt) - epoch_ms(ts) AS duration_ms, CASE WHEN nn = closed_n THEN 'tab_closed' WHEN nn = next_n AND closed_n IS NULL THEN CASE WHEN next_tab <> tab THEN 'tab_switch' END
+          WHEN nk IN ('navigation', 'window_blur') THEN nk END AS reason FROM tl WHERE n < last_n AND kind <> 'window_blur')
+      SELECT * FROM tr WHERE duration_ms > 0 AND reason IS NOT NULL""",
 )
 def b9(spark, sf_dir):
-    return B.dwell_segments(_tabs(spark, sf_dir), I.OPTIONS.sessions.slice_ms).select("seq", "duration_ms", "reason")
+    rows = B.dwell_segments(_tabs(spark, sf_dir), I.OPTIONS.sessions.slice_ms)
+    return rows.select("seq", "tab_id", "duration_ms", "reason")
 
 
 @query(

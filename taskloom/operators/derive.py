@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, canonical_timestamp, has_text, opaque_hash, short_hash
 from ..functions.urls import segment_slot
 from ..options import DAY, HOUR, MINUTE
 from ..plans.slices import (
+    ORDER,
     order_key,
     with_next_row,
     with_previous_row,
@@ -81,12 +82,12 @@ def active_meetings(polls: DataFrame, meetings: DataFrame, bucket_ms: int = DAY)
 
 
 def meeting_changes(polls: DataFrame, meetings: DataFrame, bucket_ms: int = DAY) -> DataFrame:
-    """Meetings that started or ended between consecutive polls; the first poll seeds.
-
-    Polls are spaced in time, so their number per stream is bounded by the period covered.
-    """
-    w = Window.partitionBy("stream_id").orderBy("at")
-    numbered = polls.select("stream_id", "at").distinct().withColumn("poll", F.row_number().over(w))
+    """Meetings that started or ended between consecutive polls; the first poll seeds."""
+    times = polls.select("stream_id", "at").distinct()
+    times = times.withColumns(
+        {"ts": F.col("at"), "ts_text": F.lit(None).cast("string"), "seq": F.lit(0).cast("long")}
+    )
+    numbered = with_running_number(times, ["stream_id"], "poll", bucket_ms).select("stream_id", "at", "poll")
     active = active_meetings(numbered, meetings, bucket_ms).select("stream_id", "id", "poll", "at")
     key = ["stream_id", "id", "poll"]
     started = (
@@ -251,33 +252,65 @@ def repository_activity(repos: DataFrame, slice_ms: int = HOUR) -> DataFrame:
 # --- browser tabs -----------------------------------------------------------------
 
 
-def tab_order(activations: DataFrame, slice_ms: int = HOUR) -> DataFrame:
-    """Activation numbers per stream and per window, and the tab before."""
+def _with_active_tab(tab_events: DataFrame, slice_ms: int) -> DataFrame:
+    """Add ``act``, the last activation of the window up to each row, and ``gone``, when such a tab was closed.
+
+    ``act`` is (at, tab_id) and ``gone`` an order key; the active tab is still there if ``act.at`` is later.
+    """
+    window = ["stream_id", "window_id"]
+    activated = F.when(
+        F.col("kind") == "tab_activated", F.struct(order_key().alias("at"), F.col("tab_id").alias("tab_id"))
+    )
+    rows = with_running_max(tab_events, window, {"act": activated}, slice_ms)
+    closed = (F.col("kind") == "tab_removed") & (F.col("act.tab_id") == F.col("tab_id"))
+    return with_running_max(rows, window, {"gone": F.when(closed, order_key())}, slice_ms)
+
+
+def tab_order(tab_events: DataFrame, slice_ms: int = HOUR) -> DataFrame:
+    """Activation numbers per stream and per window, and the tab that was active before.
+
+    ``tab_events`` holds all kinds: a window whose active tab was closed has none until the next activation.
+    """
     stream, window = ["stream_id"], ["stream_id", "window_id"]
-    rows = with_running_number(activations, stream, "global_sequence", slice_ms)
+    rows = _with_active_tab(tab_events, slice_ms).filter("kind = 'tab_activated'").drop("act")
+    rows = with_running_number(rows, stream, "global_sequence", slice_ms)
     rows = with_running_number(rows, window, "window_sequence", slice_ms)
-    rows = with_previous_row(rows, window, "before", ["tab_id"], slice_ms)
-    return rows.withColumn("previous_tab_id", F.col("before.tab_id")).drop("before")
+    rows = with_previous_row(rows, window, "before", ["tab_id", *ORDER], slice_ms)
+    since = F.struct(*[F.col(f"before.{k}").alias(k) for k in ORDER])
+    there = F.col("gone").isNull() | (since > F.col("gone"))
+    return rows.withColumn("previous_tab_id", F.when(there, F.col("before.tab_id"))).drop("before", "gone")
 
 
 STARTS = ["tab_activated", "navigation", "route_change", "window_focus"]
 
 
 def dwell_segments(tab_events: DataFrame, slice_ms: int = HOUR) -> DataFrame:
-    """Time a tab stayed in front, with what ended it.
+    """Time the active tab of a window stayed in front, with what ended it.
 
-    ``tab_events``: stream_id, seq, ts, ts_text, window_id, tab_id, kind.
+    ``tab_events``: stream_id, seq, ts, ts_text, window_id, tab_id, kind. Navigation and closing concern the active tab
+    only; those of other tabs neither end nor start a segment. Activating the active tab again, or a focus without a
+    blur before it, starts anew without a segment.
     """
     window = ["stream_id", "window_id"]
-    rows = with_next_row(tab_events, window, "after", ["ts", "kind", "tab_id"], slice_ms)
+    act = F.col("act")
+    rows = _with_active_tab(tab_events, slice_ms).filter(act.isNotNull())
+    there = F.col("gone").isNull() | (act["at"] > F.col("gone"))
+    own = act["tab_id"] == F.col("tab_id")
+    counts = (
+        (F.col("kind") == "tab_activated")
+        | (F.col("kind").isin("window_focus", "window_blur") & there)
+        | (F.col("kind").isin("navigation", "route_change") & own & there)
+        | ((F.col("kind") == "tab_removed") & own)
+    )
+    rows = rows.filter(counts).withColumn("active_tab_id", act["tab_id"]).drop("act", "gone")
+    rows = with_next_row(rows, window, "after", ["ts", "kind", "tab_id"], slice_ms)
     after = F.col("after")
-    other_tab = after["tab_id"] != F.col("tab_id")
     reason = (
-        F.when((after["kind"] == "tab_activated") & other_tab, F.lit("tab_switch"))
-        .when((after["kind"] == "navigation") & ~other_tab, F.lit("navigation"))
-        .when((after["kind"] == "route_change") & ~other_tab, F.lit("route_change"))
-        .when((after["kind"] == "tab_removed") & ~other_tab, F.lit("tab_closed"))
-        .when(after["kind"] == "window_blur", F.lit("window_blur"))
+        F.when(
+            (after["kind"] == "tab_activated") & (after["tab_id"] != F.col("active_tab_id")), F.lit("tab_switch")
+        )
+        .when(after["kind"].isin("navigation", "route_change", "window_blur"), after["kind"])
+        .when(after["kind"] == "tab_removed", F.lit("tab_closed"))
     )
     duration = F.unix_millis(after["ts"]) - F.unix_millis("ts")
     return (
@@ -286,7 +319,7 @@ def dwell_segments(tab_events: DataFrame, slice_ms: int = HOUR) -> DataFrame:
             "stream_id",
             "seq",
             "window_id",
-            "tab_id",
+            F.col("active_tab_id").alias("tab_id"),
             F.col("ts").alias("started_at"),
             after["ts"].alias("ended_at"),
             duration.alias("duration_ms"),
@@ -333,7 +366,7 @@ def bucket(n: Column) -> Column:
 
 
 def page_structure(pages: DataFrame) -> DataFrame:
-    """Structure descriptor and fingerprint of each page's markup."""
+    """Structure descriptor and fingerprint of each page's markup, all its inputs included."""
     html = F.col("_markup")
 
     def tags(pattern: str) -> Column:
@@ -343,7 +376,7 @@ def page_structure(pages: DataFrame) -> DataFrame:
         plain = F.trim(F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "_"), F.lit("_"))
         return F.coalesce(segment_slot(raw), F.nullif(plain, F.lit("")), F.lit("segment"))
 
-    inputs = F.slice(F.regexp_extract_all(html, F.lit(INPUT_TAG), F.lit(0)), 1, 12)
+    inputs = F.regexp_extract_all(html, F.lit(INPUT_TAG), F.lit(0))
     kinds = F.array_sort(
         F.array_distinct(
             F.transform(
