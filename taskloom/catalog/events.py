@@ -421,15 +421,19 @@ def e2(spark, sf_dir):
     )
 
 
-@query("e3_identifier", f"SELECT doc_id, {Q.identifier('text')} AS identifier FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("e3_identifier", f"SELECT doc_id, {Q.identifier('nfc_normalize(text)')} AS identifier FROM documents")
 def e3(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").filter(~c("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("doc_id", identifier(c("text")).alias("identifier"))
+    return table(spark, sf_dir, "documents").select("doc_id", identifier(c("text")).alias("identifier"))
 
 
-@query("e3_identifier_unicode")
+@query("e3_identifier_unicode", f"SELECT doc_id, {Q.identifier('nfc_normalize(text)')} AS identifier FROM documents")
 def e3_unicode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", identifier(c("text")).alias("identifier"))
+    """Every text in each compatibility form that a full-width writing system may give it."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94))
+    plain = "".join(chr(33 + i) for i in range(94))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", identifier(F.translate("text", plain, wide)).alias("identifier")
+    )
 
 
 @query(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..rules.vocabulary import UUID_BODY
 
@@ -44,12 +48,15 @@ def round_score(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / F.lit(100.0)
 
 
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 def compatibility_form(c: Column) -> Column:
-    """Unicode NFKC; only rows with non-ASCII text pay for it."""
-    composed = F.reflect(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True)
-    )
-    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
+    """Unicode NFKC; only non-ASCII texts are sent for it."""
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _composed(F.when(other, c))).otherwise(c)
 
 
 def identifier(c: Column) -> Column:

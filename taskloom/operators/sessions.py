@@ -200,14 +200,14 @@ def rolling_counts(marked: DataFrame, options: SessionOptions) -> DataFrame:
 
 
 def _decide(options: SessionOptions):
-    """Walk the candidates of each stream in order; keep only those that split.
+    """Walk the candidates behind each hard boundary in order; keep only those that split.
 
-    Rows come sorted by stream and candidate, one per block of a candidate's window. All
-    that is carried along is where the current session began.
+    Rows come sorted by stream, hard boundary and candidate, one per block of a candidate's
+    window. All that is carried along is where the current session began.
     """
 
     def walk(frames):
-        stream = candidate = start = None
+        stream = segment = candidate = start = None
         totals = [0, 0, 0, 0]
 
         def splits() -> bool:
@@ -222,15 +222,16 @@ def _decide(options: SessionOptions):
             kept = []
             for r in frame.itertuples(index=False):
                 here = (r.at_ms, r.at_text, r.at_seq)
-                if r.stream_id != stream or here != candidate:
+                hard = (r.hard_ms, r.hard_text, r.hard_seq)
+                own = (r.stream_id, r.has_hard, *hard)
+                if own != segment or here != candidate:
                     if candidate is not None and splits():
                         kept.append((stream, candidate[2]))
                         start = candidate
-                    if r.stream_id != stream:
-                        stream, start = r.stream_id, None
+                    if own != segment:
+                        stream, segment = r.stream_id, own
+                        start = hard if r.has_hard else None
                     candidate, totals = here, [0, 0, 0, 0]
-                    if r.has_hard and (start is None or (r.hard_ms, r.hard_text, r.hard_seq) > start):
-                        start = (r.hard_ms, r.hard_text, r.hard_seq)
                 if r.n and (start is None or (r.first_ms, r.first_text, r.first_seq) >= start):
                     totals[0] += r.n
                     totals[1] += r.same_application
@@ -290,7 +291,9 @@ def surviving_soft_boundaries(marked: DataFrame, options: SessionOptions) -> Dat
         *flat("first", "first"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "same_application", "same_domain", "same_route")],
     )
-    return in_stream_order(rows, ["stream_id"], ["at_ms", "at_text", "at_seq"]).mapInPandas(
+    # A hard boundary starts a session whatever came before, so what lies between two is independent.
+    segment = ["stream_id", "has_hard", "hard_ms", "hard_text", "hard_seq"]
+    return in_stream_order(rows, segment, ["at_ms", "at_text", "at_seq"]).mapInPandas(
         _decide(options), "stream_id string, seq long"
     )
 
