@@ -7,9 +7,10 @@ which a pair's agreement is counted with a few bit operations and corrected for
 
 Within a bucket no pairs are listed. In a round, one leader of each bucket is compared with the members outside its component, and each
 member confirms only the leader that it resembles most; confirmed links join components. Rounds are linear in the bucket rows
-and collapse groups of near copies. What is left are buckets of several components; there members of different
-components are compared inside one join, whose condition is the estimate, so that only likely links come out of it.
-All of those are confirmed. Hence no link is lost but by the two stated error probabilities.
+and collapse groups of near copies; the first leaders are the nodes with the most company, as an original has among its
+copies. What is left are buckets of several components; there members of different components are compared inside
+one join, whose condition is the estimate and then the full sets, so that only links come out of it. Hence no link is
+lost but by the two stated error probabilities.
 """
 
 from __future__ import annotations
@@ -179,11 +180,13 @@ def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     single = found.join(nodes.drop("n_copies"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
     single = materialize(single.withColumnRenamed("n_shingles", "n"), "single")
     rows = single.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    met = materialize(rows.join(shared, "bucket").select("bucket", "node", "size"), "met")
+    company = met.groupBy("node").agg(F.sum("size").alias("company"))
     members = (
-        rows.join(shared.select("bucket"), "bucket", "left_semi")
-        .join(single.select("node", "n", *SIGNATURE), "node")
-        .select("bucket", "node", "n", *SIGNATURE)
+        met.select("bucket", "node")
+        .join(single.select("node", "n", *SIGNATURE).join(company, "node"), "node")
+        .select("bucket", "node", "n", "company", *SIGNATURE)
     )
     members = materialize(members, "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
@@ -195,9 +198,11 @@ def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
             active = members.withColumn("root", F.col("node"))
         else:
             active = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_buckets = active.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
-        pairs = _star(active, turn, percent) if turn < ROUNDS else _rest(active, open_buckets, percent)
-        fresh = materialize(_confirm(pairs, sets, percent), "links")
+        if turn < ROUNDS:
+            fresh = _confirm(_star(active, turn, percent), sets, percent)
+        else:
+            fresh = _rest(active, sets, percent)
+        fresh = materialize(fresh, "links")
         links = fresh if links is None else links.union(fresh)
         root = components(links)
     total = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -217,11 +222,11 @@ def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
 def _star(active: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each node the likeliest of its buckets' leaders in other components: at most one pair a node."""
     names = ["node", "root", "n", *SIGNATURE]
-    order = F.xxhash64("node", F.lit(turn))
+    order = F.struct("company", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
     lead = (
         active.groupBy("bucket")
         .agg(
-            F.min_by(F.struct(*names), order).alias("l"),
+            F.max_by(F.struct(*names), order).alias("l"),
             F.min("root").alias("_first"),
             F.max("root").alias("_last"),
         )
@@ -235,20 +240,33 @@ def _star(active: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(F.least("m_node", "l_node").alias("a"), F.greatest("m_node", "l_node").alias("b")).distinct()
 
 
-def _rest(active: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """The likely pairs between different components that still share a bucket."""
+def _rest(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between different components that still share a bucket.
+
+    First the rows that have a likely partner at all are kept, then those meet with their full sets.
+    """
     names = ["node", "root", "n", *SIGNATURE]
-    still = materialize(
-        active.join(buckets.filter("_a <> _b").select("bucket"), "bucket", "left_semi"), "unsettled"
+    several = active.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
+    still = active.join(several.filter("_a <> _b").select("bucket"), "bucket", "left_semi")
+    still = materialize(still.select("bucket", *names), "unsettled")
+
+    def side(rows: DataFrame, prefix: str, *more: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("bucket", *names, *more)])
+
+    likely = (
+        (F.col("m_bucket") == F.col("l_bucket"))
+        & (F.col("m_root") != F.col("l_root"))
+        & _likely("m_", "l_", percent)
     )
-    left = still.select("bucket", *[F.col(c).alias(f"m_{c}") for c in names])
-    right = still.select(F.col("bucket").alias("_bucket"), *[F.col(c).alias(f"l_{c}") for c in names])
-    different = (F.col("m_node") < F.col("l_node")) & (F.col("m_root") != F.col("l_root"))
-    return (
-        left.join(right, (F.col("bucket") == F.col("_bucket")) & different & _likely("m_", "l_", percent))
-        .select(F.col("m_node").alias("a"), F.col("l_node").alias("b"))
-        .distinct()
+    kept = side(still, "m_").join(side(still, "l_"), likely, "left_semi")
+    kept = kept.select(*[F.col(f"m_{c}").alias(c) for c in ("bucket", *names)]).join(sets, "node")
+    kept = materialize(kept, "likely")
+    both = F.size(F.array_intersect("m_shingles", "l_shingles"))
+    linked = both * 100 >= (F.col("m_n") + F.col("l_n") - both) * percent
+    pairs = side(kept, "m_", "shingles").join(
+        side(kept, "l_", "shingles"), (F.col("m_node") < F.col("l_node")) & likely & linked
     )
+    return pairs.select(F.col("m_node").alias("a"), F.col("l_node").alias("b")).distinct()
 
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
