@@ -25,7 +25,7 @@ from .words import Words, inside, text_chunks, window_hashes
 
 WINDOW = 13
 ATOM = WINDOW // 2 + 1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -280,12 +280,11 @@ def remove_repeated_passages(
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(tasks, math.ceil(size / BLOCK_BYTES))
-    shards = 2 * blocks
     identified = source.filter(F.col("doc_id").isNotNull())
     home = F.coalesce(F.pmod("doc_id", F.lit(blocks)), F.pmod(F.xxhash64("text"), F.lit(blocks)))
     placed = source.withColumn("block", home.cast("long"))
-    recurring = _recurring(_window_shards(identified, shards, window), blocks)
-    passages = _passages(placed, recurring, shards, window)
+    recurring = _recurring(_window_shards(identified, blocks, window), blocks)
+    passages = _passages(placed, recurring, blocks, window)
 
     def locate(rows: pa.Table, known: pa.Table) -> pa.Table:
         automaton = PassageAutomaton(

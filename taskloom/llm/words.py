@@ -11,7 +11,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 LONG_WORD = 128
 
 _SPACE = np.zeros(256, dtype=bool)
