@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from types import SimpleNamespace
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.text import (
@@ -25,9 +29,11 @@ from ..operators import normalize as N
 from ..operators import privacy as P
 from ..options import UrlOptions
 from ..plans.activity import activity, raw_events, table
+from ..plans.materialize import scratch_dir
 from ..plans.session import configure
 from ..sources import store
-from ..sources.events import coerce_events
+from ..sources.events import coerce_events, read_events, read_json, read_ndjson
+from ..streaming import live
 from . import inputs as I
 from . import sql as Q
 from .registry import query
@@ -86,6 +92,92 @@ def a4_rejected(spark, sf_dir):
     return rejected.groupBy("error").agg(F.count("*").alias("events"))
 
 
+_ACCEPTED = "SELECT seq, source, source_event_type, application, action, target FROM coerced WHERE event_type <> 'purchase'"
+
+
+def _files(spark, sf_dir, as_lines):
+    """The incoming events as text files in the shared folder; ``as_lines`` makes a partition's lines."""
+
+    def write(frames):
+        for frame in frames:
+            yield pd.DataFrame({"value": as_lines(frame["value"].tolist())})
+
+    path = f"{scratch_dir(spark)}/incoming-{uuid.uuid4().hex}"
+    lines = _incoming(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    lines.mapInPandas(write, "value string").write.text(path)
+    return path
+
+
+def _accepted(frame):
+    return coerce_events(frame)[0].select("seq", "source", "source_event_type", "application", "action", "target")
+
+
+def _as_array(lines):
+    return ["[", *[x + "," for x in lines[:-1]], *lines[-1:], "]"]
+
+
+@query("a1_ndjson_events", Q.upto("activity", _ACCEPTED, _COERCED))
+def a1(spark, sf_dir):
+    """Lines of their own, with blank and unreadable ones between them."""
+    path = _files(spark, sf_dir, lambda lines: [y for x in lines for y in ("", x, "{bad")])
+    return _accepted(read_ndjson(spark, path))
+
+
+@query("a2_json_wrapper", Q.upto("activity", _ACCEPTED, _COERCED))
+def a2(spark, sf_dir):
+    path = _files(spark, sf_dir, lambda lines: ['{"events":', *_as_array(lines), "}"])
+    return _accepted(read_json(spark, path))
+
+
+@query("a2_json_array", Q.upto("activity", _ACCEPTED, _COERCED))
+def a2_array(spark, sf_dir):
+    return _accepted(read_json(spark, _files(spark, sf_dir, _as_array)))
+
+
+@query("a3_reader_choice", Q.upto("activity", _ACCEPTED, _COERCED))
+def a3(spark, sf_dir):
+    """The folder's name says nothing, so the text decides."""
+    return _accepted(read_events(spark, _files(spark, sf_dir, _as_array)))
+
+
+@query(
+    "a5_continuous_ingest",
+    Q.upto("activity", "SELECT seq, source, source_event_type, application, action FROM coerced WHERE event_type <> 'purchase'", _COERCED),
+)
+def a5(spark, sf_dir):
+    arriving = live.read_event_stream(spark, _files(spark, sf_dir, list), files_per_batch=4)
+    base = f"{scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    rows = live.live_raw_events(arriving)
+    live.append_stream(rows, f"{base}/events", f"{base}/checkpoint").awaitTermination()
+    stored = spark.read.schema(rows.schema).parquet(f"{base}/events")
+    return stored.select("seq", "source", "source_event_type", "application", "action")
+
+
+@query(
+    "a6_stored_run",
+    Q.upto("placed", """SELECT stream_id, COUNT(DISTINCT session_seq) AS sessions, COUNT(*) AS steps, COUNT(*) AS events FROM placed GROUP BY 1"""),
+)
+def a6(spark, sf_dir):
+    """Two runs are stored; reading follows the pointer to the later one."""
+    path = f"{scratch_dir(spark)}/runs-{uuid.uuid4().hex}"
+    grouped = I.signature_groups(spark, sf_dir)
+    run = SimpleNamespace(
+        events=I.labelled(spark, sf_dir),
+        assigned=I.assigned(spark, sf_dir),
+        sessions=I.described(spark, sf_dir),
+        clusters=grouped.groupBy("workflow_signature").agg(F.count("*").alias("frequency")),
+        bridge=grouped.select("session_id", "workflow_signature"),
+    )
+    older = SimpleNamespace(**{**vars(run), "events": run.events.limit(0), "sessions": run.sessions.limit(0)})
+    store.write_analysis(older, path, F.lit("2024-01-01").cast("timestamp"))
+    store.write_analysis(run, path, F.lit("2024-01-02").cast("timestamp"))
+    kept = store.read_analysis(spark, path)
+    counts = [
+        kept[t].groupBy("stream_id").agg(F.count("*").alias(t)) for t in ("sessions", "steps", "events")
+    ]
+    return counts[0].join(counts[1], "stream_id").join(counts[2], "stream_id")
+
+
 @query(
     "a7_events_in_range",
     Q.upto("activity", f"""SELECT seq, stream_id, {Q.TEXT} AS ts_text FROM activity

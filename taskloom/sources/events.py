@@ -62,15 +62,13 @@ def coerce_events(
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted raw events, rejected rows): trimmed, defaulted, typed (A4).
 
-    Rows without a ``seq`` are numbered in reading order.
+    Rows without a ``seq`` get a number from their content, so reading them again gives the
+    same ids however the files are split.
     """
     now = iso_utc(F.current_timestamp() if received_at is None else received_at)
     kind = blank_to_null(F.col("sourceEventType"))
-    number = (
-        F.col("seq")
-        if incoming.isStreaming
-        else F.coalesce("seq", F.monotonically_increasing_id())
-    )
+    content = [F.col(f.name) for f in INCOMING.fields if f.name != "seq"]
+    number = F.coalesce("seq", F.pmod(F.xxhash64(*content), F.lit(2**53)))
 
     def text(name: str) -> Column:
         return blank_to_null(F.col(name))
