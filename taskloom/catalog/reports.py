@@ -15,7 +15,7 @@ from ..operators import payloads as K
 from ..operators import report as R
 from ..operators.sessions import session_steps
 from ..options import SessionOptions
-from ..plans.activity import table
+from ..plans.activity import raw_events, table
 from ..plans.materialize import scratch_dir
 from ..plans.session import configure
 from ..schema import FEEDBACK_FIELDS
@@ -800,13 +800,10 @@ STREAMED = SessionOptions(inactivity_ms=I.OPTIONS.sessions.inactivity_ms)
 
 
 def _event_stream(spark, sf_dir):
+    """The events table as a stream."""
     configure(spark)
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.select(
-        c("user_id").cast("string").alias("stream_id"), c("event_id").alias("seq"),
-        F.date_trunc("millisecond", "ts").alias("ts"), "event_type", "props",
-    )
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _written(spark, rows):
@@ -827,21 +824,55 @@ g2 AS (SELECT stream_id, MIN(ts) AS start_ts, MAX(ts) AS end_ts, COUNT(*) AS ste
       WHERE epoch_ms(end_ts) + {150000 * Q.S} <= (SELECT epoch_ms(MAX(ts)) FROM activity) - 3600000""", _IDLE),
 )
 def l2(spark, sf_dir):
-    return _written(spark, live.live_idle_sessions(_event_stream(spark, sf_dir).withWatermark("ts", "1 hour"), STREAMED))
+    events = _event_stream(spark, sf_dir).select(
+        c("user_id").cast("string").alias("stream_id"), F.date_trunc("millisecond", "ts").alias("ts")
+    )
+    return _written(spark, live.live_idle_sessions(events.withWatermark("ts", "1 hour"), STREAMED))
 
 
 @query("l1_streaming_labels")
 def l1(spark, sf_dir):
-    from ..plans.activity import as_raw
-
-    raw = as_raw(_event_stream(spark, sf_dir))
+    raw = raw_events(spark, sf_dir, _event_stream(spark, sf_dir))
     labels = live.live_labels(raw).select("stream_id", "seq", "application", "action_name", "action_confidence")
     return _written(spark, labels)
 
 
-@query("l3_streaming_sessions")
+_LIVE = f"""ls AS (SELECT stream_id, session_seq, MAX(boundary_reason) AS boundary_reason, MIN(epoch_ms(ts)) AS start_ms, MAX(epoch_ms(ts)) AS end_ms, COUNT(*) AS step_count FROM placed GROUP BY ALL),
+lm AS (SELECT epoch_ms(MAX(ts)) - 3600000 AS mark FROM placed),
+ln AS (SELECT *, lead(start_ms) OVER (PARTITION BY stream_id ORDER BY start_ms, session_seq) AS next_ms FROM ls)"""
+
+
+@query(
+    "l3_streaming_sessions",
+    Q.upto("placed", f"SELECT ln.* EXCLUDE (next_ms) FROM ln, lm WHERE next_ms < mark OR end_ms + {150000 * Q.S} < mark", _LIVE),
+)
 def l3(spark, sf_dir):
-    from ..plans.activity import as_raw
+    """All sessions that the final watermark, an hour before the last event, has passed."""
+    known = I.labelled(spark, sf_dir)
+    folder = known.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(known.schema).parquet(folder).withWatermark("ts", "1 hour")
+    return _written(spark, live.live_sessions(stream, I.OPTIONS.sessions))
+
 
-    labelled = live.live_labels(as_raw(_event_stream(spark, sf_dir)), "1 hour")
-    return _written(spark, live.live_sessions(labelled, I.OPTIONS.sessions))
+@query("l5_periodic_refresh", "SELECT user_id::VARCHAR AS stream_id, ts::DATE AS day, COUNT(*) AS events FROM events GROUP BY ALL")
+def l5(spark, sf_dir):
+    """A daily report, kept fresh by every batch that arrives; days without news are left alone."""
+    configure(spark)
+    base = f"{scratch_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select(
+        c("user_id").cast("string").alias("stream_id"), "event_id", F.to_date("ts").alias("day")
+    )
+    events.repartition(8).write.parquet(f"{base}/arriving")
+
+    def refresh(batch, number):
+        batch.write.mode("overwrite").parquet(f"{base}/events/batch={number}")
+        stored = spark.read.schema(batch.schema).parquet(f"{base}/events/batch=*")
+        touched = stored.join(batch.select("day").distinct(), "day", "left_semi")
+        report = touched.groupBy("stream_id", "day").agg(F.count("*").alias("events"))
+        report.write.mode("overwrite").parquet(f"{base}/report/batch={number}")
+
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{base}/arriving")
+    live.refresh_reports(arriving, refresh, f"{base}/checkpoint").awaitTermination()
+    versions = spark.read.parquet(f"{base}/report")
+    newest = versions.groupBy("day").agg(F.max("batch").alias("batch"))
+    return versions.join(newest, ["day", "batch"]).select("stream_id", "day", "events")

@@ -39,21 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def activity(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events`` may be the events table as a stream; pages are always read as they are."""
     pages = table(spark, sf_dir, "pages")
     return spark.sql(
         ACTIVITY_SQL,
-        events=table(spark, sf_dir, "events"),
+        events=table(spark, sf_dir, "events") if events is None else events,
         pages=pages.select("page_id", "url"),
         page_count=pages.count(),
     )
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Unsanitised raw events with millisecond times, as a collector would send them."""
     text = iso_utc(F.col("event_ts"))
     none = F.lit(None).cast("string")
-    return activity(spark, sf_dir).select(
+    return activity(spark, sf_dir, events).select(
         stable_id("raw_event", F.col("stream_id"), F.col("seq").cast("string")).alias("id"),
         "stream_id",
         "seq",
@@ -74,35 +75,3 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         F.lit("{}").alias("metadata"),
     )
-
-
-def as_raw(events: DataFrame) -> DataFrame:
-    """Unbounded events (stream_id, seq, ts, event_type, props) in the raw-event shape."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    browser = F.col("event_type").isin("click", "view", "purchase")
-    kinds = {"click": "browser.click", "view": "chrome.navigation", "purchase": "form.submit", "signup": "app.switch"}
-    kind = F.lit("file.download")
-    for name, value in kinds.items():
-        kind = F.when(F.col("event_type") == name, F.lit(value)).otherwise(kind)
-    none = F.lit(None).cast("string")
-    return events.select(
-        stable_id("raw_event", F.col("stream_id"), F.col("seq").cast("string")).alias("id"),
-        "stream_id",
-        "seq",
-        "ts",
-        iso_utc(F.col("ts")).alias("ts_text"),
-        F.when(browser, F.lit("chrome_extension")).otherwise(F.lit("desktop")).alias("source"),
-        kind.alias("source_event_type"),
-        F.when(browser, F.lit("Google Chrome")).when(k % 3 == 0, F.lit("Slack")).otherwise(F.lit("Outlook")).alias("application"),
-        none.alias("window_title"),
-        none.alias("domain"),
-        F.when(browser, F.concat(F.lit("https://admin.example.com/orders/"), (k + 1000).cast("string"))).alias("url"),
-        none.cast("int").alias("browser_schema_version"),
-        none.alias("canonical_url"),
-        none.alias("route_template"),
-        none.alias("route_key"),
-        none.alias("resource_hash"),
-        F.element_at(F.split(kind, r"\."), -1).alias("action"),
-        F.when(k % 5 == 0, F.lit("search_order")).when(k % 5 == 1, F.lit("status_dropdown")).alias("target"),
-        F.lit("{}").alias("metadata"),
-    )
