@@ -35,6 +35,8 @@ CONSISTENT = 1.41
 CUTOFF = 60.0
 LEAST_ROWS = 50
 STEPS = 6
+# Parts that a group's rows are dealt in when they meet their group's estimate.
+PARTS = 32
 BINS_PER_OCTAVE = 16
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -158,10 +160,16 @@ def _distance() -> Column:
     return reduce(add, [off[i] * off[j] * F.col("_precision")[i * n + j] for i in range(n) for j in range(n)])
 
 
+def _with_estimate(rows: DataFrame, estimate: DataFrame, how: str) -> DataFrame:
+    """Rows with their group's estimate; a group's rows stay spread over many tasks."""
+    spread = estimate.withColumn("_its_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.join(spread, (F.col("_group") == F.col("_key")) & (F.col("_part") == F.col("_its_part")), how)
+
+
 def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One concentration step: the estimate from the nearest rows under the one given."""
     n = len(AXES)
-    placed = rows.join(estimate, F.col("_group") == F.col("_key")).withColumn(
+    placed = _with_estimate(rows, estimate, "inner").withColumn(
         "_bin", F.floor(F.log2(F.greatest(_distance(), F.lit(2.0**-20))) * BINS_PER_OCTAVE)
     )
     sums = [F.sum(a).alias(f"s{i}") for i, a in enumerate(AXES)]
@@ -198,8 +206,9 @@ def judge_quality(
     and fail the base rule. Equal rows get equal results; nothing is merged.
     """
     rows = with_group(with_statistics(documents, [doc_id, *keys], text).withColumns(axes()), list(keys))
+    rows = rows.withColumn("_part", (F.monotonically_increasing_id() % PARTS).cast("int"))
     rows = materialize(rows, "statistics")
-    known = rows.filter(F.col("_group").isNotNull()).select("_group", *AXES)
+    known = rows.filter(F.col("_group").isNotNull()).select("_group", "_part", *AXES)
     estimate = _first_estimate(known)
     for _ in range(steps):
         estimate = _step(known, estimate)
@@ -207,8 +216,8 @@ def judge_quality(
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
     return (
-        rows.join(estimate, F.col("_group") == F.col("_key"), "left")
+        _with_estimate(rows, estimate, "left")
         .withColumns({"base_failed": failed, "distance": _distance()})
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
-        .drop("_group", "_key", "_mean", "_precision", *AXES)
+        .drop("_group", "_key", "_part", "_its_part", "_mean", "_precision", *AXES)
     )
