@@ -30,7 +30,6 @@ from ..rules import vocabulary as V
 from .sessions import SESSION
 
 CLUSTER = ["stream_id", "cluster_seq"]
-DESCRIPTOR = ["stream_id", "descriptor"]
 
 
 # --- descriptors ------------------------------------------------------------------
@@ -157,14 +156,17 @@ class _Shapes:
 
 
 class _Leaders:
-    """The sequential rule for one group, fed the first copies of each descriptor.
+    """The sequential rule for one group.
 
     A session joins the cluster with the best mean of its two nearest members, if that
     reaches the threshold. Once a descriptor has two members in a cluster, every later
     copy scores the maximum there, and a third copy changes no score. So later copies
-    neither need to be looked at nor influence anything.
+    go there without being compared, and what is held grows with distinct descriptors.
     """
 
+    # Sequence scores that are remembered; beyond that they are worked out again.
+    REMEMBERED = 200_000
+
     def __init__(self, weights, threshold: float):
         self.weights, self.threshold = weights, threshold
         self.actions, self.contexts = _Shapes(), _Shapes()
@@ -176,7 +178,6 @@ class _Leaders:
         self.founders: list[int] = []
         self.flat_cluster, self.flat_descriptor = array("q"), array("q")
         self.home: dict = {}
-        self.placed: list = []
 
     def _best(self, me: int, row) -> int | None:
         w, threshold = self.weights, self.threshold
@@ -195,6 +196,8 @@ class _Leaders:
         def exact(i: int) -> float:
             key = (self.tokens[i], self.tokens[me])
             if key not in self.sequence:
+                if len(self.sequence) >= self.REMEMBERED:
+                    self.sequence.clear()
                 self.sequence[key] = sequence_score(*key)
             return ((self.sequence[key] * w[0] + rest[0][i]) + rest[1][i]) + rest[2][i]
 
@@ -213,8 +216,11 @@ class _Leaders:
                 best, best_score = c, score
         return best
 
-    def place(self, row) -> None:
+    def place(self, row) -> int:
+        """The founder of the cluster that the next session belongs to."""
         me = self.number.get(row.descriptor)
+        if me in self.home and self.members[self.home[me]].count(me) == 2:
+            return self.founders[self.home[me]]
         if me is None:
             me = self.number[row.descriptor] = len(self.tokens)
             self.tokens.append(tuple(row.tokens))
@@ -232,19 +238,7 @@ class _Leaders:
             self.flat_cluster.append(best)
             self.flat_descriptor.append(me)
         self.home[me] = best
-        more = row.copies > row.taken
-        self.placed.append((row.stream_id, row.session_seq, row.descriptor, best, me, more))
-
-    def results(self) -> list:
-        settled = {d: self.members[c].count(d) >= 2 for d, c in self.home.items()}
-        return [
-            (stream, session, descriptor, self.founders[c], self.founders[self.home[d]],
-             more and not settled[d])
-            for stream, session, descriptor, c, d, more in self.placed
-        ]
-
-
-FOLD_COLUMNS = ["stream_id", "session_seq", "descriptor", "cluster_seq", "settled_seq", "open"]
+        return self.founders[best]
 
 
 def _leader_fold(options: ClusterOptions, keys: list[str]):
@@ -254,30 +248,18 @@ def _leader_fold(options: ClusterOptions, keys: list[str]):
     weights = (1.0, 0.0, 0.0, 0.0) if legacy else (w.sequence, w.action_set, w.context, w.time_of_day)
 
     def walk(frames):
-        group, leaders, done = None, None, []
+        group, leaders = None, None
         for frame in frames:
-            names = zip(*[frame[k] for k in keys])
-            for name, row in zip(names, frame.itertuples(index=False)):
+            founders = []
+            for name, row in zip(zip(*[frame[k] for k in keys]), frame.itertuples(index=False)):
                 if name != group:
-                    if leaders is not None:
-                        done.extend(leaders.results())
                     group, leaders = name, _Leaders(weights, options.similarity_threshold)
-                leaders.place(row)
-            if done:
-                yield pd.DataFrame(done, columns=FOLD_COLUMNS)
-                done = []
-        if leaders is not None:
-            yield pd.DataFrame(leaders.results(), columns=FOLD_COLUMNS)
+                founders.append(leaders.place(row))
+            yield frame[["stream_id", "session_seq"]].assign(cluster_seq=founders)
 
     return walk
 
 
-_FOLD_SCHEMA = (
-    "stream_id string, session_seq long, descriptor string, cluster_seq long, "
-    "settled_seq long, open boolean"
-)
-
-
 def vocabulary_parts(heads: DataFrame) -> DataFrame:
     """(stream_id, action, part): actions that occur together, directly or in steps.
 
@@ -310,66 +292,38 @@ def vocabulary_parts(heads: DataFrame) -> DataFrame:
 def assign_clusters(candidates: DataFrame, options: ClusterOptions) -> DataFrame:
     """``cluster_seq`` for every candidate: the session_seq of the cluster's founder.
 
-    What reaches the sequential fold is bounded by distinct descriptors, not sessions.
+    Streams are divided into vocabularies that cannot meet the threshold together, wherever the
+    weights allow that, and each is walked in order of time.
     """
-    copies = candidates.groupBy(*DESCRIPTOR).agg(F.count("*").alias("copies"))
-    rank = Window.partitionBy(*DESCRIPTOR).orderBy("start_time", "start_order")
-    first_copies = 3
     w = options.similarity_weights.normalized()
     splittable = (
         options.strategy == "legacy"
         or options.similarity_threshold > w.context + w.time_of_day
     )
-    while True:
-        heads = (
-            candidates.withColumn("_n", F.row_number().over(rank))
-            .filter(F.col("_n") <= first_copies)
-            .join(copies, DESCRIPTOR)
-            .select(
-                *SESSION,
-                "descriptor",
-                "start_time",
-                F.col("start_order")["ms"].alias("ms"),
-                F.col("start_order")["seq"].alias("seq"),
-                "tokens",
-                "action_set",
-                "contexts",
-                "start_minute",
-                "copies",
-                F.lit(first_copies).alias("taken"),
-            )
+    rows = candidates.select(
+        *SESSION,
+        "descriptor",
+        "start_time",
+        F.col("start_order")["ms"].alias("ms"),
+        F.col("start_order")["seq"].alias("seq"),
+        "tokens",
+        "action_set",
+        "contexts",
+        "start_minute",
+    )
+    keys = ["stream_id"]
+    if splittable:
+        keys = ["stream_id", "part"]
+        rows = (
+            rows.withColumn("action", F.get("action_set", 0))
+            .join(vocabulary_parts(rows), ["stream_id", "action"], "left")
+            .drop("action")
         )
-        heads = materialize(heads, "heads")
-        keys = ["stream_id"]
-        if splittable:
-            large = (
-                heads.groupBy("stream_id")
-                .agg(F.count("*").alias("n"))
-                .filter(F.col("n") > options.component_split_above)
-                .select("stream_id")
-            )
-            if not large.isEmpty():
-                parts = vocabulary_parts(heads.join(large, "stream_id", "left_semi"))
-                heads = heads.withColumn("action", F.get("action_set", 0)).join(
-                    parts, ["stream_id", "action"], "left"
-                ).drop("action")
-                keys = ["stream_id", "part"]
-        ordered = in_stream_order(heads, keys, ["start_time", "ms", "seq"])
-        folded = materialize(
-            ordered.mapInPandas(_leader_fold(options, keys), _FOLD_SCHEMA), "fold"
-        )
-        if folded.filter("open").isEmpty():
-            break
-        # Some descriptor has not settled: look at more of its copies.
-        first_copies *= 2
-    own = folded.select(*SESSION, "cluster_seq")
-    settled = folded.select(*DESCRIPTOR, "settled_seq").distinct()
-    return (
-        candidates.join(own, SESSION, "left")
-        .join(settled, DESCRIPTOR)
-        .withColumn("cluster_seq", F.coalesce("cluster_seq", "settled_seq"))
-        .drop("settled_seq")
+    ordered = in_stream_order(rows, keys, ["start_time", "ms", "seq"])
+    placed = ordered.mapInPandas(
+        _leader_fold(options, keys), "stream_id string, session_seq long, cluster_seq long"
     )
+    return candidates.join(materialize(placed, "fold"), SESSION)
 
 
 # --- cluster facts ----------------------------------------------------------------

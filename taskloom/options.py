@@ -94,9 +94,6 @@ class ClusterOptions:
     strategy: str = "hybrid_v2"
     similarity_weights: SimilarityWeights = field(default_factory=SimilarityWeights)
     confidence_weights: ConfidenceWeights = field(default_factory=ConfidenceWeights)
-    # Physical only: groups with more distinct descriptors than this are first
-    # divided into independent vocabularies.
-    component_split_above: int = 20_000
 
 
 @dataclass(frozen=True)

@@ -242,7 +242,7 @@ SESSION_SCHEMA = (
 def test_clusters_equal_the_sequential_rule(spark, seed, threshold):
     rows = _random_sessions(seed)
     frame = spark.createDataFrame(rows, SESSION_SCHEMA).repartition(5)
-    options = ClusterOptions(similarity_threshold=threshold, component_split_above=10**9)
+    options = ClusterOptions(similarity_threshold=threshold)
     found = assign_clusters(frame, options).select("session_seq", "cluster_seq").collect()
     assert {r[0]: r[1] for r in found} == _plain_loop(rows, threshold)
 
@@ -250,7 +250,7 @@ def test_clusters_equal_the_sequential_rule(spark, seed, threshold):
 def test_independent_vocabularies(spark):
     rows = _random_sessions(9)
     frame = spark.createDataFrame(rows, SESSION_SCHEMA)
-    options = ClusterOptions(similarity_threshold=0.74, component_split_above=1)
+    options = ClusterOptions(similarity_threshold=0.74)
     found = assign_clusters(frame, options).select("session_seq", "cluster_seq").collect()
     assert {r[0]: r[1] for r in found} == _plain_loop(rows, 0.74)
     sets = spark.createDataFrame([("s", ["a", "b"]), ("s", ["b", "c"]), ("s", ["d"])], "stream_id string, action_set array<string>")
