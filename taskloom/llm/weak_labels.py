@@ -6,8 +6,8 @@ that only as counts of vote patterns: one aggregation with at most 3^heuristics
 The posterior of a document's pattern is its label, and a linear scorer of hashed features learns from the
 labels, so documents on which the heuristics abstain or contradict each other are judged by their words.
 
-The scorer is fitted in one task on a sample of about ``sample`` documents, chosen by a hash of the text; votes, estimation and scoring
-cover all documents.
+The scorer is fitted in one task on a sample of at most about ``sample`` distinct texts, chosen by their hash; votes,
+estimation and scoring cover all documents.
 """
 
 from __future__ import annotations
@@ -200,6 +200,8 @@ def classify_quality(
     chosen = source.select("text", F.xxhash64("text").alias("_at")).filter(
         F.pmod("_at", F.lit(1 << 30)) < int(share * (1 << 30))
     )
+    # A text of very many copies counts once, so the sample stays bounded.
+    chosen = chosen.groupBy("_at").agg(F.any_value("text").alias("text"))
     rows = chosen.mapInArrow(learn_rows, "at long, label double, bins array<int>, values array<double>")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
