@@ -221,15 +221,11 @@ def f12(spark, sf_dir):
 
 @query(
     "f13_sessions_with_steps",
-    Q.upto("placed", """SELECT stream_id, session_seq, string_agg(action_name, '>' ORDER BY idx) AS steps FROM placed GROUP BY ALL"""),
+    Q.upto("placed", """SELECT stream_id, session_seq, row_number() OVER (PARTITION BY stream_id, session_seq ORDER BY idx) AS step_order, action_name FROM placed"""),
 )
 def f13(spark, sf_dir):
     steps = S.session_steps(I.assigned(spark, sf_dir))
-    return steps.groupBy("stream_id", "session_seq").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("step_order", "action_name"))), lambda s: s["action_name"]), ">"
-        ).alias("steps")
-    )
+    return steps.select("stream_id", "session_seq", c("step_order").cast("long").alias("step_order"), "action_name")
 
 
 # --- similarity -------------------------------------------------------------------
