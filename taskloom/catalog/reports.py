@@ -198,20 +198,20 @@ def i9_approved(spark, sf_dir):
 @query(
     "i10_previous_window_totals",
     Q.upto("described", """SELECT (SELECT SUM(n) FROM cur)::BIGINT - (SELECT SUM(n) FROM prv)::BIGINT AS session_delta, round((SELECT SUM(secs) FROM cur) - (SELECT SUM(secs) FROM prv), 2) AS tracked_seconds_delta,
-      (SELECT COUNT(*) FROM cur) - (SELECT COUNT(*) FROM prv) AS confirmed_workflow_delta, (SELECT COUNT(*) FROM cur WHERE approved) - (SELECT COUNT(*) FROM prv WHERE approved) AS approved_candidate_delta""", _WINDOWS),
+      (SELECT COUNT(*) FROM cur) - (SELECT COUNT(*) FROM prv) AS confirmed_workflow_delta, (SELECT COUNT(*) FROM cur WHERE approved) - (SELECT COUNT(*) FROM prv WHERE approved) AS approved_candidate_delta,
+      (SELECT COUNT(*) FROM cur WHERE NOT coalesce(approved, false)) - (SELECT COUNT(*) FROM prv WHERE NOT coalesce(approved, false)) AS emerging_workflow_delta""", _WINDOWS),
 )
 def i10(spark, sf_dir):
     before = CURRENT.shifted()
     d = I.one_stream(I.described(spark, sf_dir)).withColumn("ts", c("start_ts"))
-    out = R.compare_totals(
-        _window_entries(spark, sf_dir, CURRENT),
-        _window_entries(spark, sf_dir, before),
-        R.report_totals(R.in_window(d, CURRENT)),
-        R.report_totals(R.in_window(d, before)),
-    )
+    entries = [_window_entries(spark, sf_dir, w) for w in (CURRENT, before)]
+    totals = [R.report_totals(R.in_window(d, w)) for w in (CURRENT, before)]
+    # What is not approved stands for the emerging workflows here.
+    open_ones = [e.filter(~F.coalesce("approved_automation_candidate", F.lit(False))) for e in entries]
+    out = R.compare_totals(*entries, *totals, *open_ones)
     return out.select(
         "session_delta", F.round("tracked_seconds_delta", 2).alias("tracked_seconds_delta"),
-        "confirmed_workflow_delta", "approved_candidate_delta",
+        "confirmed_workflow_delta", "approved_candidate_delta", "emerging_workflow_delta",
     )
 
 

@@ -322,26 +322,45 @@ def approved_changes(comparison: DataFrame) -> DataFrame:
 
 
 def compare_totals(
-    current: DataFrame, previous: DataFrame, current_totals: DataFrame, previous_totals: DataFrame
+    current: DataFrame,
+    previous: DataFrame,
+    current_totals: DataFrame,
+    previous_totals: DataFrame,
+    current_emerging: DataFrame | None = None,
+    previous_emerging: DataFrame | None = None,
 ) -> DataFrame:
-    """Changes of the totals between two reports per stream."""
+    """Changes of the totals between two reports per stream.
+
+    The last two frames are the reports' emerging workflows; without them their change is 0.
+    """
     approved = F.coalesce(F.col("approved_automation_candidate"), F.lit(False))
 
-    def sums(entries: DataFrame, totals: DataFrame, sign: int) -> DataFrame:
+    def sums(entries: DataFrame, totals: DataFrame, emerging: DataFrame | None, sign: int) -> DataFrame:
         counted = entries.groupBy("stream_id").agg(
             F.count("*").alias("workflows"),
             F.count(F.when(approved, 1)).alias("approved"),
             F.sum(F.when(approved, F.col("total_duration_seconds")).otherwise(0.0)).alias("approved_seconds"),
         )
-        joined = totals.join(counted, "stream_id", "full_outer").na.fill(0)
-        values = ["total_sessions", "total_tracked_seconds", "workflows", "approved", "approved_seconds"]
+        joined = totals.join(counted, "stream_id", "full_outer")
+        if emerging is None:
+            joined = joined.withColumn("emerging", F.lit(0).cast("long"))
+        else:
+            found = emerging.groupBy("stream_id").agg(F.count("*").alias("emerging"))
+            joined = joined.join(found, "stream_id", "full_outer")
+        joined = joined.na.fill(0)
+        values = [
+            "total_sessions", "total_tracked_seconds", "workflows", "emerging", "approved", "approved_seconds",
+        ]
         return joined.select("stream_id", *[(F.col(v) * sign).alias(v) for v in values])
 
-    both = sums(current, current_totals, 1).unionByName(sums(previous, previous_totals, -1))
+    both = sums(current, current_totals, current_emerging, 1).unionByName(
+        sums(previous, previous_totals, previous_emerging, -1)
+    )
     return both.groupBy("stream_id").agg(
         F.sum("total_sessions").alias("session_delta"),
         F.sum("total_tracked_seconds").alias("tracked_seconds_delta"),
         F.sum("workflows").alias("confirmed_workflow_delta"),
+        F.sum("emerging").alias("emerging_workflow_delta"),
         F.sum("approved").alias("approved_candidate_delta"),
         F.sum("approved_seconds").alias("approved_candidate_seconds_delta"),
     )
