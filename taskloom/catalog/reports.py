@@ -779,18 +779,28 @@ def _tag_count(pattern: str) -> str:
 _LANDMARKS = ", ".join(f"CASE WHEN regexp_matches(mk, '(?i)<{n}\\b') THEN '{n}' END" for n in B.LANDMARKS)
 
 
+_TAGS = {
+    "forms": r"(?i)<form\b", "tables": r"(?i)<table\b", "links": r"(?i)<a\b[^>]*\shref\b",
+    "buttons": r"""(?i)<button\b|<[a-z0-9]+\b[^>]*\srole\s*=\s*["']?button\b""",
+    "inputs": r"(?i)<(?:input|textarea|select)\b", "headings": r"(?i)<h[123]\b",
+}
+
+
 @query(
     "b11_page_structures",
-    f"""WITH mk AS (SELECT html, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g') AS mk FROM pages)
-      SELECT array_to_string(list_filter([{_LANDMARKS}], lambda x: x IS NOT NULL), ',') AS landmarks, {_tag_count('(?i)<form[^a-z0-9_]')} AS forms, {_tag_count('(?i)<a[^a-z0-9_][^>]*[ ]?href')} AS links,
-        {_tag_count('(?i)<h[123][^a-z0-9_]')} AS headings, COUNT(*) AS pages FROM mk GROUP BY ALL""",
+    f"""WITH mk AS (SELECT html, lower(regexp_extract(html, '(?i)^\\s*<!doctype\\s+([a-z]+)', 1)) AS dt, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g') AS mk FROM pages)
+      SELECT CASE WHEN dt = 'html' THEN 'CSS1Compat' ELSE 'BackCompat' END AS mode, CASE WHEN dt = '' THEN 'unknown' ELSE dt END AS doctype,
+        array_to_string(list_filter([{_LANDMARKS}], lambda x: x IS NOT NULL), ',') AS landmarks, {', '.join(f'{_tag_count(x)} AS {n}' for n, x in _TAGS.items())},
+        regexp_matches(mk, '(?i)<input\\b[^>]*\\stype\\s*=\\s*["'']?file\\b') AS file_input,
+        regexp_matches(mk, '(?i)\\scontenteditable\\s*=\\s*["'']?true\\b|\\srole\\s*=\\s*["'']?textbox\\b') AS rich_text, COUNT(*) AS pages FROM mk GROUP BY ALL""".replace("\\\\", "\\"),
 )
 def b11(spark, sf_dir):
-    shape = "landmarks ARRAY<STRING>, counts STRUCT<forms: STRING, links: STRING, headings: STRING>"
+    counts = ", ".join(f"{n}: STRING" for n in _TAGS)
+    shape = f"compatMode STRING, doctype STRING, landmarks ARRAY<STRING>, counts STRUCT<{counts}>, hasFileInput BOOLEAN, hasRichText BOOLEAN"
     grouped = B.pages_by_structure(table(spark, sf_dir, "pages")).withColumn("d", F.from_json("descriptor", shape))
     return grouped.groupBy(
-        F.array_join("d.landmarks", ",").alias("landmarks"), c("d.counts.forms").alias("forms"),
-        c("d.counts.links").alias("links"), c("d.counts.headings").alias("headings"),
+        c("d.compatMode").alias("mode"), c("d.doctype").alias("doctype"), F.array_join("d.landmarks", ",").alias("landmarks"),
+        *[c(f"d.counts.{n}").alias(n) for n in _TAGS], c("d.hasFileInput").alias("file_input"), c("d.hasRichText").alias("rich_text"),
     ).agg(F.sum("pages").alias("pages"))
 
 
