@@ -10,6 +10,7 @@ holds a third of all rows, is only ever summed. Binning makes the steps independ
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
@@ -27,12 +28,14 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 
 AXES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 # The least standard deviation on each axis: statistics that hardly vary in a group must not
-# turn small differences into large distances.
-FLOORS = (0.5, 0.1, 0.05, 0.1, 0.1)
+# turn small differences into large distances. One line said twice is ordinary in a short text, so the axis of lines is
+# wide; hardly any ordinary text has symbols, so theirs is narrow.
+FLOORS = (0.5, 0.1, 0.04, 0.2, 0.1)
 SUBSET = 0.75
 # Fixed value: makes the scatter of the nearest 75 % consistent for five normal variables.
 CONSISTENT = 1.41
-CUTOFF = 60.0
+# Share of normal rows within the cutoff.
+INSIDE = 0.999
 LEAST_ROWS = 50
 STEPS = 6
 # Parts that a group's rows are dealt in when they meet their group's estimate.
@@ -45,6 +48,19 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def chi_square_quantile(share: float) -> float:
+    """The squared distance within which ``share`` of five independent standard normal variables lie."""
+    low, high = 0.0, 200.0
+    for _ in range(80):
+        x = (low + high) / 2
+        beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+        low, high = (x, high) if beyond > 1 - share else (low, x)
+    return (low + high) / 2
+
+
+CUTOFF = chi_square_quantile(INSIDE)
+
+
 def _per_text(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.concatenate(([0], np.cumsum(flags)))
     return total[first[1:]] - total[first[:-1]]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from taskloom.llm.decontamination import drop_contaminated, find_contamination
 from taskloom.llm.language import codewords, fit_languages, held_out, identify_languages
-from taskloom.llm.outliers import judge_quality
+from taskloom.llm.outliers import CUTOFF, judge_quality
 from taskloom.llm.weak_labels import classify_quality, estimate_accuracies
 
 from .conftest import EDGES, documents_frame
@@ -106,6 +106,30 @@ def test_outliers_go_and_ordinary_rows_stay(spark):
     assert all(abs(again[i] - got[i].distance) < 1e-6 * (1 + got[i].distance) for i in known)
 
 
+def test_moderate_junk_goes_and_a_repeated_line_stays(spark):
+    random.seed(18)
+    assert abs(CUTOFF - 20.515) < 1e-3  # chi-square of five degrees, 0.999
+    rows, gone = [], set()
+    for i in range(300):
+        words = [f"w{random.randrange(10**5, 10**6)}" for _ in range(random.randint(60, 300))]
+        if i % 30 == 1:  # 6 to 7 % symbols
+            words[::2] = [f"{w} |" for w in words[::2]]
+            gone.add(i)
+        if i % 30 == 2:  # 12.5 % symbols
+            words = [f"{w} |" for w in words]
+            gone.add(i)
+        if i % 30 == 3:  # one symbol in a long text
+            words[5] += "$"
+        lines = [" ".join(words[k : k + 20]) for k in range(0, 60, 20)] + [" ".join(words[60:])]
+        if i % 30 == 4:  # one line of five said twice
+            lines.append(lines[0][:30])
+            lines[0] = lines[0][:30]
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: r for r in judge_quality(documents_frame(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == gone
+
+
 def test_estimation_finds_the_accuracies():
     random = np.random.default_rng(9)
     truth = random.random(20_000) < 0.7
