@@ -2,9 +2,10 @@
 
 Texts are canonicalised word by word: numbers, units after a number and names become typed placeholders, other words are
 lower-cased and lose punctuation at their ends. Windows of the canonical words are hashed and joined to those of
-the benchmark, which finds questions that were copied with other numbers or names. A pair of an item
-and a document then has to be consistent: every value of a slot in the item must stand for one value in the
-document, and the other way round, over all joined windows. Chance matches of templates fail that.
+the benchmark, which finds questions that were copied with other numbers or names. 
+A changed window has to be consistent with the other windows of its placement: every value of a slot in the item must
+stand for one value in the document. Windows that touch a value which stands for several do not count, unless
+nothing is changed in them.
 
 Document windows meet the benchmark in two steps. A bit filter of fixed size (2 MB), filled from all benchmark windows, is sent
 to the tasks and drops nearly all windows that cannot match; the rest goes through a shuffled hash join with the
@@ -197,16 +198,24 @@ def find_contamination(
     pairs = F.arrays_zip(F.col("_theirs").alias("a"), F.col("slots").alias("b"))
     placed = (
         met.groupBy(F.col("key").alias(doc_key), "row", item_key, "_item", (F.col("start") - F.col("_from")).alias("_shift"))
-        # A placement has no more windows than the item has words.
-        .agg(F.count("*").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_pairs"))
-        .filter(
-            (F.size("_pairs") == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["a"]))))
-            & (F.size("_pairs") == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["b"]))))
+        # A placement has no more windows than the item has words, in three forms.
+        .agg(F.collect_set(F.struct("start", pairs.alias("pairs"))).alias("_met"))
+        .withColumn("_values", F.array_sort(F.array_distinct(F.flatten("_met.pairs"))["a"]))
+        .withColumn("_several", F.filter("_values", lambda v, i: (i > 0) & (F.get("_values", i - 1) == v)))
+        .withColumn(
+            "_good",
+            F.filter(
+                "_met",
+                lambda m: F.forall(m["pairs"], lambda p: p["a"] == p["b"])
+                | ~F.arrays_overlap(m["pairs"]["a"], F.col("_several")),
+            ),
         )
+        .filter(F.size("_good") > 0)
     )
-    changed = F.size(F.filter("_pairs", lambda p: p["a"] != p["b"])).cast("long")
+    changed = F.filter(F.array_distinct(F.flatten("_good.pairs")), lambda p: p["a"] != p["b"])
     return placed.groupBy(doc_key, item_key).agg(
-        F.max("n_windows").alias("n_windows"), F.min(changed).alias("n_changed")
+        F.max(F.size(F.array_distinct("_good.start")).cast("long")).alias("n_windows"),
+        F.min(F.size(changed).cast("long")).alias("n_changed"),
     )
 
 

@@ -190,3 +190,21 @@ def test_contamination(spark, edges, empty):
     assert drop_contaminated(edges, items).count() == len(EDGES)
     assert find_contamination(empty, items).collect() == []
     assert drop_contaminated(edges, items.limit(0)).count() == len(EDGES)
+
+
+def found(spark, items, documents):
+    items = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = find_contamination(documents_frame(spark, list(documents.items())), items).collect()
+    return {(r.doc_id, r.item_id): (r.n_windows, r.n_changed) for r in got}
+
+
+def test_values_may_become_equal_and_a_conflict_is_local(spark):
+    head = "the farmer puts 3 red apples and 5 green pears into the large basket today"
+    rest = " ".join(f"word{i}" for i in range(40))
+    items = {1: head, 2: f"{rest} {head}", 3: f"{rest} {head.replace('5', '3')}"}
+    equal, torn = head.replace("3", "4").replace("5", "4"), head.replace("3", "8").replace("5", "9")
+    got = found(spark, items, {20: equal, 21: f"{rest} {torn}", 22: f"{rest} {equal}"})
+    assert got[(20, 1)] == (3, 2)
+    assert got[(22, 2)] == (43, 2)
+    # One item value became two: windows with it do not count, the 40 copied words do.
+    assert got[(21, 3)] == (31, 0)
