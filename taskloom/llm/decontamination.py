@@ -2,7 +2,9 @@
 
 Texts are canonicalised word by word: numbers, units after a number and names become typed placeholders, other words are
 lower-cased and lose punctuation at their ends. Windows of the canonical words are hashed and joined to those of
-the benchmark, which finds questions that were copied with other numbers or names. 
+the benchmark, which finds questions that were copied with other numbers or names. Every window also has a literal form,
+of all its words in lower case without types, so that plain copies match in any case. A window's first word has no word before it to tell its type; where that matters it is taken both ways.
+
 A changed window has to be consistent with the other windows of its placement: every value of a slot in the item must
 stand for one value in the document. Windows that touch a value which stands for several do not count, unless
 nothing is changed in them.
@@ -54,7 +56,7 @@ class Canonical:
     def _clear(self):
         self.code: dict[bytes, int] = {}
         self.traits = np.zeros((1024, 4), dtype=bool)
-        self.values = np.zeros(1024, dtype=np.uint64)
+        self.values = np.zeros((1024, 2), dtype=np.uint64)
 
     def _add(self, word: bytes) -> None:
         at = len(self.code)
@@ -69,11 +71,14 @@ class Canonical:
             len(core) > 1 and core.decode(errors="replace").istitle(),
             word.endswith(_ENDS),
         )
-        self.values[at] = int.from_bytes(hashlib.blake2b(lower, digest_size=8).digest(), "little")
+        # Words of punctuation alone have one value, but are told apart in literal windows.
+        self.values[at] = [
+            int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in (lower, lower or word)
+        ]
         self.code[word] = at
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Types and value hashes of a text's words."""
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Types of a text's words, their other types as first words (-1: none), value hashes and literal hashes."""
         words = text.split()
         try:
             codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
@@ -91,15 +96,30 @@ class Canonical:
         kind = np.where(
             number, NUMBER, np.where(unit & beside, UNIT, np.where(named & ~begins, NAME, WORD))
         )
-        return kind, self.values[codes]
+        other = np.where((kind == UNIT) | (kind == NAME), WORD, np.where(named & (kind == WORD), NAME, -1))
+        return kind, other, *self.values[codes].T
+
 
+def forms(kind: np.ndarray, other: np.ndarray, value: np.ndarray, exact: np.ndarray, size: int):
+    """Yields (starts, hashes, types of the first words) of the windows' forms; -1 marks the literal form.
 
-def templates(kind: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows, and which have enough literal words to mean anything."""
+    Windows need enough literal words to mean anything.
+    """
+    n = len(kind) - size + 1
+    if n <= 0:
+        return
     literal = kind == WORD
-    hashes = mix(window_hashes(np.where(literal, value, kind.astype(np.uint64)), size) + np.uint64(size))
+    tail = window_hashes(np.where(literal, value, kind.astype(np.uint64))[1:], size - 1)
     total = np.concatenate(([0], np.cumsum(literal)))
-    return hashes, (total[size:] - total[:-size])[: len(hashes)] >= min(LEAST_LITERALS, size - 1)
+    enough = total[size:] - total[1 : n + 1] - min(LEAST_LITERALS, size - 1)
+    second = np.flatnonzero(other[:n] >= 0)
+    for start, first in ((np.arange(n), kind[:n]), (second, other[second])):
+        good = enough[start] + (first == WORD) >= 0
+        start, first = start[good], first[good]
+        head = np.where(first == WORD, value[start], first.astype(np.uint64))
+        yield start, mix(tail[start] + mix(head) + np.uint64(size)), first
+    start = np.flatnonzero(total[size:] - total[:n] >= min(LEAST_LITERALS, size - 1))
+    yield start, mix(window_hashes(exact, size) + np.uint64(size | 1 << 32))[start], np.full(len(start), -1)
 
 
 def _may_match(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -108,7 +128,7 @@ def _may_match(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _windows(rows: DataFrame, sizes: list[int], own_size: bool, bits=None) -> DataFrame:
-    """Windows of rows (key, text): template hash, start, and hashes of the typed words in order.
+    """Windows of rows (key, text): hash of each form, start, and hashes of the typed words in order.
 
     With ``own_size`` a text shorter than the longest size is one window of its own size; else
     every size is taken from every text. ``row`` tells input rows apart.
@@ -122,20 +142,21 @@ def _windows(rows: DataFrame, sizes: list[int], own_size: bool, bits=None) -> Da
             of, row, start, template, slots = [], [], [], [], []
             for i, t in enumerate(texts):
                 number += 1
-                kind, value = canonical.of(t)
+                kind, other, value, exact = canonical.of(t)
                 of_text = sizes
                 if own_size:
                     of_text = [min(longest, len(kind))] if min(longest, len(kind)) in sizes else []
                 for size in of_text:
-                    hashes, good = templates(kind, value, size)
-                    if table is not None and len(hashes):
-                        good &= _may_match(table, hashes)
-                    for p in np.flatnonzero(good).tolist():
-                        of.append(i)
-                        row.append((task << 36) | number)
-                        start.append(p)
-                        template.append(int(hashes[p].view(np.int64)))
-                        slots.append(value[p : p + size][kind[p : p + size] != WORD].view(np.int64))
+                    for starts, hashes, firsts in forms(kind, other, value, exact, size):
+                        some = np.arange(len(starts)) if table is None else np.flatnonzero(_may_match(table, hashes))
+                        for p, h, first in zip(starts[some].tolist(), hashes[some].view(np.int64).tolist(), firsts[some]):
+                            typed = kind[p : p + size] != WORD
+                            typed[0] = first != WORD
+                            of.append(i)
+                            row.append((task << 36) | number)
+                            start.append(p)
+                            template.append(h)
+                            slots.append(value[p : p + size][typed & (first >= 0)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     chunk.column("key").take(pa.array(of, pa.int64())),
@@ -175,8 +196,8 @@ def find_contamination(
 ) -> DataFrame:
     """Pairs (doc_key, item_key) whose texts share a consistent template window.
 
-    n_windows is the most windows of one placement of the item in the document, n_changed the slots whose value differs
-    there at least: 0 for a plain copy. Items of fewer words than the window count if all their words match;
+    n_windows is the most consistent windows of one placement of the item in the document, n_changed the slots whose value
+    differs there at least: 0 for a plain copy. Items of fewer words than the window count if all their words match;
     items of under 5 words match nothing. Null and empty texts match nothing, repeated rows of one key are one pair (of
     the most windows), a null key is a key like others, and other columns are not read.
     """

@@ -198,6 +198,22 @@ def found(spark, items, documents):
     return {(r.doc_id, r.item_id): (r.n_windows, r.n_changed) for r in got}
 
 
+def test_copies_in_other_places_and_cases(spark):
+    capital = "What is the capital city of France?"
+    items = {1: QUESTION, 2: capital}
+    documents = {
+        20: f"filler words stand here {capital} and more",
+        21: f"filler words stand here {capital.replace('France', 'Peru')} and more",
+        22: QUESTION.upper(),
+        23: f"so {QUESTION.lower()} it goes",
+        24: "filler words stand here What is the colour city of France",
+    }
+    n = len(QUESTION.split()) - 12
+    assert found(spark, items, documents) == {
+        (20, 2): (1, 0), (21, 2): (1, 1), (22, 1): (n, 0), (23, 1): (n, 0)
+    }
+
+
 def test_values_may_become_equal_and_a_conflict_is_local(spark):
     head = "the farmer puts 3 red apples and 5 green pears into the large basket today"
     rest = " ".join(f"word{i}" for i in range(40))
