@@ -3,7 +3,8 @@
 Texts are canonicalised word by word: numbers, units after a number and names become typed placeholders, other words are
 lower-cased and lose punctuation at their ends. Windows of the canonical words are hashed and joined to those of
 the benchmark, which finds questions that were copied with other numbers or names. Every window also has a literal form,
-of all its words in lower case without types, so that plain copies match in any case. A window's first word has no word before it to tell its type; where that matters it is taken both ways.
+of all its words in lower case without types, so that plain copies match in any case and however few literal words
+they have. A window's first word has no word before it to tell its type; where that matters it is taken both ways.
 
 A changed window has to be consistent with the other windows of its placement: every value of a slot in the item must
 stand for one value in the document. Windows that touch a value which stands for several do not count, unless
@@ -103,7 +104,7 @@ class Canonical:
 def forms(kind: np.ndarray, other: np.ndarray, value: np.ndarray, exact: np.ndarray, size: int):
     """Yields (starts, hashes, types of the first words) of the windows' forms; -1 marks the literal form.
 
-    Windows need enough literal words to mean anything.
+    Typed forms need enough literal words to mean anything, the literal form does not.
     """
     n = len(kind) - size + 1
     if n <= 0:
@@ -118,8 +119,7 @@ def forms(kind: np.ndarray, other: np.ndarray, value: np.ndarray, exact: np.ndar
         start, first = start[good], first[good]
         head = np.where(first == WORD, value[start], first.astype(np.uint64))
         yield start, mix(tail[start] + mix(head) + np.uint64(size)), first
-    start = np.flatnonzero(total[size:] - total[:n] >= min(LEAST_LITERALS, size - 1))
-    yield start, mix(window_hashes(exact, size) + np.uint64(size | 1 << 32))[start], np.full(len(start), -1)
+    yield np.arange(n), mix(window_hashes(exact, size) + np.uint64(size | 1 << 32)), np.full(n, -1)
 
 
 def _may_match(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:

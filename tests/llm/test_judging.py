@@ -214,6 +214,20 @@ def test_copies_in_other_places_and_cases(spark):
     }
 
 
+def test_copies_with_few_literal_words(spark):
+    numbers = " ".join(f"{i} and {i + 1} or" if i % 3 == 0 else f"{i} {i * i}" for i in range(20, 36))
+    items = {1: "What is 12 times 7?", 2: "Add 4 km and 5 km twice", 3: numbers, 4: "+ - * / ="}
+    documents = {
+        20: "he asked what is 12 times 7 today",
+        21: "what is 13 times 8",
+        22: "please Add 4 km and 5 km twice now",
+        23: f"table {numbers} end",
+        25: "now + - * / = then",
+    }
+    n = len(numbers.split()) - 12
+    assert found(spark, items, documents) == {(20, 1): (1, 0), (22, 2): (1, 0), (23, 3): (n, 0), (25, 4): (1, 0)}
+
+
 def test_values_may_become_equal_and_a_conflict_is_local(spark):
     head = "the farmer puts 3 red apples and 5 green pears into the large basket today"
     rest = " ".join(f"word{i}" for i in range(40))
