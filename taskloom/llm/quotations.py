@@ -2,8 +2,8 @@
 
 Lines that begin with ``>`` are quoted, once per mark. Runs of lines of one level are passages. Normalised passages and normalised
 originals (whole messages, paragraphs, lines) are hashed, and passages join the originals of their hash: the latest earlier
-message of the same conversation, or else the one message of the whole table that has it. The linked message of the outermost level
-is what a message replies to; without a link that is the message before it.
+message of the same conversation, or else the first message that has it in the smallest other conversation. The linked message of the
+outermost level that a message quotes is what it replies to; without a link that is the message before it.
 
 "The latest one before" is found in slices of turns: a window inside a slice, and a table with one row per slice for what lies before.
 So one conversation or one common line may hold any share of the rows.
@@ -156,10 +156,12 @@ def link_quotations(
 
 def _links(placed: DataFrame) -> DataFrame:
     """Per message with a linked passage: n_linked, parent_turn (same conversation), quoted_conv_id, quoted_turn."""
-    passages = placed.select("row", "conv_id", "turn", F.posexplode("passages").alias("passage", "_p"))
+    outermost = F.array_min("passages.level").alias("outermost")
+    passages = placed.select("row", "conv_id", "turn", outermost, F.posexplode("passages").alias("passage", "_p"))
     asked = passages.select(
-        "row", "conv_id", "turn", "passage", "_p.level", F.posexplode("_p.units").alias("rank", "unit")
-    )
+        "row", "conv_id", "turn", "passage", (F.col("_p.level") == F.col("outermost")).alias("outer"),
+        F.posexplode("_p.units").alias("rank", "unit"),
+    )
     asked = materialize(asked, "passages")
     own = placed.select("conv_id", "turn", F.explode("units").alias("unit"))
     own = own.join(asked.select("unit").distinct(), "unit", "left_semi").distinct()
@@ -167,26 +169,38 @@ def _links(placed: DataFrame) -> DataFrame:
         own.withColumn("_original", F.lit(True)), allowMissingColumns=True
     )
     near = latest_before(rows, ["conv_id", "unit"], "turn", "_original", "found").filter(~F.col("_original"))
-    single = own.groupBy("unit").agg(
-        F.count("*").alias("_n"), F.min("conv_id").alias("_conv"), F.min("turn").alias("_turn")
+    # The two smallest conversations of a unit, so that one of them is another one than the asking.
+    ranked = Window.partitionBy("unit").orderBy("conv_id")
+    smallest = (
+        own.groupBy("unit", "conv_id").agg(F.min("turn").alias("turn"))
+        .withColumn("_rank", F.row_number().over(ranked))
+        .filter("_rank <= 2")
+        .groupBy(F.col("unit").alias("_unit"))
+        .agg(F.min(F.struct("conv_id", "turn")).alias("_first"), F.max(F.struct("conv_id", "turn")).alias("_second"))
+    )
+    other = F.when(F.col("_first.conv_id") != F.col("conv_id"), F.col("_first")).when(
+        F.col("_second.conv_id") != F.col("conv_id"), F.col("_second")
     )
-    single = single.filter("_n = 1").drop("_n").withColumnRenamed("unit", "_unit")
-    both = near.join(single, F.col("unit") == F.col("_unit"), "left").select(
-        "row", "conv_id", "turn", "passage", "level", "rank",
-        F.coalesce("found", F.when(F.col("_conv") != F.col("conv_id"), F.col("_turn"))).alias("to_turn"),
-        F.when(F.col("found").isNotNull(), F.col("conv_id")).otherwise(F.col("_conv")).alias("to_conv"),
-        F.col("found").isNull().alias("elsewhere"),
+    both = (
+        near.join(smallest, F.col("unit") == F.col("_unit"), "left")
+        .withColumn("_other", other)
+        .select(
+            "row", "conv_id", "turn", "passage", "outer", "rank",
+            F.coalesce("found", "_other.turn").alias("to_turn"),
+            F.when(F.col("found").isNotNull(), F.col("conv_id")).otherwise(F.col("_other.conv_id")).alias("to_conv"),
+            F.col("found").isNull().alias("elsewhere"),
+        )
     )
     # One link per passage: the same conversation first, then the longest part.
     best = (
         both.filter(F.col("to_turn").isNotNull())
         .groupBy("row", "passage")
-        .agg(F.min(F.struct("elsewhere", "rank", "level", "to_conv", "to_turn")).alias("l"))
+        .agg(F.min(F.struct("elsewhere", "rank", "outer", "to_conv", "to_turn")).alias("l"))
     )
-    outer = F.when(F.col("l.level") == 1, F.struct(~F.col("l.elsewhere"), "l.to_turn", "l.to_conv"))
+    outer = F.when(F.col("l.outer"), F.struct(~F.col("l.elsewhere"), "l.to_turn", "l.to_conv"))
     return best.groupBy("row").agg(
         F.count("*").alias("n_linked"),
-        F.max(F.when(~F.col("l.elsewhere") & (F.col("l.level") == 1), F.col("l.to_turn"))).alias("parent_turn"),
+        F.max(F.when(~F.col("l.elsewhere") & F.col("l.outer"), F.col("l.to_turn"))).alias("parent_turn"),
         F.max(outer)["to_conv"].alias("quoted_conv_id"),
         F.max(outer)["to_turn"].alias("quoted_turn"),
     )

@@ -77,6 +77,29 @@ def test_reply_order_and_sources(spark):
     assert Counter((r.conv_id, r.turn) for r in rows)[(2, 2)] == 2
 
 
+def test_originals_that_occur_twice(spark):
+    line = quote("It has two lines.")
+    rows = [(1, 0, A), (1, 1, B), (2, 0, "Opening"), (2, 1, f"{line}\nfrom elsewhere"), (2, 2, f"{quote(A)}\nall of it")]
+    # Conversation 0 says the line later than it quotes it, and conversation 2 says it later too.
+    rows += [(0, 0, f"{line}\nfirst"), (0, 1, "It has two lines."), (2, 3, A)]
+
+    def got(rows):
+        return {(r.conv_id, r.turn): r[3:8] for r in link_quotations(frame(spark, rows)).collect() if r.n_quotes}
+
+    once = got(rows)
+    assert once == {(2, 1): (1, 1, 0, 0, 1), (2, 2): (1, 1, 1, 1, 0), (0, 0): (1, 1, None, 1, 0)}
+    copies = [(c + 10, t, x) for c, t, x in rows if c == 1] + [(30, t, x) for c, t, x in rows if c == 1]
+    assert got(rows + copies) == once
+
+
+def test_outermost_level_may_be_deeper(spark):
+    rows = [(1, 0, A), (1, 1, B), (1, 2, f"{quote(quote(A))}\nyes"), (1, 3, f"{quote(quote(A))}\n{quote('unknown')}\nno")]
+    got = {r.turn: r for r in link_quotations(frame(spark, rows)).collect()}
+    assert (got[2].parent_turn, got[2].quoted_conv_id, got[2].quoted_turn) == (0, 1, 0)
+    # Here the outermost passage is of level 1 and has no original.
+    assert (got[3].n_linked, got[3].parent_turn, got[3].quoted_turn) == (1, 2, None)
+
+
 def test_empty_table(spark):
     assert link_quotations(frame(spark, [])).collect() == []
 
