@@ -2,8 +2,9 @@
 
 Every language has a codeword of +1 and -1. For each place of the codewords a binary classifier says on which side
 a text lies, from its hashed character n-grams. Decoding compares a text's margins with every codeword: each place adds a logistic
-loss weighted by its margin, and the codeword of least loss wins. A text is ambiguous if the best
-codeword is hardly better than the next.
+loss weighted by its margin, and the codeword of least loss wins. A text is decoded in parts of some words, since sums
+over a long text make any small lead certain; its score is the mean probability of the best language over its parts, and
+a text is ambiguous if that is below three quarters, as in texts of several languages.
 
 The classifiers come from one table of sums, (language, bin, count), which all training rows fill through partial
 aggregation; it has at most languages x bins rows whatever the input, so the driver may read it. Applying the
@@ -26,17 +27,20 @@ from .words import text_chunks
 BINS = 1 << 13
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
-AMBIGUOUS_BELOW = 0.6
+PART_BYTES = 30
+AMBIGUOUS_BELOW = 0.75
+# Parts whose evidence is looked up at once, which bounds memory on long texts.
+PARTS_AT_ONCE = 512
 
 _OTHER = re.compile(r"[\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_bins(text: bytes, bins: int = BINS) -> np.ndarray:
-    """Bins of a text's n-grams over its letters, words parted by one space; empty without letters."""
+def _grams(text: bytes, bins: int) -> list[np.ndarray]:
+    """Per size, the bins of a text's n-grams in order; empty without letters."""
     letters = _OTHER.sub(" ", text.decode().lower()).strip()
     if not letters:
-        return np.zeros(0, dtype=np.int64)
+        return []
     data = np.frombuffer(f" {letters} ".encode(), dtype=np.uint8).astype(np.uint64)
     shift, found, value = np.uint64(64 - (bins.bit_length() - 1)), [], data
     for n in range(2, max(GRAMS) + 1):
@@ -44,8 +48,30 @@ def gram_bins(text: bytes, bins: int = BINS) -> np.ndarray:
         if not value.size:
             break
         if n in GRAMS:
-            found.append(((value + np.uint64(n << 56)) * _MIX) >> shift)
-    return np.concatenate(found).astype(np.int64)
+            found.append((((value + np.uint64(n << 56)) * _MIX) >> shift).astype(np.int64))
+    return found
+
+
+def gram_bins(text: bytes, bins: int = BINS) -> np.ndarray:
+    """Bins of a text's n-grams over its letters, words parted by one space; empty without letters."""
+    return np.concatenate([np.zeros(0, dtype=np.int64), *_grams(text, bins)])
+
+
+def part_sums(text: bytes, weights: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Evidence of the parts of a text, of about PART_BYTES each; a row per part, no rows without letters."""
+    grams = _grams(text, bins)
+    if not grams:
+        return np.zeros((0, weights.shape[1]))
+    size = len(grams[0]) + 1
+    parts = max(1, round(size / PART_BYTES))
+    start = np.arange(parts + 1) * size // parts
+    sums = np.zeros((parts, weights.shape[1]))
+    for of_size in grams:
+        for low in range(0, parts, PARTS_AT_ONCE):
+            high = min(low + PARTS_AT_ONCE, parts)
+            some = weights[of_size[start[low] : start[high]]]
+            sums[low:high] += np.add.reduceat(some, start[low:high] - start[low])
+    return sums
 
 
 def codewords(languages: int) -> np.ndarray:
@@ -78,16 +104,17 @@ class LanguageModel:
     weights: np.ndarray
     clip: float = 40.0
 
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index and probability of the nearest codeword for rows of bin counts."""
+    def predict(self, sums: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index and mean probability of the best language of texts, whose rows in ``sums`` begin at ``first``."""
         if len(self.languages) == 1:
-            return np.zeros(len(counts), dtype=np.int64), np.ones(len(counts))
-        margin = np.clip(counts @ self.weights, -self.clip, self.clip)
-        loss = np.zeros((len(counts), len(self.code)))
+            return np.zeros(len(first), dtype=np.int64), np.ones(len(first))
+        margin = np.clip(sums, -self.clip, self.clip)
+        loss = np.zeros((len(sums), len(self.code)))
         for place in range(self.code.shape[1]):
             loss += np.logaddexp(0.0, -margin[:, place, None] * self.code[None, :, place])
         share = np.exp(loss.min(axis=1, keepdims=True) - loss)
         share /= share.sum(axis=1, keepdims=True)
+        share = np.add.reduceat(share, first) / np.diff([*first, len(sums)])[:, None]
         best = share.argmax(axis=1)
         return best, share[np.arange(len(best)), best]
 
@@ -149,12 +176,14 @@ def identify_languages(
         for rows, texts in text_chunks(batches, text):
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for at in range(0, len(texts), 256):
-                bins_of = [gram_bins(t, bins) for t in texts[at : at + 256]]
-                some = [i for i, b in enumerate(bins_of) if len(b)]
-                if not some or not known.languages:
+                if not known.languages:
+                    continue
+                sums = [part_sums(t, known.weights, bins) for t in texts[at : at + 256]]
+                some = [i for i, x in enumerate(sums) if len(x)]
+                if not some:
                     continue
-                counts = np.stack([np.bincount(bins_of[i], minlength=bins) for i in some]).astype(float)
-                best, score = known.predict(counts)
+                sizes = [len(sums[i]) for i in some]
+                best, score = known.predict(np.concatenate([sums[i] for i in some]), np.cumsum([0, *sizes[:-1]]))
                 for i, b, s in zip(some, best, score):
                     names[at + i], scores[at + i] = known.languages[b], s
             unsure = [n != UNKNOWN and s < AMBIGUOUS_BELOW for n, s in zip(names, scores)]

@@ -58,6 +58,20 @@ def test_mixed_text_is_ambiguous(spark, labelled):
     assert got[1].score < got[2].score
 
 
+def test_half_and_half_is_ambiguous_at_any_length(spark, labelled):
+    model, rows, mixed = fit_languages(labelled), [], {}
+    for n in (10, 30, 100, 1000):
+        for a in LANGUAGES:
+            rows.append((len(rows), text_in(a, 2 * n, n)))
+            mixed[len(rows) - 1] = False
+            for b in set(LANGUAGES) - {a}:
+                rows.append((len(rows), f"{text_in(a, n, n)} {text_in(b, n, n + 1)}"))
+                mixed[len(rows) - 1] = True
+    got = {r.doc_id: r for r in identify_languages(documents_frame(spark, rows), model).collect()}
+    assert {i: r.ambiguous for i, r in got.items()} == mixed
+    assert all(got[i].score > 0.9 for i, m in mixed.items() if not m)
+
+
 def test_codewords_differ():
     for n in (2, 4, 6, 9, 40):
         code = codewords(n)
