@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
+from .line_dedup import drop_repeated_lines
 from .language import fit_languages, held_out, identify_languages
 from .near_duplicates import link_documents
 from .outliers import judge_quality
@@ -115,6 +116,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(documents(spark, sf_dir), benchmark)
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_repeated_lines(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -126,6 +132,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 # Positions come from the texts between matches. Values with a checksum are beyond SQL: ``spans``
@@ -198,4 +205,19 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM smallest LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op1_secret_scan": OP1_SQL, "op4_phrase_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL}
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+common AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT k.*, keeper IS NOT NULL AND doc_id <> keeper AS gone FROM k LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id
+"""
+
+ORACLES = {"op1_secret_scan": OP1_SQL, "op4_phrase_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op13_line_dedup": OP13_SQL}
