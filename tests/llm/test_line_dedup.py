@@ -53,6 +53,7 @@ def test_equals_brute_force_with_and_without_hot_lines(spark, monkeypatch):
     frame = documents_frame(spark, given).repartition(5)
     expected = brute(given)
     assert got(drop_repeated_lines(frame)) == expected
+    monkeypatch.setattr(line_dedup, "HOT_PARTITIONS", 0)
     named = line_dedup._hot_hashes(line_dedup._long_lines(frame, 40))
     assert len(named) == 1
     monkeypatch.setattr(line_dedup, "_hot_hashes", lambda lines: [])
