@@ -98,7 +98,7 @@ def _dropped_lines(lines: DataFrame, least_documents: int) -> DataFrame:
         return later
     # A hash that would fill a partition is counted instead of sorted: one row for each task and document.
     often = lines.filter(F.col("h1").isin(hot))
-    counted = often.groupBy("h1", "h2", "doc_id").agg().groupBy("h1", "h2")
+    counted = often.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
     counted = counted.agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keeper"))
     # HOT_NAMES rows at most, so they can go to every task.
     common = F.broadcast(counted.filter(F.col("_n") >= least_documents))

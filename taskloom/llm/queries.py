@@ -16,6 +16,7 @@ from .pretokens import vocabulary_path
 from .quotations import link_quotations
 from .secret_scan import BASE_KINDS, scan_secrets
 from .token_counts import count_tokens
+from .vector_codes import code_text, compress_vectors, digest, with_label_errors
 from .weak_labels import classify_quality
 
 VOCABULARY = "word_bpe_49k.json"
@@ -116,6 +117,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(documents(spark, sf_dir), benchmark)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return with_label_errors(codes).select(
+        "vec_id",
+        code_text().alias("code"),
+        "error",
+        "label_error",
+        F.lit(digest(books)).alias("codebooks_sha256"),
+    )
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_repeated_lines(documents(spark, sf_dir))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -132,6 +144,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op12_vector_codes": op12_vector_codes,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -205,6 +218,39 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM smallest LEFT JOIN n USING (doc_id)
 """
 
+def _op12_sql() -> str:
+    """Six rounds and the last assignment, each a step of one statement."""
+    distance = " + ".join(f"(x[{i}] - y[{i}]) * (x[{i}] - y[{i}])" for i in range(1, 9))
+    steps = []
+    for k in range(7):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, min({{'d': {distance}, 'e': e}}) AS best
+  FROM pieces JOIN book{k} USING (part) GROUP BY ALL)""")
+        if k < 6:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (
+  SELECT part, e, coalesce(mean, y) AS y FROM book{k} LEFT JOIN (
+    SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS mean FROM (
+      SELECT part, best.e AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n
+      FROM near{k}, range(1, 9) AS r(i) GROUP BY ALL) GROUP BY part, e) USING (part, e))""")
+    return f"""
+WITH vectors AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (
+  SELECT vec_id, label, part, v[8 * part + 1:8 * part + 8] AS x FROM vectors, range(8) AS r(part)),
+book0 AS MATERIALIZED (
+  SELECT part, e, x AS y FROM (
+    SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM pieces) WHERE e < 16),
+{", ".join(steps)},
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+  FROM near6 GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) FROM book6) AS codebooks_sha256
+FROM coded
+"""
+
+
 OP13_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
@@ -220,4 +266,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY r, doc_id
 """
 
-ORACLES = {"op1_secret_scan": OP1_SQL, "op4_phrase_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op13_line_dedup": OP13_SQL}
+ORACLES = {"op1_secret_scan": OP1_SQL, "op4_phrase_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op12_vector_codes": _op12_sql(), "op13_line_dedup": OP13_SQL}
