@@ -14,6 +14,7 @@ model is one pass without a shuffle; the model's size is bins x places.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +30,14 @@ GRAMS = (2, 3, 4)
 UNKNOWN = "und"
 PART_BYTES = 30
 AMBIGUOUS_BELOW = 0.75
+# Languages learned at most: the driver holds BINS counts for each.
+MOST_LANGUAGES = 2048
 # Parts whose evidence is looked up at once, which bounds memory on long texts.
 PARTS_AT_ONCE = 512
 
-_OTHER = re.compile(r"[\W\d_]+")
+# What is no letter; number characters beyond the decimal ones are words to regular expressions, but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,7 +125,14 @@ class LanguageModel:
 
 
 def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", bins: int = BINS) -> LanguageModel:
-    """Learn from all rows with a language and a letter; languages weigh the same however many rows they have."""
+    """Learn from all rows with a language and a letter; languages weigh the same however many rows they have.
+
+    More than MOST_LANGUAGES different ones are an error, as the model would outgrow the driver and the tasks.
+    """
+    labelled = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -136,9 +148,7 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", b
             )
 
     table = (
-        labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .mapInArrow(count, "lang string, bin long, n long")
+        labelled.mapInArrow(count, "lang string, bin long, n long")
         .groupBy("lang", "bin")
         .agg(F.sum("n").alias("n"))
         .collect()
@@ -169,10 +179,12 @@ def identify_languages(
     """
     made = ("lang_pred", "score", "ambiguous")
     source = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in made])
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # Plain values only: a broadcast object's class would have to be installed on the executors.
+    learned = (model.languages, model.code, model.weights, model.clip)
+    shared = documents.sparkSession.sparkContext.broadcast(learned)
 
     def apply(batches):
-        known = shared.value
+        known = LanguageModel(*shared.value)
         for rows, texts in text_chunks(batches, text):
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for at in range(0, len(texts), 256):

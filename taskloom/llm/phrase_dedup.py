@@ -117,10 +117,10 @@ def _recurring(windows: DataFrame, blocks: int) -> DataFrame:
         size = np.diff(np.concatenate((first, [len(low)])))
         group = np.repeat(np.arange(len(first)), size)
         take = np.repeat(shared, size) & (ids != np.repeat(owner, size))
-        pair = np.unique(np.stack([group[take], ids[take] % blocks]), axis=1) if take.any() else np.zeros((2, 0), int)
+        pair = np.unique(np.stack([group[take], _block(ids[take], blocks)]), axis=1) if take.any() else np.zeros((2, 0), int)
         needed = np.flatnonzero(shared)
         counts = np.bincount(pair[0], minlength=len(first))[needed]
-        home = owner[needed] % blocks
+        home = _block(owner[needed], blocks)
         by_home = np.argsort(home, kind="stable")
         needed, counts, home = needed[by_home], counts[by_home], home[by_home]
         # The blocks of one window stand together in ``pair``; take them in the new order.
@@ -149,6 +149,14 @@ def _recurring(windows: DataFrame, blocks: int) -> DataFrame:
     )
 
 
+# The block of an id; ids in steps fill all blocks, and no product leaves 64 bits.
+_PRIME, _FACTOR = 2**31 - 1, 1_103_515_245
+
+
+def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return np.mod(ids, _PRIME) * _FACTOR % _PRIME % blocks
+
+
 _RECURRING = {
     "block": pa.int64(), "shard": pa.int64(), "windows": pa.binary(), "owners": pa.binary(), "n": pa.int64(),
     "dests": pa.binary(), "counts": pa.binary(), "n_dests": pa.int64(),
@@ -180,7 +188,6 @@ def _passages(blocks_of_documents: DataFrame, recurring: DataFrame, shards: int,
                 ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
                 place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 hit = np.flatnonzero(keys[place] == own)
-                # A null id has become NaN here and equals no owner.
                 hit = hit[ids[words.text_of()[start[hit]]] == owners[order[place[hit]]]]
                 hit = hit[np.unique(place[hit], return_index=True)[1]]
                 hit = hit[~found[place[hit]]]
@@ -281,36 +288,39 @@ def remove_repeated_passages(
     tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(tasks, math.ceil(size / BLOCK_BYTES))
     identified = source.filter(F.col("doc_id").isNotNull())
-    home = F.coalesce(F.pmod("doc_id", F.lit(blocks)), F.pmod(F.xxhash64("text"), F.lit(blocks)))
-    placed = source.withColumn("block", home.cast("long"))
+    home = F.pmod("doc_id", F.lit(_PRIME)) * _FACTOR % _PRIME % blocks
+    placed = identified.withColumn("block", home.cast("long"))
     recurring = _recurring(_window_shards(identified, blocks, window), blocks)
     passages = _passages(placed, recurring, blocks, window)
 
-    def locate(rows: pa.Table, known: pa.Table) -> pa.Table:
-        automaton = PassageAutomaton(
-            list(zip(known.column("owner").to_pylist(), known.column("passage").to_pylist())), window
-        )
+    def judged(ids, texts, automaton) -> dict:
         n_words, n_removed, kept = [], [], []
-        texts = rows.column("text").cast(pa.binary()).to_pylist()
-        for i, t in zip(rows.column("doc_id").to_pylist(), texts):
+        for i, t in zip(ids.to_pylist(), texts):
             words = (t or b"").split()
-            gone = automaton.covered(i, words) if i is not None else np.zeros(len(words), dtype=bool)
+            gone = automaton.covered(i, words) if automaton else np.zeros(len(words), dtype=bool)
             n_words.append(len(words))
             n_removed.append(int(gone.sum()))
             if n_removed[-1]:
                 words = [words[w] for w in np.flatnonzero(~gone)]
             kept.append(b" ".join(words))
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"),
-                "n_words": pa.array(n_words, pa.int64()),
-                "n_removed": pa.array(n_removed, pa.int64()),
-                "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
-            }
+        return {
+            "doc_id": ids,
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+        }
+
+    def locate(rows: pa.Table, known: pa.Table) -> pa.Table:
+        automaton = PassageAutomaton(
+            list(zip(known.column("owner").to_pylist(), known.column("passage").to_pylist())), window
         )
+        texts = rows.column("text").cast(pa.binary()).to_pylist()
+        return pa.table(judged(rows.column("doc_id"), texts, automaton))
 
-    return (
-        placed.groupBy("block")
-        .cogroup(passages.groupBy("dest"))
-        .applyInArrow(locate, "doc_id long, n_words long, n_removed long, kept_text string")
-    )
+    def whole(batches):
+        for rows, texts in text_chunks(batches):
+            yield pa.RecordBatch.from_pydict(judged(rows.column("doc_id"), texts, None))
+
+    schema = "doc_id long, n_words long, n_removed long, kept_text string"
+    cleaned = placed.groupBy("block").cogroup(passages.groupBy("dest")).applyInArrow(locate, schema)
+    return cleaned.unionByName(source.filter(F.col("doc_id").isNull()).mapInArrow(whole, schema))

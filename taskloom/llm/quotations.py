@@ -24,7 +24,6 @@ from ..plans.materialize import materialize
 SLICE = 256
 
 _QUOTE = re.compile(r"^((?:\s*>)+)\s?(.*)$")
-_ATTRIBUTION = re.compile(r"^\s*On .{1,200} wrote:\s*$")
 
 
 def normalised_hash(text: str) -> int | None:
@@ -42,12 +41,27 @@ def units(lines: list[str]) -> list[int]:
     return list(dict.fromkeys(h for h in found if h is not None))
 
 
+def _attributes(line: str) -> bool:
+    """Whether a line says who wrote what follows."""
+    line = line.strip()
+    return line.startswith("On ") and line.endswith(" wrote:") and len(line) > len("On  wrote:")
+
+
+def _following(lines: list[str]) -> list[str]:
+    """For each line the next one that is not blank, or an empty one."""
+    found, following = [], ""
+    for line in reversed(lines):
+        found.append(following)
+        following = line if line.strip() else following
+    return found[::-1]
+
+
 def parse_message(text: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
     """The text without quotes and attribution lines, and the quoted passages as (level, lines)."""
     body: list[str] = []
     passages: list[tuple[int, list[str]]] = []
     lines, level_before = (text or "").split("\n"), 0
-    for i, line in enumerate(lines):
+    for line, following in zip(lines, _following(lines)):
         m = _QUOTE.match(line)
         if m:
             level = m[1].count(">")
@@ -57,8 +71,7 @@ def parse_message(text: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
             level_before = level
             continue
         level_before = 0
-        following = next((x for x in lines[i + 1 :] if x.strip()), "")
-        if not (_ATTRIBUTION.match(line) and _QUOTE.match(following)):
+        if not (_attributes(line) and _QUOTE.match(following)):
             body.append(line)
     return ("\n".join(body).strip("\n") if passages else text or ""), passages
 

@@ -153,3 +153,15 @@ def test_automaton_needs_the_whole_window():
     assert automaton.covered(9, words[5:17]).sum() == 0
     assert automaton.covered(9, [b"x"] + words[5:18] + [b"y"]).tolist() == [False] + [True] * 13 + [False]
     assert automaton.covered(3, words).sum() == 0
+
+
+def test_large_ids_beside_a_null_id(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    ids = [2**60 + 1, 2**60 + 2, -(2**62), None]
+    rows = documents_frame(spark, [(i, passage) for i in ids]).coalesce(1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeated_passages(rows).collect()}
+    assert got == {
+        2**60 + 1: (20, 20, ""), 2**60 + 2: (20, 20, ""), -(2**62): (20, 0, passage), None: (20, 0, passage)
+    }
+    got = {r.doc_id: r.n_removed for r in remove_repeated_passages(rows.filter("doc_id > 0 OR doc_id IS NULL")).collect()}
+    assert got == {2**60 + 1: 0, 2**60 + 2: 20, None: 0}

@@ -1,9 +1,14 @@
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from taskloom.llm import language
 from taskloom.llm.decontamination import drop_contaminated, find_contamination
 from taskloom.llm.language import codewords, fit_languages, held_out, identify_languages
 from taskloom.llm.outliers import CUTOFF, judge_quality
@@ -50,6 +55,37 @@ def test_languages_on_edges(spark, labelled, edges, empty):
     assert {r.lang_pred for r in identify_languages(labelled.filter("doc_id < 9"), single).collect()} == {"aa"}
 
 
+def test_number_characters_are_no_letters(spark, labelled):
+    model = fit_languages(labelled)
+    frame = documents_frame(spark, [(1, "²³ ½ ① Ⅷ 12 ٣"), (2, "aⅧ"), (3, "_!_")])
+    got = {r.doc_id: r.lang_pred for r in identify_languages(frame, model).collect()}
+    assert got[1] == got[3] == "und" and got[2] != "und"
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = documents_frame(spark, [(i, "some words", f"l{i}", "s") for i in range(3)])
+    with pytest.raises(ValueError):
+        fit_languages(rows)
+
+
+def test_executors_need_no_package(tmp_path):
+    """Workers of a session started in another folder cannot import the package."""
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})\n"
+        "from taskloom.llm.language import fit_languages, identify_languages\n"
+        "rows = spark.createDataFrame([(1, 'some words here', 'a'), (2, 'andere', 'b')], 'doc_id long, text string, lang string')\n"
+        "print('rows', len(identify_languages(rows, fit_languages(rows)).collect()))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
 def test_mixed_text_is_ambiguous(spark, labelled):
     model = fit_languages(labelled)
     frame = documents_frame(spark, [(1, "zz"), (2, "mira lopa kato")])

@@ -116,3 +116,11 @@ def test_normalising():
     assert normalised_hash("A  b, C!") == normalised_hash("a b c")
     assert normalised_hash(" ... ") is None
     assert units(["x y", "", "z"])[0] == normalised_hash("x y z")
+
+
+def test_long_messages_are_read_once():
+    lines = [f"plain line {i}" for i in range(300_000)] + [f"On {'x' * 500} wrote:", "", "> quoted", "On y wrote:", "end"]
+    body, passages = parse_message("\n".join(lines))
+    assert passages == [(1, ["quoted"])]
+    assert body.endswith("plain line 299999\n\nOn y wrote:\nend")
+    assert parse_message("\n" * 500_000 + "> q")[1] == [(1, ["q"])]
