@@ -12,6 +12,7 @@ one group, and a partition that is redone gives the same sequences.
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .words import text_chunks
 
 CAPACITY = 4096
 GROUP_TOKENS = 1 << 21
-HELD = 400_000
+HELD_WORDS, HELD_PIECES = 1_200_000, 200_000
 
 
 def sequence_lengths(total: int, capacity: int) -> list[int]:
@@ -86,9 +87,9 @@ def pack_documents(
 
     def place(batches):
         splitter = PreTokens(path)
-        pieces_of = Remembered(lambda p: np.array(splitter.ids(p), dtype="<u4").tobytes(), HELD)
+        pieces_of = Remembered(lambda p: array("I", splitter.ids(p)).tobytes(), HELD_PIECES)
         # No pre-token reaches over white space, so a text's ids are those of its words in a row.
-        words = Remembered(lambda w: b"".join(pieces_of.of(splitter.split(w.decode()))), HELD)
+        words = Remembered(lambda w: splitter.word(w, pieces_of), HELD_WORDS)
         task, sequences = TaskContext.get().partitionId(), 0
 
         def encoded(text: bytes) -> bytes:

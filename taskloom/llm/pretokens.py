@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 # The rule set that the fast path stands for.
 _RULES = (
@@ -28,18 +29,20 @@ def vocabulary_path(name: str) -> str:
 
 
 class Remembered(dict):
-    """Values of a function by key; forgotten all at once when there are too many."""
+    """Values of a function by key; when there are too many, those not asked for since the last time are forgotten."""
 
     def __init__(self, function, held: int):
         super().__init__()
-        self.function, self.held = function, held
+        self.function, self.held, self.earlier = function, held // 2, {}
 
     def __missing__(self, key):
-        value = self[key] = self.function(key)
+        value = self.earlier.get(key)
+        value = self[key] = self.function(key) if value is None else value
         return value
 
     def of(self, keys: list) -> list:
         if len(self) > self.held:
+            self.earlier = dict(self)
             self.clear()
         return list(map(self.__getitem__, keys))
 
@@ -70,6 +73,7 @@ class PreTokens:
             and splits[1]["type"] == "ByteLevel"
             and rules.get("post_processor") is None
         )
+        self.letters_are_one = not any(x.isalpha() for x in special)
         if not self.fast:
             raise ValueError("this file's pre-tokeniser is not supported")
         self.find = regex.compile(
@@ -96,6 +100,12 @@ class PreTokens:
                 out.extend(self.find(self._normal(part)))
         return out
 
+    def word(self, word: bytes, pieces: Remembered) -> bytes:
+        """Packed ids of what stands between white space; ``pieces`` has those of pre-tokens."""
+        if self.letters_are_one and word.isalpha():
+            return array("I", self.ids(word.lower().decode())).tobytes()
+        return b"".join(pieces.of(self.split(word.decode())))
+
     def ids(self, pretoken: str) -> list[int]:
         """The pieces of one pre-token."""
         if pretoken in self.special_ids:
