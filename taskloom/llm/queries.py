@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
 from .line_dedup import drop_repeated_lines
+from .hard_negatives import mine_hard_negatives
 from .language import fit_languages, held_out, identify_languages
 from .near_duplicates import link_documents
 from .outliers import judge_quality
@@ -117,6 +118,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(documents(spark, sf_dir), benchmark)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = mine_hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+    return found.drop("positive_rank")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return with_label_errors(codes).select(
@@ -144,6 +152,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_vector_codes": op12_vector_codes,
     "op13_line_dedup": op13_line_dedup,
 }
@@ -218,6 +227,28 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM smallest LEFT JOIN n USING (doc_id)
 """
 
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def _op12_sql() -> str:
     """Six rounds and the last assignment, each a step of one statement."""
     distance = " + ".join(f"(x[{i}] - y[{i}]) * (x[{i}] - y[{i}])" for i in range(1, 9))
@@ -266,4 +297,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY r, doc_id
 """
 
-ORACLES = {"op1_secret_scan": OP1_SQL, "op4_phrase_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op12_vector_codes": _op12_sql(), "op13_line_dedup": OP13_SQL}
+ORACLES = {"op1_secret_scan": OP1_SQL, "op4_phrase_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_line_dedup": OP13_SQL}
