@@ -10,7 +10,7 @@ A changed window has to be consistent with the other windows of its placement: e
 stand for one value in the document. Windows that touch a value which stands for several do not count, unless
 nothing is changed in them.
 
-Document windows meet the benchmark in two steps. A bit filter of fixed size (2 MB), filled from all benchmark windows, is sent
+Document windows meet the benchmark in two steps. A bit filter sized by the number of benchmark windows, at most 128 MB, is sent
 to the tasks and drops nearly all windows that cannot match; the rest goes through a shuffled hash join with the
 exact windows. The filter only saves work: with a benchmark of any size the result is the join's.
 """
@@ -26,12 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix, text_chunks, unused, window_hashes
+from .words import Words, mix, text_chunks, unused
 
 WINDOW = 13
-LEAST_LITERALS = 6
+# Literal words in a typed window of a longer item, and in an item that is one window.
+LEAST_LITERALS, LEAST_IN_WHOLE = 6, 3
+# Items of fewer words are found as they are and where they stand alone.
 LEAST_WORDS = 5
-FILTER_BITS = 24
+# The filter has some 32 bits for each benchmark window, from 2 MB to 128 MB.
+LEAST_BITS, MOST_BITS = 24, 30
 
 # Units that make a typed slot after a number.
 UNITS = frozenset(
@@ -78,52 +81,101 @@ class Canonical:
         ]
         self.code[word] = at
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Types of a text's words, their other types as first words (-1: none), value hashes and literal hashes."""
-        words = text.split()
+    def codes(self, words: list[bytes]) -> np.ndarray:
         try:
-            codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+            return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
         except KeyError:
             if len(self.code) > self.HELD:
                 self._clear()
             for w in sorted(set(words).difference(self.code)):
                 self._add(w)
-            codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        number, unit, named, ends = self.traits[codes].T
-        begins = np.ones(len(words), dtype=bool)
-        begins[1:] = ends[:-1]
-        beside = np.zeros(len(words), dtype=bool)
-        beside[1:] = number[:-1]
-        kind = np.where(
-            number, NUMBER, np.where(unit & beside, UNIT, np.where(named & ~begins, NAME, WORD))
-        )
-        other = np.where((kind == UNIT) | (kind == NAME), WORD, np.where(named & (kind == WORD), NAME, -1))
-        return kind, other, *self.values[codes].T
+            return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
 
 
-def forms(kind: np.ndarray, other: np.ndarray, value: np.ndarray, exact: np.ndarray, size: int):
-    """Yields (starts, hashes, types of the first words) of the windows' forms; -1 marks the literal form.
+class CanonicalWords:
+    """The words of some texts in a row, typed.
 
-    Typed forms need enough literal words to mean anything, the literal form does not.
+    kind and other: types, also as first words (-1: no other one); value and exact: hashes for typed and literal
+    windows; opens: whether a word begins a text, line or sentence; first[i]:first[i + 1] are the words of text i.
     """
-    n = len(kind) - size + 1
-    if n <= 0:
-        return
-    literal = kind == WORD
-    tail = window_hashes(np.where(literal, value, kind.astype(np.uint64))[1:], size - 1)
-    total = np.concatenate(([0], np.cumsum(literal)))
-    enough = total[size:] - total[1 : n + 1] - min(LEAST_LITERALS, size - 1)
-    second = np.flatnonzero(other[:n] >= 0)
-    for start, first in ((np.arange(n), kind[:n]), (second, other[second])):
-        good = enough[start] + (first == WORD) >= 0
-        start, first = start[good], first[good]
-        head = np.where(first == WORD, value[start], first.astype(np.uint64))
-        yield start, mix(tail[start] + mix(head) + np.uint64(size)), first
-    yield np.arange(n), mix(window_hashes(exact, size) + np.uint64(size | 1 << 32)), np.full(n, -1)
+
+    def __init__(self, texts: list[bytes], canonical: Canonical):
+        words = Words(texts)
+        codes = canonical.codes(words.joined[:-8].split())
+        number, unit, named, ends = canonical.traits[codes].T
+        n = len(codes)
+        starts_text = np.zeros(n + 1, dtype=bool)
+        starts_text[words.first] = True
+        starts_text = starts_text[:n]
+        after_end = np.concatenate(([True], ends[:-1])) if n else ends
+        breaks = np.cumsum(words.buffer[: words.start[-1] + 1] == 10) if n else words.buffer[:0]
+        broken = np.ones(n, dtype=bool)
+        broken[1:] = breaks[words.start[1:]] > breaks[words.end[:-1] - 1]
+        begins = starts_text | after_end
+        beside = np.zeros(n, dtype=bool)
+        beside[1:] = number[:-1] & ~starts_text[1:]
+        kind = np.where(
+            number, NUMBER, np.where(unit & beside, UNIT, np.where(named & ~begins, NAME, WORD))
+        )
+        self.kind = kind
+        self.other = np.where((kind == UNIT) | (kind == NAME), WORD, np.where(named & (kind == WORD), NAME, -1))
+        self.value, self.exact = canonical.values[codes].T
+        self.opens = begins | broken
+        self.first = words.first
+
+    def forms(self, sizes: list[int], longest: int):
+        """Yields (size, starts, hashes, types of the first words) of the windows within one text; -1 marks the literal form.
+
+        Whole items (sizes below ``longest``) need fewer literal words in their typed form than windows of longer ones.
+        Of fewer than LEAST_WORDS words there is only the literal form, and only where they stand alone: a text, line
+        or sentence of their own. Any other literal window counts wherever it is.
+        """
+        kind, n_words = self.kind, len(self.kind)
+        literal = kind == WORD
+        typed = np.where(literal, self.value, kind.astype(np.uint64))
+        total = np.concatenate(([0], np.cumsum(literal)))
+        text_end = np.repeat(self.first[1:], np.diff(self.first))
+        closes = np.concatenate((self.opens[1:], [True]))
+        tails, wholes = rolling(typed[1:]), rolling(self.exact)
+        tail = np.zeros(0, dtype=np.uint64)
+        for size in range(1, max(sizes, default=0) + 1):
+            n = n_words - size + 1
+            if n <= 0:
+                return
+            whole = next(wholes)
+            if size in sizes:
+                at = np.flatnonzero(np.arange(size, n_words + 1) <= text_end[:n])
+                if size < LEAST_WORDS:
+                    alone = at[self.opens[at] & closes[at + size - 1]]
+                    yield size, alone, _literal(whole[alone], size), np.full(len(alone), -1)
+                else:
+                    least = LEAST_LITERALS if size == longest else LEAST_IN_WHOLE
+                    enough = total[size:] - total[1 : n + 1] - least
+                    for start, first in ((at, kind[at]), (at[self.other[at] >= 0], self.other[at[self.other[at] >= 0]])):
+                        good = enough[start] + (first == WORD) >= 0
+                        start, first = start[good], first[good]
+                        head = np.where(first == WORD, self.value[start], first.astype(np.uint64))
+                        yield size, start, mix(mix(tail[start]) + mix(head) + np.uint64(size)), first
+                    yield size, at, _literal(whole[at], size), np.full(len(at), -1)
+            tail = next(tails)
+
+
+def rolling(values: np.ndarray):
+    """Yields for one word, two, and so on a hash of the run from each place."""
+    run = values.copy()
+    size = 1
+    while True:
+        yield run
+        size += 1
+        run = run[: max(0, len(values) - size + 1)] * np.uint64(0x9E3779B97F4A7C15) + values[size - 1 :]
+
+
+def _literal(run: np.ndarray, size: int) -> np.ndarray:
+    return mix(mix(run) + np.uint64(size | 1 << 32))
 
 
 def _may_match(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    place = (hashes >> np.uint64(64 - (8 * len(table)).bit_length() + 1)).astype(np.int64)
     return (table[place >> 3] >> (place & 7).astype(np.uint8) & 1) > 0
 
 
@@ -140,23 +192,24 @@ def _windows(rows: DataFrame, sizes: list[int], own_size: bool, bits=None) -> Da
         table = bits.value if bits is not None else None
         for chunk, texts in text_chunks(batches):
             of, row, start, template, slots = [], [], [], [], []
-            for i, t in enumerate(texts):
-                number += 1
-                kind, other, value, exact = canonical.of(t)
-                of_text = sizes
+            words = CanonicalWords(texts, canonical)
+            count = np.diff(words.first)
+            text_of = np.repeat(np.arange(len(texts)), count)
+            for size, starts, hashes, firsts in words.forms(sizes, longest):
                 if own_size:
-                    of_text = [min(longest, len(kind))] if min(longest, len(kind)) in sizes else []
-                for size in of_text:
-                    for starts, hashes, firsts in forms(kind, other, value, exact, size):
-                        some = np.arange(len(starts)) if table is None else np.flatnonzero(_may_match(table, hashes))
-                        for p, h, first in zip(starts[some].tolist(), hashes[some].view(np.int64).tolist(), firsts[some]):
-                            typed = kind[p : p + size] != WORD
-                            typed[0] = first != WORD
-                            of.append(i)
-                            row.append((task << 36) | number)
-                            start.append(p)
-                            template.append(h)
-                            slots.append(value[p : p + size][typed & (first >= 0)].view(np.int64))
+                    some = np.minimum(count[text_of[starts]], longest) == size
+                else:
+                    some = _may_match(table, hashes)
+                some = np.flatnonzero(some)
+                for p, h, first in zip(starts[some].tolist(), hashes[some].view(np.int64).tolist(), firsts[some].tolist()):
+                    typed = words.kind[p : p + size] != WORD
+                    typed[0] = first != WORD
+                    of.append(text_of[p])
+                    row.append((task << 36) | (number + int(text_of[p])))
+                    start.append(p - int(words.first[text_of[p]]))
+                    template.append(h)
+                    slots.append(words.value[p : p + size][typed & (first >= 0)].view(np.int64))
+            number += len(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     chunk.column("key").take(pa.array(of, pa.int64())),
@@ -175,13 +228,14 @@ def _windows(rows: DataFrame, sizes: list[int], own_size: bool, bits=None) -> Da
 
 
 def _filter(windows: DataFrame) -> np.ndarray:
-    """The bit filter; Spark puts its 64-bit parts together, of which there are 2^18."""
-    place = windows.select(F.shiftrightunsigned("template", 64 - FILTER_BITS).alias("place"))
+    """The bit filter; Spark puts its 64-bit parts together."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * windows.count()).bit_length()))
+    place = windows.select(F.shiftrightunsigned("template", 64 - bits).alias("place"))
     parts = place.groupBy(F.shiftright("place", 6).alias("part")).agg(
         F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits")
     )
-    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    for r in parts.collect():
+    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    for r in parts.toLocalIterator():
         table[r.part] = r.bits & 0xFFFFFFFFFFFFFFFF
     return table.view(np.uint8)
 
@@ -198,15 +252,15 @@ def find_contamination(
 
     n_windows is the most consistent windows of one placement of the item in the document, n_changed the slots whose value
     differs there at least: 0 for a plain copy. Items of fewer words than the window count if all their words match;
-    items of under 5 words match nothing. Null and empty texts match nothing, repeated rows of one key are one pair (of
+    items of under 5 words only where they are a text, line or sentence of their own, with no other values. Null and empty texts match nothing, repeated rows of one key are one pair (of
     the most windows), a null key is a key like others, and other columns are not read.
     """
     items = benchmark.select(F.col(item_key).alias("key"), F.col(text).alias("text"))
     rows = documents.select(F.col(doc_key).alias("key"), F.col(text).alias("text"))
-    # At most window - 5 sizes, so this is a bounded read.
+    # At most ``window`` sizes, so this is a bounded read.
     size = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     found = {r[0] for r in items.select(F.least(size, F.lit(window)).alias("n")).distinct().collect()}
-    sizes = sorted(n for n in found | {window} if n >= LEAST_WORDS)
+    sizes = sorted(n for n in found | {window} if n)
     wanted = _windows(items, sizes, own_size=True).select(
         "template",
         F.col("key").alias(item_key),

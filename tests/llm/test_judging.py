@@ -230,13 +230,13 @@ def test_contamination(spark, edges, empty):
         (18, f"{broken} {fill} {twice}"),
     ]
     got = {(r.doc_id, r.item_id): r for r in find_contamination(documents_frame(spark, rows), items).collect()}
-    assert set(got) >= {(10, 1), (11, 1), (13, 2), (14, 6), (18, 6)}
-    assert not {d for d, _ in got} & {12, 17}
+    assert set(got) >= {(10, 1), (11, 1), (13, 2), (14, 6), (18, 6), (17, 5)}
+    assert not {d for d, _ in got} & {12}
     assert (15, 6) not in got or got[(15, 6)].n_windows < 3
     assert got[(10, 1)].n_changed == 0 and got[(11, 1)].n_changed >= 3 and got[(18, 6)].n_changed == 0
     frame = documents_frame(spark, rows)
     kept = drop_contaminated(frame, items)
-    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} >= {12, 17}
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} & {12, 17} == {12}
     assert drop_contaminated(edges, items).count() == len(EDGES)
     assert find_contamination(empty, items).collect() == []
     assert drop_contaminated(edges, items.limit(0)).count() == len(EDGES)
@@ -273,9 +273,31 @@ def test_copies_with_few_literal_words(spark):
         22: "please Add 4 km and 5 km twice now",
         23: f"table {numbers} end",
         25: "now + - * / = then",
+        26: "he adds 4 km and 5 km once",
     }
     n = len(numbers.split()) - 12
-    assert found(spark, items, documents) == {(20, 1): (1, 0), (22, 2): (1, 0), (23, 3): (n, 0), (25, 4): (1, 0)}
+    assert found(spark, items, documents) == {
+        (20, 1): (1, 0), (21, 1): (1, 2), (22, 2): (1, 0), (23, 3): (n, 0), (25, 4): (1, 0)
+    }
+
+
+def test_items_of_one_to_four_words_where_they_stand_alone(spark):
+    items = {1: "Photosynthesis", 2: "Name three", 3: "Who wrote Hamlet?", 4: "What is 12 squared", 5: "..."}
+    documents = {
+        30: "photosynthesis",
+        31: "We speak of photosynthesis here. Photosynthesis!",
+        32: "first line\nname three\nlast line",
+        33: "please name three of them",
+        34: "Once more: who wrote Hamlet? Nobody knows.",
+        35: "the man who wrote hamlet died",
+        36: "what is 12 squared",
+        37: "what is 13 squared",
+        38: "name\nthree",
+        39: "wait ... what",
+        40: "...",
+    }
+    got = found(spark, items, documents)
+    assert got == {k: (1, 0) for k in [(30, 1), (31, 1), (32, 2), (34, 3), (36, 4), (38, 2), (40, 5)]}
 
 
 def test_values_may_become_equal_and_a_conflict_is_local(spark):
