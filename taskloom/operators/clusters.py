@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +23,7 @@ from ..options import ClusterOptions, ShortFormOptions
 from ..plans.materialize import materialize
 from ..plans.slices import in_stream_order
 from ..rules import vocabulary as V
+from .leaders import assign_clusters
 from .sessions import SESSION
 
 CLUSTER = ["stream_id", "cluster_seq"]
@@ -130,202 +127,6 @@ def is_short_form(options: ShortFormOptions = ShortFormOptions()) -> Column:
     )
 
 
-# --- greedy clustering ------------------------------------------------------------
-
-
-class _Shapes:
-    """Set overlaps of one descriptor with all earlier ones, by inverted lists."""
-
-    def __init__(self):
-        self.lists: dict = {}
-        self.sizes = array("q")
-
-    def add(self, values) -> None:
-        index = len(self.sizes)
-        self.sizes.append(len(values))
-        for v in values:
-            self.lists.setdefault(v, array("q")).append(index)
-
-    def overlap(self, values) -> np.ndarray:
-        shared = np.zeros(len(self.sizes))
-        for v in values:
-            if v in self.lists:
-                shared[np.frombuffer(self.lists[v], dtype=np.int64)] += 1
-        union = np.frombuffer(self.sizes, dtype=np.int64) + len(values) - shared
-        return np.divide(shared, union, out=np.ones_like(shared), where=union > 0)
-
-
-class _Leaders:
-    """The sequential rule for one group.
-
-    A session joins the cluster with the best mean of its two nearest members, if that
-    reaches the threshold. Once a descriptor has two members in a cluster, every later
-    copy scores the maximum there, and a third copy changes no score. So later copies
-    go there without being compared, and what is held grows with distinct descriptors.
-    """
-
-    # Sequence scores that are remembered; beyond that they are worked out again.
-    REMEMBERED = 200_000
-
-    def __init__(self, weights, threshold: float):
-        self.weights, self.threshold = weights, threshold
-        self.actions, self.contexts = _Shapes(), _Shapes()
-        self.tokens: list = []
-        self.minutes, self.lengths = array("q"), array("q")
-        self.number: dict = {}
-        self.sequence: dict = {}
-        self.members: list[list[int]] = []  # per cluster: descriptors, each at most twice
-        self.founders: list[int] = []
-        self.flat_cluster, self.flat_descriptor = array("q"), array("q")
-        self.home: dict = {}
-
-    def _best(self, me: int, row) -> int | None:
-        w, threshold = self.weights, self.threshold
-        clusters = np.frombuffer(self.flat_cluster, dtype=np.int64)
-        nearby = np.frombuffer(self.flat_descriptor, dtype=np.int64)
-        shared = self.actions.overlap(row.action_set)
-        apart = np.abs(np.frombuffer(self.minutes, dtype=np.int64) - int(row.start_minute))
-        day = np.maximum(0, 1 - np.minimum(apart, 1440 - apart) / 720)
-        size, own = np.frombuffer(self.lengths, dtype=np.int64), len(self.tokens[me])
-        most = np.where(
-            shared > 0, np.minimum(size, own) / np.maximum(size, own) * 0.75 + 0.25, 0.0
-        )
-        rest = shared * w[1], self.contexts.overlap(row.contexts) * w[2], day * w[3]
-        bound = ((most * w[0] + rest[0]) + rest[1]) + rest[2]
-
-        def exact(i: int) -> float:
-            key = (self.tokens[i], self.tokens[me])
-            if key not in self.sequence:
-                if len(self.sequence) >= self.REMEMBERED:
-                    self.sequence.clear()
-                self.sequence[key] = sequence_score(*key)
-            return ((self.sequence[key] * w[0] + rest[0][i]) + rest[1][i]) + rest[2][i]
-
-        # A mean of two reaches the threshold only if one of them does.
-        near = bound[nearby] >= threshold - 1e-9
-        viable = {
-            c
-            for c, d in zip(clusters[near].tolist(), nearby[near].tolist())
-            if exact(d) >= threshold
-        }
-        best, best_score = None, 0.0
-        for c in sorted(viable):
-            scores = sorted((exact(d) for d in self.members[c]), reverse=True)[:2]
-            score = sum(scores) / len(scores)
-            if score >= threshold and score > best_score:
-                best, best_score = c, score
-        return best
-
-    def place(self, row) -> int:
-        """The founder of the cluster that the next session belongs to."""
-        me = self.number.get(row.descriptor)
-        if me in self.home and self.members[self.home[me]].count(me) == 2:
-            return self.founders[self.home[me]]
-        if me is None:
-            me = self.number[row.descriptor] = len(self.tokens)
-            self.tokens.append(tuple(row.tokens))
-            self.minutes.append(int(row.start_minute))
-            self.lengths.append(len(row.tokens))
-            self.actions.add(row.action_set)
-            self.contexts.add(row.contexts)
-        best = self._best(me, row) if self.members else None
-        if best is None:
-            best = len(self.members)
-            self.members.append([])
-            self.founders.append(row.session_seq)
-        if self.members[best].count(me) < 2:
-            self.members[best].append(me)
-            self.flat_cluster.append(best)
-            self.flat_descriptor.append(me)
-        self.home[me] = best
-        return self.founders[best]
-
-
-def _leader_fold(options: ClusterOptions, keys: list[str]):
-    """Run the rule over rows sorted by group and start."""
-    w = options.similarity_weights.normalized()
-    legacy = options.strategy == "legacy"
-    weights = (1.0, 0.0, 0.0, 0.0) if legacy else (w.sequence, w.action_set, w.context, w.time_of_day)
-
-    def walk(frames):
-        group, leaders = None, None
-        for frame in frames:
-            founders = []
-            for name, row in zip(zip(*[frame[k] for k in keys]), frame.itertuples(index=False)):
-                if name != group:
-                    group, leaders = name, _Leaders(weights, options.similarity_threshold)
-                founders.append(leaders.place(row))
-            yield frame[["stream_id", "session_seq"]].assign(cluster_seq=founders)
-
-    return walk
-
-
-def vocabulary_parts(heads: DataFrame) -> DataFrame:
-    """(stream_id, action, part): actions that occur together, directly or in steps.
-
-    Sessions without a common action score below the sum of the context and time weights,
-    so parts can be clustered apart. The graph has one node per action, not per session.
-    """
-    sets = heads.select("stream_id", "action_set").distinct().withColumn("shape", F.md5(F.array_join("action_set", "\u0001")))
-    edges = materialize(
-        sets.select("stream_id", "shape", F.explode("action_set").alias("action")), "edges"
-    )
-    labels = edges.select("stream_id", "action").distinct().withColumn("part", F.col("action"))
-    while True:
-        by_shape = (
-            edges.join(labels, ["stream_id", "action"])
-            .groupBy("stream_id", "shape")
-            .agg(F.min("part").alias("part"))
-        )
-        lowered = (
-            edges.join(by_shape, ["stream_id", "shape"])
-            .groupBy("stream_id", "action")
-            .agg(F.min("part").alias("part"))
-        )
-        moved = labels.withColumnRenamed("part", "old").join(lowered, ["stream_id", "action"])
-        labels = materialize(moved, "parts")
-        if labels.filter("part <> old").isEmpty():
-            return labels.drop("old")
-        labels = labels.drop("old")
-
-
-def assign_clusters(candidates: DataFrame, options: ClusterOptions) -> DataFrame:
-    """``cluster_seq`` for every candidate: the session_seq of the cluster's founder.
-
-    Streams are divided into vocabularies that cannot meet the threshold together, wherever the
-    weights allow that, and each is walked in order of time.
-    """
-    w = options.similarity_weights.normalized()
-    splittable = (
-        options.strategy == "legacy"
-        or options.similarity_threshold > w.context + w.time_of_day
-    )
-    rows = candidates.select(
-        *SESSION,
-        "descriptor",
-        "start_time",
-        F.col("start_order")["ms"].alias("ms"),
-        F.col("start_order")["seq"].alias("seq"),
-        "tokens",
-        "action_set",
-        "contexts",
-        "start_minute",
-    )
-    keys = ["stream_id"]
-    if splittable:
-        keys = ["stream_id", "part"]
-        rows = (
-            rows.withColumn("action", F.get("action_set", 0))
-            .join(vocabulary_parts(rows), ["stream_id", "action"], "left")
-            .drop("action")
-        )
-    ordered = in_stream_order(rows, keys, ["start_time", "ms", "seq"])
-    placed = ordered.mapInPandas(
-        _leader_fold(options, keys), "stream_id string, session_seq long, cluster_seq long"
-    )
-    return candidates.join(materialize(placed, "fold"), SESSION)
-
-
 # --- cluster facts ----------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fixtures import ADMIN, GOLDEN, NAV, at, event, golden_events, raw
 from taskloom.functions.similarity import sequence_score
-from taskloom.operators.clusters import assign_clusters, vocabulary_parts
+from taskloom.operators.leaders import assign_clusters
 from taskloom.operators.feedback import fold_feedback
 from taskloom.operators.inspect import explain_membership, layer_coverage
 from taskloom.operators.label import label_events
@@ -247,15 +247,27 @@ def test_clusters_equal_the_sequential_rule(spark, seed, threshold):
     assert {r[0]: r[1] for r in found} == _plain_loop(rows, threshold)
 
 
-def test_independent_vocabularies(spark):
-    rows = _random_sessions(9)
-    frame = spark.createDataFrame(rows, SESSION_SCHEMA)
-    options = ClusterOptions(similarity_threshold=0.74)
-    found = assign_clusters(frame, options).select("session_seq", "cluster_seq").collect()
-    assert {r[0]: r[1] for r in found} == _plain_loop(rows, 0.74)
-    sets = spark.createDataFrame([("s", ["a", "b"]), ("s", ["b", "c"]), ("s", ["d"])], "stream_id string, action_set array<string>")
-    parts = {r["action"]: r["part"] for r in vocabulary_parts(sets).collect()}
-    assert parts == {"a": "a", "b": "a", "c": "a", "d": "d"}
+@pytest.mark.parametrize("seed,threshold,strategy", [(9, 0.74, "hybrid_v2"), (11, 0.86, "hybrid_v2"), (12, 0.5, "hybrid_v2"), (13, 0.8, "legacy")])
+def test_waves_change_no_result(spark, monkeypatch, seed, threshold, strategy):
+    from taskloom.operators import leaders
+
+    rows = _random_sessions(seed, 120) + [{**r, "stream_id": "t"} for r in _random_sessions(seed + 20, 25)]
+    for i, r in enumerate(rows):
+        r["start_time"] = f"2026-01-0{1 + i % 120 // 50}T{i:06d}"
+    frame = spark.createDataFrame(rows, SESSION_SCHEMA).repartition(5)
+    options = ClusterOptions(similarity_threshold=threshold, strategy=strategy)
+    monkeypatch.setattr(leaders, "BLOCK", 7)
+
+    def got(wave):
+        found = assign_clusters(frame, options, wave).select("stream_id", "session_seq", "cluster_seq").collect()
+        return {(r[0], r[1]): r[2] for r in found}
+
+    whole = got(1000)
+    assert got(20) == whole
+    if strategy != "legacy":
+        for stream in "st":
+            own = [r for r in rows if r["stream_id"] == stream]
+            assert {k[1]: v for k, v in whole.items() if k[0] == stream} == _plain_loop(own, threshold)
 
 
 def test_membership_equals_all_pairs(spark):
