@@ -356,7 +356,36 @@ def g10(spark, sf_dir):
 # --- clusters ---------------------------------------------------------------------
 
 
-@query("g11_assigned_clusters")
+# The sequential rule itself: one step for each session of a stream. ``home`` holds the founders of the sessions so far.
+_TOTAL = "((sequence * 0.35 + action_set * 0.25) + context * 0.25) + time_of_day * 0.15"
+
+
+def _led(source: str, threshold: float, n: str = "") -> str:
+    """Statements that end in clustered{n}: the rows of ``source`` with their cluster_seq."""
+    steps = _PAIRS[_PAIRS.index("pr1 AS") :]
+    for k in range(5):
+        steps = steps.replace(f"pr{k} ", f"pr{k}{n} ").replace(f"pr{k})", f"pr{k}{n})")
+    return f"""el{n} AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start_time, session_seq) AS k FROM {source}),
+pr0{n} AS (SELECT b.stream_id, b.k, a.k AS j, b.tokens AS t, b.action_set AS s, b.contexts AS x, b.start_minute AS m,
+    a.tokens AS lt, a.action_set AS ls, a.contexts AS lx, a.start_minute AS lm
+  FROM el{n} a JOIN el{n} b ON a.stream_id = b.stream_id AND a.k < b.k),
+{steps},
+scored{n} AS (SELECT *, {_TOTAL} AS total FROM pr4{n}),
+sims{n} AS (SELECT stream_id, k, list(total ORDER BY j) AS sims FROM scored{n} GROUP BY ALL),
+led{n} AS (
+  SELECT stream_id, k, [k] AS home FROM el{n} WHERE k = 1
+  UNION ALL
+  SELECT stream_id, k, list_append(home, CASE WHEN list_max(scores) >= {threshold}
+      THEN founders[list_position(scores, list_max(scores))] ELSE k END)
+  FROM (SELECT *, list_transform(founders, lambda c: list_avg(list_reverse_sort(list_filter(sims, lambda x, i: home[i] = c))[1:2])) AS scores
+    FROM (SELECT l.stream_id, q.k, l.home, q.sims, list_sort(list_distinct(l.home)) AS founders
+      FROM led{n} l JOIN sims{n} q ON q.stream_id = l.stream_id AND q.k = l.k + 1))),
+clustered{n} AS (SELECT e.*, f.session_seq AS cluster_seq
+  FROM el{n} e JOIN led{n} l ON l.stream_id = e.stream_id AND l.k = e.k
+  JOIN el{n} f ON f.stream_id = e.stream_id AND f.k = l.home[-1])"""
+
+
+@query("g11_assigned_clusters", Q.upto("grouped", "SELECT stream_id, session_seq, cluster_seq FROM clustered", _led("grp0", 0.74)))
 def g11(spark, sf_dir):
     d = C.eligible(I.described(spark, sf_dir), I.OPTIONS.clusters)
     return C.assign_clusters(d, I.OPTIONS.clusters).select("stream_id", "session_seq", "cluster_seq")
@@ -553,14 +582,55 @@ def g22(spark, sf_dir):
     )
 
 
-@query("g23_membership")
+def _membership_sql(strategy: str) -> str:
+    total = "w.total" if strategy == "hybrid_v2" else "sequence"
+    others = ["action_set", "context", "time_of_day"] if strategy == "hybrid_v2" else ["0", "0", "0"]
+    shown = " || '/' || ".join(f"floor({x} * 100 + 0.5)::INT" for x in ["score", "sequence", *others])
+    return f"""
+both_ways AS (SELECT stream_id, k, j, *  EXCLUDE (stream_id, k, j) FROM scored UNION ALL
+  SELECT stream_id, j, k, * EXCLUDE (stream_id, k, j) FROM scored),
+peer0 AS (SELECT a.stream_id, a.session_seq, b.session_seq AS peer, b.start_time, b.actions, b.contexts, {total} AS score,
+    sequence, w.action_set, w.context, w.time_of_day
+  FROM both_ways w JOIN clustered a ON a.stream_id = w.stream_id AND a.k = w.k
+  JOIN clustered b ON b.stream_id = w.stream_id AND b.k = w.j WHERE a.cluster_seq = b.cluster_seq),
+peer1 AS (SELECT *, floor(score * 100 + 0.5) / 100 AS rounded, row_number() OVER (PARTITION BY stream_id, session_seq
+  ORDER BY floor(score * 100 + 0.5) DESC, start_time, peer) AS n FROM peer0),
+peer2 AS (SELECT stream_id, session_seq, count(*) FILTER (n <= 2)::INT AS comparison_window,
+    floor(avg(rounded) FILTER (n <= 2) * 100 + 0.5) / 100 AS membership_score,
+    string_agg(peer || '=' || {shown} || ':' || array_to_string(actions, '>') || '@' || array_to_string(contexts, '+'), ' ' ORDER BY n)
+      FILTER (n <= 3) AS peers FROM peer1 GROUP BY ALL),
+explained AS (SELECT c.stream_id, c.cluster_seq, c.session_seq, '{strategy}' AS scoring_strategy, coalesce(comparison_window, 0) AS comparison_window,
+    coalesce(membership_score, 0.0) AS membership_score, array_to_string(c.actions, '>') AS actions,
+    array_to_string(c.contexts, '+') AS contexts, coalesce(p.peers, '') AS peers
+  FROM clustered c LEFT JOIN peer2 p USING (stream_id, session_seq))"""
+
+
+def _explained(members, strategy):
+    def percent(x):
+        return F.floor(x * 100 + 0.5).cast("int").cast("string")
+
+    def shown(p):
+        parts = [p[f"{n}_similarity"] for n in ("composite", "sequence", "action_set", "context", "time_of_day")]
+        sequence = F.array_join(p["peer_actions"], ">"), F.lit("@"), F.array_join(p["peer_contexts"], "+")
+        return F.concat(p["peer_seq"], F.lit("="), F.concat_ws("/", *map(percent, parts)), F.lit(":"), *sequence)
+
+    return J.explain_membership(members, strategy=strategy).select(
+        "stream_id", "cluster_seq", "session_seq", "scoring_strategy", "comparison_window", "membership_score",
+        F.array_join("actions", ">").alias("actions"), F.array_join("contexts", "+").alias("contexts"),
+        F.array_join(F.transform("peers", shown), " ").alias("peers"),
+    )
+
+
+@query("g23_membership", Q.upto("grouped", "SELECT * FROM explained", _led("grp0", 0.74) + "," + _membership_sql("hybrid_v2")))
 def g23(spark, sf_dir):
     d = C.eligible(I.described(spark, sf_dir), I.OPTIONS.clusters)
-    members = C.assign_clusters(d, I.OPTIONS.clusters)
-    return J.explain_membership(members).select(
-        "stream_id", "cluster_seq", "session_seq", "comparison_window", "membership_score",
-        F.to_json("peers").alias("peers"),
-    )
+    return _explained(C.assign_clusters(d, I.OPTIONS.clusters), "hybrid_v2")
+
+
+@query("g23_sequence_membership", Q.upto("grouped", "SELECT * FROM explained", _led("grp0", 0.74) + "," + _membership_sql("legacy")))
+def g23_sequence(spark, sf_dir):
+    d = C.eligible(I.described(spark, sf_dir), I.OPTIONS.clusters)
+    return _explained(C.assign_clusters(d, I.OPTIONS.clusters), "legacy")
 
 
 @query(

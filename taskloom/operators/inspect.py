@@ -7,11 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import sequence_score
 from ..functions.text import has_text, stable_id
 from ..options import SimilarityWeights
-from ..plans.slices import in_stream_order
 from .clusters import CLUSTER
+from .leaders import Members, strategy_weights
 from .sessions import SESSION
 
 UNKNOWN = "unknown_action"
@@ -394,112 +393,101 @@ def session_lineage(steps: DataFrame, sessions: DataFrame, raw: DataFrame) -> Da
     )
 
 
-def _peer_walk(weights: SimilarityWeights):
-    """Best peers of the asked descriptors of one cluster, a block of them at a time."""
-    w = weights.normalized()
+PEERS = 4
+_PEER = (
+    "peer_seq long, peer_start string, peer_actions array<string>, peer_contexts array<string>, "
+    "sequence_similarity double, action_set_similarity double, context_similarity double, "
+    "time_of_day_similarity double, composite_similarity double"
+)
 
-    def overlap(a: set, b: set) -> float:
-        union = len(a | b)
-        return len(a & b) / union if union else 1.0
 
-    def rounded(x: float) -> float:
-        return float(np.floor(x * 100 + 0.5) / 100)
+def _rounded(x: float) -> float:
+    return float(np.floor(x * 100 + 0.5) / 100)
 
-    def compare(rows: list) -> list:
-        peers = [
-            (tuple(r.tokens), set(r.action_set), set(r.contexts), int(r.start_minute), r.sessions)
-            for r in rows
-        ]
-        known: dict = {}
-        out = []
-        for asked in (r for r in rows if r.asked):
-            tokens, actions, contexts = tuple(asked.tokens), set(asked.action_set), set(asked.contexts)
-            best = []
-            for p_tokens, p_actions, p_contexts, minute, sessions in peers:
-                key = (p_tokens, tokens)
-                if key not in known:
-                    known[key] = sequence_score(*key)
-                apart = abs(minute - int(asked.start_minute))
-                day = max(0, 1 - min(apart, 1440 - apart) / 720)
-                parts = known[key], overlap(p_actions, actions), overlap(p_contexts, contexts), day
-                total = ((parts[0] * w.sequence + parts[1] * w.action_set) + parts[2] * w.context) + parts[3] * w.time_of_day
-                score = rounded(total)
-                for s in sessions:
-                    best.append((-score, s["start_time"], s["session_seq"], parts))
-                if len(best) > 64:
-                    best = sorted(best)[:4]
-            for b in sorted(best)[:4]:
-                out.append((asked.stream_id, asked.cluster_seq, asked.descriptor, b[2], b[1], *(rounded(x) for x in b[3]), -b[0]))
-        return out
-
-    def walk(frames):
-        group, rows = None, []
-        for frame in frames:
-            done = []
-            for r in frame.itertuples(index=False):
-                name = (r.stream_id, r.cluster_seq, r.block)
-                if name != group:
-                    done.extend(compare(rows))
-                    group, rows = name, []
-                rows.append(r)
-            yield pd.DataFrame(done, columns=PEER_COLUMNS)
-        yield pd.DataFrame(compare(rows), columns=PEER_COLUMNS)
-
-    return walk
-
-
-PEER_COLUMNS = ["stream_id", "cluster_seq", "descriptor", "peer_seq", "peer_start", "sequence_similarity",
-                "action_set_similarity", "context_similarity", "time_of_day_similarity", "composite_similarity"]
-
-
-def explain_membership(members: DataFrame, weights: SimilarityWeights = SimilarityWeights(), block: int = 500) -> DataFrame:
-    """Per session: the three most similar peers of its workflow and its score.
-
-    Sessions with equal descriptors have equal similarities, so only distinct descriptors
-    are compared, and of each only its first four sessions can be anyone's best peers. A
-    large workflow is compared in blocks, each a task of its own.
+
+def best_peers(asked: list, peers: list, weights, all_parts: bool = True) -> tuple[list[tuple], int]:
+    """For each asked descriptor its PEERS best sessions among those of the peers, and how many pairs were scored.
+
+    Peers are taken by falling upper bound; once the last one kept beats the bound, no other can enter.
+    """
+    index = Members(peers, weights)
+    out = []
+    for row in asked:
+        most, shared, rest = index.parts(row)
+        bound = index.total(most, rest)
+        tokens, best = tuple(row.tokens), []
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if len(best) == PEERS and _rounded(bound[i] + 1e-9) < -best[-1][0]:
+                break
+            sequence = index.sequence(i, tokens, shared[i])
+            parts = sequence, *(float(x[i]) for x in rest)
+            score = _rounded(index.total(sequence, parts[1:]))
+            best += [(-score, s["start_time"], s["session_seq"], i, parts) for s in peers[i].sessions]
+            best = sorted(best)[:PEERS]
+        for score, start, seq, i, parts in best:
+            shown = parts if all_parts else (parts[0], 0.0, 0.0, 0.0)
+            out.append((
+                row.stream_id, row.cluster_seq, row.descriptor, seq, start, list(peers[i].actions),
+                list(peers[i].contexts), *(_rounded(x) for x in shown), -score,
+            ))
+    return out, index.scored
+
+
+def explain_membership(
+    members: DataFrame,
+    weights: SimilarityWeights = SimilarityWeights(),
+    block: int = 500,
+    strategy: str = "hybrid_v2",
+) -> DataFrame:
+    """Per session: the three most similar peers of its workflow, with their sequences, and its score.
+
+    Sessions with equal descriptors have equal similarities, so only distinct descriptors are compared, and of each only
+    its first four sessions can be anyone's best peers. A large workflow meets itself block by block, and in a
+    pair of blocks only as many pairs are scored as upper bounds leave open.
     """
     keys = [*CLUSTER, "descriptor"]
     order = Window.partitionBy(*keys).orderBy("start_time", "session_seq")
-    few = members.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 4)
+    few = members.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= PEERS)
     distinct = few.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("start_time", "session_seq"))).alias("sessions"),
-        *[F.first(c).alias(c) for c in ("tokens", "action_set", "contexts", "start_minute")],
+        *[F.first(c).alias(c) for c in ("tokens", "actions", "action_set", "contexts", "start_minute")],
     )
     sizes = distinct.groupBy(*CLUSTER).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("descriptor"), F.col("blocks"))
-    spread = (
-        distinct.join(sizes, CLUSTER)
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("asked", F.col("block") == own)
-        .drop("blocks")
-    )
-    schema = (
-        "stream_id string, cluster_seq long, descriptor string, peer_seq long, peer_start string, "
-        "sequence_similarity double, action_set_similarity double, context_similarity double, "
-        "time_of_day_similarity double, composite_similarity double"
-    )
-    placed = in_stream_order(spread, [*CLUSTER, "block"], ["descriptor"])
-    peers = placed.mapInPandas(_peer_walk(weights), schema)
-    listed = peers.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    (-F.col("composite_similarity")).alias("rank"), "peer_start", "peer_seq",
-                    "sequence_similarity", "action_set_similarity", "context_similarity",
-                    "time_of_day_similarity", "composite_similarity",
-                )
-            )
-        ).alias("peers")
+    placed = distinct.join(sizes, CLUSTER).withColumn("block", F.pmod(F.xxhash64("descriptor"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+    asked = placed.select(*keys, "tokens", "action_set", "contexts", "start_minute", F.col("block").alias("own"), every.alias("other"))
+    facts = ["tokens", "actions", "action_set", "contexts", "start_minute", "sessions"]
+    # Named anew, as both sides come from the same rows.
+    peers = placed.select(
+        *[F.col(k).alias(f"peer_{k}") for k in CLUSTER], *[F.col(f).alias(f) for f in facts],
+        F.col("block").alias("peer_other"), every.alias("peer_own"),
     )
+    of_parts = strategy_weights(strategy, weights)
+    columns = [*keys, *[c.split()[0] for c in _PEER.split(", ")]]
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = (list(x.itertuples(index=False)) for x in (left, right))
+        return pd.DataFrame(best_peers(*rows, of_parts, strategy != "legacy")[0], columns=columns)
+
+    met = asked.groupBy(*CLUSTER, "own", "other").cogroup(
+        peers.groupBy(*[f"peer_{k}" for k in CLUSTER], "peer_own", "peer_other")
+    )
+    met = met.applyInPandas(compare, f"stream_id string, cluster_seq long, descriptor string, {_PEER}")
+    rank = [F.desc("composite_similarity"), F.col("peer_start"), F.col("peer_seq")]
+    met = met.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*rank))).filter(F.col("_n") <= PEERS)
+    ranked = F.array_sort(F.collect_list(F.struct("_n", F.struct(*columns[3:]).alias("peer"))))
+    listed = met.groupBy(*keys).agg(F.transform(ranked, lambda r: r["peer"]).alias("peers"))
     others = F.filter("peers", lambda p: p["peer_seq"] != F.col("session_seq"))
     top = F.slice(others, 1, 2)
     mean = F.aggregate(top, F.lit(0.0), lambda a, p: a + p["composite_similarity"]) / F.greatest(F.size(top), F.lit(1))
     return members.join(listed, keys).select(
         *CLUSTER,
         "session_seq",
+        F.lit(strategy).alias("scoring_strategy"),
         F.size(top).alias("comparison_window"),
         (F.floor(mean * 100 + 0.5) / F.lit(100.0)).alias("membership_score"),
+        "actions",
+        "contexts",
         F.slice(others, 1, 3).alias("peers"),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,7 +281,17 @@ def test_membership_equals_all_pairs(spark):
                 (-(int(_total(o, me) * 100 + 0.5) / 100), o["start_time"], o["session_seq"])
                 for o in rows if o["session_seq"] != me["session_seq"]
             )[:3]
-            assert [p["peer_seq"] for p in found[me["session_seq"]]["peers"]] == [o[2] for o in others]
+            peers = found[me["session_seq"]]["peers"]
+            assert [p["peer_seq"] for p in peers] == [o[2] for o in others]
+            assert [p["peer_actions"] for p in peers] == [rows[o[2]]["actions"] for o in others]
+
+
+def test_membership_scores_few_pairs():
+    from taskloom.operators.inspect import best_peers
+
+    rows = [SimpleNamespace(cluster_seq=0, sessions=[r], **r) for r in _random_sessions(8, 400)]
+    out, scored = best_peers(rows, rows, (0.35, 0.25, 0.25, 0.15))
+    assert len(out) == 4 * len(rows) and scored < len(rows) ** 2 / 10
 
 
 def test_benchmark_hybrid_beats_sequence_only(spark):
