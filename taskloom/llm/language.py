@@ -14,7 +14,6 @@ model is one pass without a shuffle; the model's size is bins x places.
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,15 +34,22 @@ MOST_LANGUAGES = 2048
 # Parts whose evidence is looked up at once, which bounds memory on long texts.
 PARTS_AT_ONCE = 512
 
-# What is no letter; number characters beyond the decimal ones are words to regular expressions, but no letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_OTHER = re.compile(r"[\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letters_of(text: str) -> str:
+    """The letters of a text in lower case, runs of anything else as one space."""
+    letters = _OTHER.sub(" ", text.lower()).strip()
+    # Number characters beyond the decimal ones are words to regular expressions, but no letters.
+    if not letters.replace(" ", "").isalpha():
+        letters = " ".join("".join(c if c.isalpha() else " " for c in letters).split())
+    return letters
+
+
 def _grams(text: bytes, bins: int) -> list[np.ndarray]:
     """Per size, the bins of a text's n-grams in order; empty without letters."""
-    letters = _OTHER.sub(" ", text.decode().lower()).strip()
+    letters = letters_of(text.decode())
     if not letters:
         return []
     data = np.frombuffer(f" {letters} ".encode(), dtype=np.uint8).astype(np.uint64)
