@@ -52,7 +52,7 @@ _ENDS = (b".", b"!", b"?", b":", b"|", b'"', b")")
 class Canonical:
     """Type and 64-bit hash of words; what was seen is kept, up to a bound."""
 
-    HELD = 300_000
+    HELD = 600_000
 
     def __init__(self):
         self._clear()
@@ -62,24 +62,32 @@ class Canonical:
         self.traits = np.zeros((1024, 4), dtype=bool)
         self.values = np.zeros((1024, 2), dtype=np.uint64)
 
-    def _add(self, word: bytes) -> None:
+    def _add(self, words: list[bytes]) -> None:
         at = len(self.code)
-        if at == len(self.values):
+        while at + len(words) > len(self.values):
             self.traits = np.concatenate([self.traits, np.zeros_like(self.traits)])
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        core = word.strip(_EDGE)
-        lower = core.lower()
-        self.traits[at] = (
-            _NUMBER.fullmatch(word.strip(b"\"'()[]{}<>;,.!?")) is not None,
-            lower in UNITS or word in UNITS,
-            len(core) > 1 and core.decode(errors="replace").istitle(),
-            word.endswith(_ENDS),
-        )
-        # Words of punctuation alone have one value, but are told apart in literal windows.
-        self.values[at] = [
-            int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in (lower, lower or word)
-        ]
-        self.code[word] = at
+        traits, digests, empty = [], [], []
+        for i, word in enumerate(words):
+            if word.isalpha():
+                core = word
+                number = ends = False
+                named = len(word) > 1 and word.istitle()
+            else:
+                core = word.strip(_EDGE)
+                number = _NUMBER.fullmatch(word.strip(b"\"'()[]{}<>;,.!?")) is not None
+                ends = word.endswith(_ENDS)
+                named = len(core) > 1 and core.decode(errors="replace").istitle()
+            lower = core.lower()
+            traits.append((number, lower in UNITS or word in UNITS, named, ends))
+            # Words of punctuation alone have one value, but are told apart in literal windows.
+            digests.append(hashlib.blake2b(lower or word, digest_size=8).digest())
+            if not lower:
+                empty.append(at + i)
+        self.traits[at : at + len(words)] = traits
+        self.values[at : at + len(words)] = np.frombuffer(b"".join(digests), dtype="<u8")[:, None]
+        self.values[empty, 0] = 0
+        self.code.update(zip(words, range(at, at + len(words))))
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         try:
@@ -87,8 +95,9 @@ class Canonical:
         except KeyError:
             if len(self.code) > self.HELD:
                 self._clear()
-            for w in sorted(set(words).difference(self.code)):
-                self._add(w)
+            new = sorted(set(words).difference(self.code))
+            if new:
+                self._add(new)
             return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
 
 
