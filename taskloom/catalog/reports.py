@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..plans.activity import raw_events, table
 from ..plans.materialize import scratch_dir
 from ..plans.session import configure
 from ..schema import FEEDBACK_FIELDS
-from ..streaming import live
+from ..streaming import live, refresh
 from . import inputs as I
 from . import sql as Q
 from .registry import query
@@ -268,11 +269,20 @@ def i13(spark, sf_dir):
     return out.select("stream_id", "latest_raw_event_at", "snapshot_status")
 
 
+CYCLE = [R.resolve_window("day", "2024-01-21"), CURRENT]
+
+
+def _cycle_rows(snapshots):
+    return snapshots.select(
+        "stream_id", "window", "total_sessions", F.size("workflows").alias("workflows"), F.size("emerging").alias("emerging")
+    )
+
+
 @query("i14_report_cycle")
 def i14(spark, sf_dir):
-    windows = [R.resolve_window("day", "2024-01-21"), CURRENT]
-    out = R.report_cycle(I.raw(spark, sf_dir), windows, F.lit("2024-02-01").cast("timestamp"), options=I.OPTIONS)
-    return out.select("stream_id", "window", "total_sessions", F.size("workflows").alias("workflows"), F.size("emerging").alias("emerging"))
+    return _cycle_rows(
+        R.report_cycle(I.raw(spark, sf_dir), CYCLE, F.lit("2024-02-01").cast("timestamp"), options=I.OPTIONS)
+    )
 
 
 @query(
@@ -840,7 +850,12 @@ def l2(spark, sf_dir):
     return _written(spark, live.live_idle_sessions(events.withWatermark("ts", "1 hour"), STREAMED))
 
 
-@query("l1_streaming_labels")
+# Labels from an event alone: no neighbours fill in for what it does not say.
+_ALONE = """ctx AS (SELECT *, NULL::VARCHAR AS b_target, NULL::VARCHAR AS a_target, page_type AS any_page_type, resource_hint AS any_hint FROM normalized),
+""" + Q.LABELLED
+
+
+@query("l1_streaming_labels", Q.upto("normalized", "SELECT stream_id, seq, application, action_name, action_confidence FROM labelled", _ALONE))
 def l1(spark, sf_dir):
     raw = raw_events(spark, sf_dir, _event_stream(spark, sf_dir))
     labels = live.live_labels(raw).select("stream_id", "seq", "application", "action_name", "action_confidence")
@@ -864,25 +879,32 @@ def l3(spark, sf_dir):
     return _written(spark, live.live_sessions(stream, I.OPTIONS.sessions))
 
 
-@query("l5_periodic_refresh", "SELECT user_id::VARCHAR AS stream_id, ts::DATE AS day, COUNT(*) AS events FROM events GROUP BY ALL")
+@query(
+    "l4_late_events",
+    Q.upto("placed", f"SELECT ln.* EXCLUDE (next_ms) FROM ln, lm WHERE next_ms < mark OR end_ms + {150000 * Q.S} < mark", _LIVE),
+)
+def l4(spark, sf_dir):
+    """Every seventh event comes a batch late, most of them behind the watermark; the sessions are those of all events."""
+    known = I.labelled(spark, sf_dir)
+    base = f"{scratch_dir(spark)}/late-{uuid.uuid4().hex}"
+    late = (c("seq") % 7 == 3) & (c("ts") < known.agg(F.max("ts")).first()[0] - timedelta(hours=1))
+    for part in (known.filter(~late), known.filter(late)):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/arriving")
+    arriving = spark.readStream.schema(known.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arriving")
+    merge = refresh.keep_late_sessions(base, 3_600_000, I.OPTIONS.sessions)
+    live.refresh_reports(arriving, merge, f"{base}/checkpoint").awaitTermination()
+    streamed = _written(spark, live.live_sessions(arriving.withWatermark("ts", "1 hour"), I.OPTIONS.sessions))
+    return refresh.current_sessions(streamed, base, I.OPTIONS.sessions.inactivity_ms)
+
+
+@query("l5_periodic_refresh")
 def l5(spark, sf_dir):
-    """A daily report, kept fresh by every batch that arrives; days without news are left alone."""
+    """Raw events come in order of time; every batch brings up to date the reports of the windows it reaches."""
     configure(spark)
     base = f"{scratch_dir(spark)}/refresh-{uuid.uuid4().hex}"
-    events = table(spark, sf_dir, "events").select(
-        c("user_id").cast("string").alias("stream_id"), "event_id", F.to_date("ts").alias("day")
-    )
-    events.repartition(8).write.parquet(f"{base}/arriving")
-
-    def refresh(batch, number):
-        batch.write.mode("overwrite").parquet(f"{base}/events/batch={number}")
-        stored = spark.read.schema(batch.schema).parquet(f"{base}/events/batch=*")
-        touched = stored.join(batch.select("day").distinct(), "day", "left_semi")
-        report = touched.groupBy("stream_id", "day").agg(F.count("*").alias("events"))
-        report.write.mode("overwrite").parquet(f"{base}/report/batch={number}")
-
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{base}/arriving")
-    live.refresh_reports(arriving, refresh, f"{base}/checkpoint").awaitTermination()
-    versions = spark.read.parquet(f"{base}/report")
-    newest = versions.groupBy("day").agg(F.max("batch").alias("batch"))
-    return versions.join(newest, ["day", "batch"]).select("stream_id", "day", "events")
+    raw = I.raw(spark, sf_dir)
+    raw.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/arriving")
+    arriving = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/arriving")
+    fresh = refresh.keep_reports_fresh(base, CYCLE, F.lit("2024-02-01").cast("timestamp"), options=I.OPTIONS)
+    live.refresh_reports(arriving, fresh, f"{base}/checkpoint").awaitTermination()
+    return _cycle_rows(refresh.current_reports(spark, base))
