@@ -17,7 +17,6 @@ exact windows. The filter only saves work: with a benchmark of any size the resu
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -43,6 +42,7 @@ UNITS = frozenset(
     b"hz khz mhz ghz w kw mw kwh v a k c f % $ usd eur gbp dollar dollars euro euros cent cents kb mb gb tb km/h mph".split()
 )
 NUMBER, UNIT, NAME, WORD = 1, 2, 3, 0
+NUMBER_BIT, UNIT_BIT, NAME_BIT, END_BIT = 1, 2, 4, 8
 
 _NUMBER = re.compile(rb"[-+$]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 _EDGE = b"".join(bytes([c]) for c in range(33, 127) if not bytes([c]).isalnum())
@@ -67,25 +67,27 @@ class Canonical:
         while at + len(words) > len(self.values):
             self.traits = np.concatenate([self.traits, np.zeros_like(self.traits)])
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        traits, digests, empty = [], [], []
+        traits, values, empty = [], [], []
         for i, word in enumerate(words):
-            if word.isalpha():
-                core = word
-                number = ends = False
-                named = len(word) > 1 and word.istitle()
-            else:
-                core = word.strip(_EDGE)
-                number = _NUMBER.fullmatch(word.strip(b"\"'()[]{}<>;,.!?")) is not None
-                ends = word.endswith(_ENDS)
-                named = len(core) > 1 and core.decode(errors="replace").istitle()
+            core = word if word.isalpha() else word.strip(_EDGE)
             lower = core.lower()
-            traits.append((number, lower in UNITS or word in UNITS, named, ends))
-            # Words of punctuation alone have one value, but are told apart in literal windows.
-            digests.append(hashlib.blake2b(lower or word, digest_size=8).digest())
+            trait = UNIT_BIT if lower in UNITS or word in UNITS else 0
+            first = core[:1]
+            # A number begins with a digit, a name with no lower-case letter.
+            if first.isdigit() and _NUMBER.fullmatch(word.strip(b"\"'()[]{}<>;,.!?")):
+                trait |= NUMBER_BIT
+            if len(core) > 1 and not first.islower() and core.decode(errors="replace").istitle():
+                trait |= NAME_BIT
+            if core is not word and word.endswith(_ENDS):
+                trait |= END_BIT
+            traits.append(trait)
+            values.append(lower or word)
             if not lower:
                 empty.append(at + i)
-        self.traits[at : at + len(words)] = traits
-        self.values[at : at + len(words)] = np.frombuffer(b"".join(digests), dtype="<u8")[:, None]
+        bits = np.array(traits, dtype=np.uint8)[:, None]
+        self.traits[at : at + len(words)] = bits & [NUMBER_BIT, UNIT_BIT, NAME_BIT, END_BIT]
+        # Words of punctuation alone have one value, but are told apart in literal windows.
+        self.values[at : at + len(words)] = Words([b" ".join(values)]).hashes()[:, None]
         self.values[empty, 0] = 0
         self.code.update(zip(words, range(at, at + len(words))))
 
@@ -95,7 +97,7 @@ class Canonical:
         except KeyError:
             if len(self.code) > self.HELD:
                 self._clear()
-            new = sorted(set(words).difference(self.code))
+            new = list(set(words).difference(self.code))
             if new:
                 self._add(new)
             return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
