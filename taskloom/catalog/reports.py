@@ -24,7 +24,7 @@ from ..streaming import live, refresh
 from . import inputs as I
 from . import sql as Q
 from .registry import query
-from .workflows import _FACTS, _HUMAN, _LOG, _log, _summary
+from .workflows import _EMERGING, _FACTS, _HUMAN, _LANES, _LOG, _lane, _log, _summary
 
 c = F.col
 
@@ -129,7 +129,10 @@ def i6(spark, sf_dir):
     return R.summary_lists(_entries(spark, sf_dir)).select("list", "rank", "workflow_signature")
 
 
-@query("i7_emerging_workflows")
+@query("i7_emerging_workflows", Q.upto("grouped", f"""SELECT stream_id, cluster_id, {_HUMAN.format('main')} || ' workflow' AS workflow_name,
+  size AS frequency, secs AS total_duration_seconds FROM hints h
+  ANTI JOIN (SELECT stream_id, sha1('workflow_cluster:' || signature) AS cluster_id FROM flow) f USING (stream_id, cluster_id)""",
+  _lane("", "grp0", 0.74, 3) + "," + _EMERGING))
 def i7(spark, sf_dir):
     none = R.empty_feedback(spark)
     d, a = I.described(spark, sf_dir), I.assigned(spark, sf_dir)
@@ -272,13 +275,29 @@ def i13(spark, sf_dir):
 CYCLE = [R.resolve_window("day", "2024-01-21"), CURRENT]
 
 
+def _cycle_sql() -> str:
+    """The whole analysis anew for the events of each window."""
+    parts = []
+    for w in CYCLE:
+        counts = f"""SELECT stream_id, '{w.window}' AS "window", COUNT(*) AS total_sessions,
+          any_value((SELECT COUNT(*) FROM flows f WHERE f.stream_id = d.stream_id))::INT AS workflows,
+          any_value((SELECT COUNT(*) FROM hints h WHERE h.stream_id = d.stream_id AND NOT EXISTS (SELECT 1 FROM flows f
+            WHERE f.stream_id = h.stream_id AND f.cluster_id = h.cluster_id)))::INT AS emerging
+          FROM described d GROUP BY stream_id"""
+        whole = Q.upto("grouped", counts, f"{_LANES},{_EMERGING}")
+        body = Q.ACTIVITY.replace("activity AS (", "activity_all AS (")
+        span = f"activity AS (SELECT * FROM activity_all WHERE ts >= '{w.start:%Y-%m-%d %H:%M:%S}' AND ts < '{w.end:%Y-%m-%d %H:%M:%S}')"
+        parts.append("SELECT * FROM (" + whole.replace(Q.ACTIVITY, f"{body},\n{span}", 1) + ")")
+    return "\nUNION ALL\n".join(parts)
+
+
 def _cycle_rows(snapshots):
     return snapshots.select(
         "stream_id", "window", "total_sessions", F.size("workflows").alias("workflows"), F.size("emerging").alias("emerging")
     )
 
 
-@query("i14_report_cycle")
+@query("i14_report_cycle", _cycle_sql())
 def i14(spark, sf_dir):
     return _cycle_rows(
         R.report_cycle(I.raw(spark, sf_dir), CYCLE, F.lit("2024-02-01").cast("timestamp"), options=I.OPTIONS)
@@ -897,7 +916,7 @@ def l4(spark, sf_dir):
     return refresh.current_sessions(streamed, base, I.OPTIONS.sessions.inactivity_ms)
 
 
-@query("l5_periodic_refresh")
+@query("l5_periodic_refresh", _cycle_sql())
 def l5(spark, sf_dir):
     """Raw events come in order of time; every batch brings up to date the reports of the windows it reaches."""
     configure(spark)

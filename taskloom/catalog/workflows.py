@@ -549,7 +549,46 @@ def g20(spark, sf_dir):
     )
 
 
-@query("g21_two_lanes")
+def _lane(n: str, source: str, threshold: float, frequency: int) -> str:
+    """Statements that end in flow{n}: the confirmed workflows of one lane, founded, led and graded by the rules above."""
+    return f"""{_led(source, threshold, n)},
+ok{n} AS (SELECT DISTINCT stream_id, cluster_seq FROM (SELECT *, lead(start_ts, {frequency - 1})
+      OVER (PARTITION BY stream_id, cluster_seq ORDER BY start_ts, session_seq) AS reach FROM clustered{n})
+  WHERE epoch_ms(reach) - epoch_ms(start_ts) <= 7 * 86400000),
+mem{n} AS (SELECT * FROM clustered{n} JOIN ok{n} USING (stream_id, cluster_seq)),
+var{n} AS (SELECT stream_id, cluster_seq, array_to_string(actions, '>') AS sequence, COUNT(*) AS often,
+    SUM(round(duration_seconds * 1000)::BIGINT) / 1000 / COUNT(*) AS mean, MIN(struct_pack(t := start_time, s := session_seq)) AS first
+  FROM mem{n} GROUP BY ALL),
+top{n} AS (SELECT stream_id, cluster_seq, often, first.s AS lead_seq FROM var{n}
+  QUALIFY row_number() OVER (PARTITION BY stream_id, cluster_seq ORDER BY often DESC, mean DESC, first) = 1),
+rep{n} AS (SELECT t.*, e.k AS rk, e.actions AS steps, e.workflow_signature AS signature
+  FROM top{n} t JOIN el{n} e ON e.stream_id = t.stream_id AND e.session_seq = t.lead_seq),
+kin{n} AS (SELECT m.stream_id, m.cluster_seq, avg(coalesce(w.total, 1.0)) AS mean_total, COUNT(*) AS size,
+    SUM(round(m.duration_seconds * 1000)::BIGINT) / 1000 AS secs
+  FROM mem{n} m JOIN rep{n} r USING (stream_id, cluster_seq)
+  LEFT JOIN scored{n} w ON w.stream_id = m.stream_id AND w.j = least(m.k, r.rk) AND w.k = greatest(m.k, r.rk) GROUP BY ALL),
+flow{n} AS (SELECT stream_id, cluster_seq, signature, size, secs,
+    coalesce(list_filter(steps, lambda a: a <> 'unknown_action' AND NOT starts_with(a, 'open_') AND NOT starts_with(a, 'switch_to_'))[1], steps[1]) AS main,
+    floor((mean_total * 0.55 + often / size * 0.25 + least(1, size / 5) * 0.2) * 100 + 0.5) / 100 AS confidence
+  FROM rep{n} JOIN kin{n} USING (stream_id, cluster_seq))"""
+
+
+# Both lanes: what no standard workflow has and is short enough goes to the second one.
+_LANES = f"""{_lane('', 'grp0', 0.74, 3)},
+rest AS (SELECT d.* FROM described d ANTI JOIN mem m ON m.stream_id = d.stream_id AND m.session_seq = d.session_seq
+  WHERE d.duration_seconds BETWEEN 0 AND {20 * I.STRETCH} AND len(d.actions) BETWEEN 1 AND 3
+    AND len(list_filter(d.actions, lambda a: a <> 'unknown_action' AND NOT starts_with(a, 'switch_to_'))) >= 1),
+{_lane('_s', 'rest', 0.86, 3)},
+flows AS (SELECT *, 'standard' AS detection_mode, sha1('workflow_cluster:' || signature) AS cluster_id FROM flow
+  UNION ALL SELECT *, 'short_form', sha1('workflow_cluster:' || sha1('workflow_signature:short_form:' || signature)) FROM flow_s)"""
+
+# Provisional workflows: every cluster counts, whatever its length and size.
+_EMERGING = f"""{_lane('_e', 'described', 0.74, 1)},
+hints AS (SELECT *, sha1('workflow_cluster:' || signature) AS cluster_id FROM flow_e)"""
+
+
+@query("g21_two_lanes", Q.upto("grouped", f"""SELECT stream_id, cluster_id, detection_mode, {_HUMAN.format('main')} || ' workflow' AS name,
+  size AS frequency, confidence AS confidence_score FROM flows""", _LANES))
 def g21(spark, sf_dir):
     clusters, _ = find_workflows(I.described(spark, sf_dir), I.assigned(spark, sf_dir), I.OPTIONS)
     return clusters.select("stream_id", "cluster_id", "detection_mode", "name", "frequency", "confidence_score")
