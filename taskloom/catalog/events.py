@@ -32,7 +32,7 @@ from ..plans.activity import activity, raw_events, table
 from ..plans.materialize import scratch_dir
 from ..plans.session import configure
 from ..sources import store
-from ..sources.events import coerce_events, read_events, read_json, read_ndjson
+from ..sources.events import coerce_events, read_events, read_json, read_large_events, read_ndjson
 from ..streaming import live
 from . import inputs as I
 from . import sql as Q
@@ -134,6 +134,27 @@ def a2_array(spark, sf_dir):
     return _accepted(read_json(spark, _files(spark, sf_dir, _as_array)))
 
 
+@query("a2_large_json", Q.upto("activity", _ACCEPTED, _COERCED))
+def a2_large(spark, sf_dir):
+    """One document of all events, read in pieces."""
+
+    def write(frames):
+        before = '{"events":['
+        for frame in frames:
+            if frame.empty:
+                continue
+            values = ["," + x for x in frame["value"]]
+            values[0] = before + values[0][1:]
+            before = ","
+            yield pd.DataFrame({"value": values})
+        yield pd.DataFrame({"value": ["]}" if before == "," else before + "]}"]})
+
+    path = f"{scratch_dir(spark)}/incoming-{uuid.uuid4().hex}"
+    lines = _incoming(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).coalesce(1)
+    lines.mapInPandas(write, "value string").write.text(path)
+    return _accepted(read_large_events(spark, path))
+
+
 @query("a3_reader_choice", Q.upto("activity", _ACCEPTED, _COERCED))
 def a3(spark, sf_dir):
     """The folder's name says nothing, so the text decides."""

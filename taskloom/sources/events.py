@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null, iso_utc, stable_id
 from ..schema import INCOMING, RAW_COLUMNS
+from .large_json import read_large_json
 
 CORRUPT = "_corrupt_record"
 LINE_SUFFIXES = (".ndjson", ".jsonl")
@@ -25,7 +26,7 @@ def read_ndjson(spark: SparkSession, path) -> DataFrame:
 def read_json(spark: SparkSession, path) -> DataFrame:
     """An array, an ``{"events": [...]}`` wrapper or a single event per file (A2).
 
-    One such file is one JSON value and is read by one task; large inputs should be NDJSON.
+    One such file is one JSON value and is read by one task; for large ones see ``read_large_events``.
     """
     wrapped = T.StructType(
         INCOMING.fields
@@ -43,6 +44,11 @@ def read_json(spark: SparkSession, path) -> DataFrame:
     return picked.filter(~F.col("empty") | F.col("empty").isNull()).select("e.*", CORRUPT)
 
 
+def read_large_events(spark: SparkSession, path: str) -> DataFrame:
+    """The same for files of one large array or wrapper, which are split over tasks (A2)."""
+    return read_large_json(spark, path, INCOMING, CORRUPT)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Choose the reader by file name, or by the first character of the text (A3)."""
     lowered = path.lower()
