@@ -24,7 +24,7 @@ from ..streaming import live, refresh
 from . import inputs as I
 from . import sql as Q
 from .registry import query
-from .workflows import _EMERGING, _FACTS, _HUMAN, _LANES, _LOG, _lane, _log, _summary
+from .workflows import WIDE, _EMERGING, _FACTS, _HUMAN, _LANES, _LOG, _lane, _log, _membership_sql, _peer_texts, _stream_clusters, _summary
 
 c = F.col
 
@@ -349,6 +349,18 @@ def j1(spark, sf_dir):
     return J.domain_pack_coverage(I.labelled(spark, sf_dir))
 
 
+@query(
+    "j1_domain_pack_listing",
+    Q.upto("normalized", "SELECT stream_id, seq, domain, route_template, route_family, page_type, resource_hint, domain_pack_id FROM normalized"),
+)
+def j1_listing(spark, sf_dir):
+    events = I.labelled(spark, sf_dir)
+    seq = events.select("raw_event_id", "seq")
+    return J.domain_pack_listing(events).join(seq, "raw_event_id").select(
+        "stream_id", "seq", "domain", "route_template", "route_family", "page_type", "resource_hint", "domain_pack_id"
+    )
+
+
 @query(
     "j2_layer_coverage",
     Q.upto("labelled", """SELECT layer, COUNT(x) AS event_count, COUNT(x) / (SELECT COUNT(*) FROM labelled) AS rate
@@ -466,12 +478,31 @@ def j7(spark, sf_dir):
 
 @query(
     "j8_analysis_readiness",
-    Q.upto("activity", "SELECT COUNT(*) AS raw_event_count, COUNT(*) AS normalized_event_count, 'ready' AS readiness FROM activity"),
+    Q.upto("grouped", """SELECT s.* FROM (SELECT COUNT(*) AS n, epoch_ms(MAX(ts)) AS last FROM activity) r,
+      (SELECT COUNT(*) AS n, epoch_ms(MAX(ts)) AS last FROM activity WHERE seq % 3 > 0) p, (SELECT COUNT(*) AS n FROM described) d, (SELECT COUNT(*) AS n FROM flow) f,
+      LATERAL (VALUES ('empty', 0, 0, 0, 0, NULL, NULL), ('needs_analysis', r.n, 0, 0, 0, r.last, NULL), ('stale', r.n, p.n, d.n, 0, r.last, p.last),
+        ('ready', r.n, r.n, d.n, f.n, r.last, r.last)) s(readiness, raw_event_count, normalized_event_count, session_count, workflow_count, latest_raw_ms, latest_normalized_ms)""",
+        _lane("", "grp0", 0.6, 2)),
 )
 def j8(spark, sf_dir):
-    return J.analysis_readiness(I.raw(spark, sf_dir), I.labelled(spark, sf_dir)).select(
-        "raw_event_count", "normalized_event_count", "readiness"
-    )
+    """A store in each of the four states it can be in."""
+    raw, events = I.raw(spark, sf_dir), I.labelled(spark, sf_dir)
+    described = I.described(spark, sf_dir)
+    clusters, _ = C.cluster_lane(described, I.assigned(spark, sf_dir), WIDE)
+    states = [
+        J.analysis_readiness(raw.limit(0), events.limit(0)),
+        J.analysis_readiness(raw, events.limit(0)),
+        J.analysis_readiness(raw, events.filter("seq % 3 > 0"), described),
+        J.analysis_readiness(raw, events, described, clusters),
+    ]
+    out = states[0]
+    for more in states[1:]:
+        out = out.unionByName(more)
+    return out.select(
+        "readiness", "raw_event_count", "normalized_event_count", "session_count", "workflow_count",
+        F.unix_millis("latest_raw_event_at").alias("latest_raw_ms"),
+        F.unix_millis("latest_normalized_event_at").alias("latest_normalized_ms"),
+    )
 
 
 @query(
@@ -503,6 +534,42 @@ def j10(spark, sf_dir):
     )
 
 
+_FLOW_ID = "sha1('workflow_cluster:' || signature)"
+
+
+@query(
+    "j10_session_workflows",
+    Q.upto("placed", f"""SELECT p.stream_id, p.seq, row_number() OVER (PARTITION BY p.stream_id, p.session_seq ORDER BY p.idx) AS step_order, p.action_name, cluster_id
+      FROM placed p LEFT JOIN (SELECT m.stream_id, m.session_seq, {_FLOW_ID} AS cluster_id FROM mem m JOIN flow USING (stream_id, cluster_seq)) h
+        ON h.stream_id = p.stream_id AND h.session_seq = p.session_seq""",
+        Q.SESSIONS + "," + Q.GROUPS + "," + _lane("", "grp0", 0.6, 2)),
+)
+def j10_workflows(spark, sf_dir):
+    """Every event of every session with the workflow the session belongs to."""
+    described, assigned, raw = I.described(spark, sf_dir), I.assigned(spark, sf_dir), I.raw(spark, sf_dir)
+    clusters, bridge = C.cluster_lane(described, assigned, WIDE)
+    rows = J.session_lineage(session_steps(assigned), described, raw, bridge, clusters)
+    return rows.join(raw.select(c("id").alias("raw_event_id"), "seq"), "raw_event_id").select(
+        "stream_id", "seq", c("step_order").cast("long").alias("step_order"), "action_name", "cluster_id"
+    )
+
+
+@query(
+    "j10_workflow_lineage",
+    Q.upto("grouped", f"""SELECT m.stream_id, {_FLOW_ID} AS cluster_id, m.session_seq, m.start_time, m.primary_application, m.step_count, size AS frequency,
+      e.comparison_window, e.membership_score, e.peers FROM mem m JOIN flow f USING (stream_id, cluster_seq) JOIN explained e USING (stream_id, session_seq)""",
+        _lane("", "grp0", 0.6, 2) + "," + _membership_sql("hybrid_v2")),
+)
+def j10_lineage(spark, sf_dir):
+    """Every workflow with its sessions and why they belong to it."""
+    described = I.described(spark, sf_dir)
+    clusters, bridge = C.cluster_lane(described, I.assigned(spark, sf_dir), WIDE)
+    return J.workflow_lineage(clusters, bridge, described).select(
+        "stream_id", "cluster_id", "session_seq", "start_time", "primary_application", "step_count", "frequency",
+        "comparison_window", "membership_score", _peer_texts(),
+    )
+
+
 # --- payloads ---------------------------------------------------------------------
 
 
@@ -600,6 +667,24 @@ def k5_overlay(spark, sf_dir):
     return K.overlay_names(applied, labels).select("stream_id", "workflow_name_source")
 
 
+@query(
+    "k5_names_written_back",
+    Q.upto("activity", f"""SELECT s.stream_id, coalesce(n.name, 'Workflow ' || s.stream_id) AS name, n.name IS NOT NULL AS user_labeled
+      FROM (SELECT DISTINCT stream_id FROM activity) s LEFT JOIN (SELECT workflow_cluster_id, arg_max(workflow_name || ' ' || turn, turn) AS name FROM lb GROUP BY 1) n
+        ON n.workflow_cluster_id = 'id-' || s.stream_id""", _LABELS),
+)
+def k5_written(spark, sf_dir):
+    """Suggested names become feedback; the last one of a workflow is its name."""
+    answers = _answers(spark, sf_dir)
+    labels, _ = K.parse_labels(answers)
+    turn = F.regexp_replace(F.regexp_extract("created_at", r"(\d+)$", 1), "^0+(?=.)", "")
+    labels = labels.withColumn("workflow_name", F.concat_ws(" ", "workflow_name", turn))
+    clusters = _stream_clusters(spark, sf_dir)
+    accepted, _ = K.labels_as_feedback(K.list_labels(labels), clusters)
+    applied = H.apply_feedback(clusters, H.fold_feedback(accepted))
+    return applied.select("stream_id", "name", "user_labeled")
+
+
 # --- derivation -------------------------------------------------------------------
 
 

@@ -228,6 +228,38 @@ def f13(spark, sf_dir):
     return steps.select("stream_id", "session_seq", c("step_order").cast("long").alias("step_order"), "action_name")
 
 
+@query(
+    "f13_sessions_of_events",
+    Q.upto("described", """SELECT p.stream_id, p.seq, p.session_seq, p.step_order, d.primary_application, d.step_count
+      FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, session_seq ORDER BY idx) AS step_order FROM placed) p
+      JOIN described d USING (stream_id, session_seq) WHERE p.source_event_type = 'form.submit'"""),
+)
+def f13_of_events(spark, sf_dir):
+    assigned = I.assigned(spark, sf_dir)
+    wanted = assigned.filter(c("source_event_type") == "form.submit").select(c("id").alias("normalized_event_id"), "seq")
+    found = S.sessions_of_events(S.session_steps(assigned), I.described(spark, sf_dir), wanted)
+    return found.join(wanted, "normalized_event_id").select(
+        "stream_id", "seq", "session_seq", c("step_order").cast("long").alias("step_order"), "primary_application", "step_count"
+    )
+
+
+@query(
+    "f13_session_details",
+    Q.upto("described", """SELECT stream_id, session_seq, row_number() OVER (PARTITION BY stream_id, session_seq ORDER BY idx) AS step_order, p.action_name, p.application, d.boundary_reason
+      FROM placed p JOIN (SELECT stream_id, session_seq, boundary_reason FROM described WHERE step_count >= 4) d USING (stream_id, session_seq)"""),
+)
+def f13_details(spark, sf_dir):
+    sessions = I.described(spark, sf_dir)
+    details = S.session_details(
+        S.session_steps(I.assigned(spark, sf_dir)),
+        sessions.select("stream_id", "session_seq", "session_id", "boundary_reason", "step_count"),
+        sessions.filter("step_count >= 4"),
+    )
+    return details.select(
+        "stream_id", "session_seq", c("step_order").cast("long").alias("step_order"), "action_name", "application", "boundary_reason"
+    )
+
+
 # --- similarity -------------------------------------------------------------------
 
 
@@ -360,7 +392,7 @@ def g10(spark, sf_dir):
 _TOTAL = "((sequence * 0.35 + action_set * 0.25) + context * 0.25) + time_of_day * 0.15"
 
 
-def _led(source: str, threshold: float, n: str = "") -> str:
+def _led(source: str, threshold: float, n: str = "", total: str = _TOTAL) -> str:
     """Statements that end in clustered{n}: the rows of ``source`` with their cluster_seq."""
     steps = _PAIRS[_PAIRS.index("pr1 AS") :]
     for k in range(5):
@@ -370,7 +402,7 @@ pr0{n} AS (SELECT b.stream_id, b.k, a.k AS j, b.tokens AS t, b.action_set AS s,
     a.tokens AS lt, a.action_set AS ls, a.contexts AS lx, a.start_minute AS lm
   FROM el{n} a JOIN el{n} b ON a.stream_id = b.stream_id AND a.k < b.k),
 {steps},
-scored{n} AS (SELECT *, {_TOTAL} AS total FROM pr4{n}),
+scored{n} AS (SELECT *, {total} AS total FROM pr4{n}),
 sims{n} AS (SELECT stream_id, k, list(total ORDER BY j) AS sims FROM scored{n} GROUP BY ALL),
 led{n} AS (
   SELECT stream_id, k, [k] AS home FROM el{n} WHERE k = 1
@@ -392,6 +424,8 @@ def g11(spark, sf_dir):
 
 
 _LOOSE = replace(I.OPTIONS.clusters, min_frequency=3)
+# Workflows of few and less equal sessions, of which single users have some here.
+WIDE = replace(I.OPTIONS.clusters, min_frequency=2, similarity_threshold=0.6)
 
 
 @query(
@@ -644,7 +678,7 @@ explained AS (SELECT c.stream_id, c.cluster_seq, c.session_seq, '{strategy}' AS
   FROM clustered c LEFT JOIN peer2 p USING (stream_id, session_seq))"""
 
 
-def _explained(members, strategy):
+def _peer_texts():
     def percent(x):
         return F.floor(x * 100 + 0.5).cast("int").cast("string")
 
@@ -653,10 +687,13 @@ def _explained(members, strategy):
         sequence = F.array_join(p["peer_actions"], ">"), F.lit("@"), F.array_join(p["peer_contexts"], "+")
         return F.concat(p["peer_seq"], F.lit("="), F.concat_ws("/", *map(percent, parts)), F.lit(":"), *sequence)
 
+    return F.array_join(F.transform("peers", shown), " ").alias("peers")
+
+
+def _explained(members, strategy):
     return J.explain_membership(members, strategy=strategy).select(
         "stream_id", "cluster_seq", "session_seq", "scoring_strategy", "comparison_window", "membership_score",
-        F.array_join("actions", ">").alias("actions"), F.array_join("contexts", "+").alias("contexts"),
-        F.array_join(F.transform("peers", shown), " ").alias("peers"),
+        F.array_join("actions", ">").alias("actions"), F.array_join("contexts", "+").alias("contexts"), _peer_texts(),
     )
 
 
@@ -687,6 +724,25 @@ def g24(spark, sf_dir):
     return out.select("cluster_count", "false_merges", "false_splits")
 
 
+def _errors(n: str, name: str) -> str:
+    return f"""e{n} AS (SELECT DISTINCT stream_id || ':' || cluster_seq AS cluster_id, primary_application FROM clustered{n}),
+m{n} AS (SELECT COUNT(*) AS {name}_cluster_count, SUM(x - 1)::BIGINT AS {name}_false_merges FROM (SELECT COUNT(*) AS x FROM e{n} GROUP BY cluster_id)),
+s{n} AS (SELECT SUM(x - 1)::BIGINT AS {name}_false_splits FROM (SELECT COUNT(*) AS x FROM e{n} GROUP BY primary_application)),
+b{n} AS (SELECT *, {name}_false_merges + {name}_false_splits AS {name}_total_errors FROM m{n}, s{n})"""
+
+
+@query(
+    "g24_strategies",
+    Q.upto("grouped", """SELECT *, floor(greatest(0, (legacy_total_errors - hybrid_v2_total_errors) / legacy_total_errors) * 100 + 0.5) / 100 AS improvement_rate FROM b_l, b_h""",
+        ",".join([_led("grp0", 0.6, "_l", "sequence"), _errors("_l", "legacy"), _led("grp0", 0.6, "_h"), _errors("_h", "hybrid_v2")])),
+)
+def g24_strategies(spark, sf_dir):
+    """A session's application stands in for the workflow expected of it."""
+    d = C.eligible(I.described(spark, sf_dir), I.OPTIONS.clusters)
+    labels = d.select("session_id", c("primary_application").alias("expected"))
+    return J.compare_strategies(d, labels, WIDE)
+
+
 # --- feedback ---------------------------------------------------------------------
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, stable_id
-from ..options import SimilarityWeights
+from ..options import ClusterOptions, SimilarityWeights
 from .clusters import CLUSTER
-from .leaders import Members, strategy_weights
+from .leaders import Members, assign_clusters, strategy_weights
 from .sessions import SESSION
 
 UNKNOWN = "unknown_action"
@@ -48,6 +50,14 @@ def domain_pack_coverage(events: DataFrame) -> DataFrame:
     )
 
 
+def domain_pack_listing(events: DataFrame) -> DataFrame:
+    """What each event was recognised as."""
+    return events.select(
+        "stream_id", "raw_event_id", F.col("ts_text").alias("timestamp"), "domain", "route_template", "route_family",
+        "page_type", "resource_hint", "domain_pack_id", "domain_pack_version",
+    )
+
+
 def layer_of(events: DataFrame) -> Column:
     return F.coalesce(
         F.col("action_match.layer"),
@@ -341,12 +351,25 @@ def quality_issues(report: DataFrame) -> DataFrame:
     return report.select(F.explode(F.array_compact(F.array(*rules))).alias("i")).select("i.*")
 
 
-def analysis_readiness(raw: DataFrame, events: DataFrame) -> DataFrame:
-    """empty / needs_analysis / stale / ready, with the counts behind it."""
-    one = F.lit(1).alias("_one")
-    r = raw.agg(F.count("*").alias("raw_event_count"), F.max("ts").alias("latest_raw_event_at"), F.max(one).alias("_one"))
-    e = events.agg(F.count("*").alias("normalized_event_count"), F.max("ts").alias("latest_normalized_event_at"))
-    joined = r.withColumn("_one", F.lit(1)).join(e.withColumn("_one", F.lit(1)), "_one").drop("_one")
+def analysis_readiness(
+    raw: DataFrame, events: DataFrame, sessions: DataFrame | None = None, clusters: DataFrame | None = None
+) -> DataFrame:
+    """empty / needs_analysis / stale / ready, with the counts behind it (J8). What is not given counts as none."""
+
+    def facts(df, name, latest=None):
+        cells = [F.count("*").alias(f"{name}_count")]
+        if latest:
+            cells.append(F.max("ts").alias(latest))
+        return df.agg(*cells).withColumn("_one", F.lit(1))
+
+    joined = facts(raw, "raw_event", "latest_raw_event_at").join(
+        facts(events, "normalized_event", "latest_normalized_event_at"), "_one"
+    )
+    for df, name in ((sessions, "session"), (clusters, "workflow")):
+        if df is None:
+            joined = joined.withColumn(f"{name}_count", F.lit(0).cast("long"))
+        else:
+            joined = joined.join(facts(df, name), "_one")
     kind = (
         F.when(F.col("raw_event_count") == 0, F.lit("empty"))
         .when(F.col("normalized_event_count") == 0, F.lit("needs_analysis"))
@@ -357,7 +380,7 @@ def analysis_readiness(raw: DataFrame, events: DataFrame) -> DataFrame:
         )
         .otherwise(F.lit("ready"))
     )
-    return joined.withColumn("readiness", kind)
+    return joined.drop("_one").withColumn("readiness", kind)
 
 
 # --- lineage ----------------------------------------------------------------------
@@ -384,13 +407,39 @@ def event_lineage(raw: DataFrame, events: DataFrame, steps: DataFrame, bridge: D
     )
 
 
-def session_lineage(steps: DataFrame, sessions: DataFrame, raw: DataFrame) -> DataFrame:
-    """Session -> its raw events."""
-    return (
+def session_lineage(
+    steps: DataFrame, sessions: DataFrame, raw: DataFrame, bridge: DataFrame | None = None, clusters: DataFrame | None = None
+) -> DataFrame:
+    """Session -> its raw events, and with a bridge its workflow."""
+    rows = (
         steps.join(sessions.select(*SESSION, "session_id"), SESSION)
         .join(raw.select(F.col("id").alias("raw_event_id"), "source_event_type"), "raw_event_id")
-        .select("stream_id", "session_id", "step_order", "raw_event_id", "source_event_type", "action_name")
+        .select(*SESSION, "session_id", "step_order", "raw_event_id", "source_event_type", "action_name")
+    )
+    if bridge is None:
+        return rows.drop("session_seq")
+    homes = bridge.select(*SESSION, "cluster_seq", "detection_mode")
+    named = clusters.select(*CLUSTER, "detection_mode", "cluster_id", "name")
+    return rows.join(homes, SESSION, "left").join(named, [*CLUSTER, "detection_mode"], "left").drop("session_seq")
+
+
+def workflow_lineage(
+    clusters: DataFrame,
+    bridge: DataFrame,
+    described: DataFrame,
+    weights: SimilarityWeights = SimilarityWeights(),
+    strategy: str = "hybrid_v2",
+) -> DataFrame:
+    """Workflow -> its sessions, each with why it belongs there (J10): one row for each member."""
+    named = clusters.select(*CLUSTER, "detection_mode", "cluster_id", "name", "frequency")
+    placed = bridge.select(*CLUSTER, "session_seq", "detection_mode")
+    members = described.join(placed, SESSION)
+    # A session is in one workflow only, so both lanes are explained at once.
+    why = explain_membership(members, weights, strategy=strategy)
+    facts = members.select(
+        *SESSION, "detection_mode", "session_id", "start_time", "end_time", "primary_application", "primary_domain", "step_count"
     )
+    return why.join(facts, SESSION).join(named, [*CLUSTER, "detection_mode"])
 
 
 PEERS = 4
@@ -512,6 +561,19 @@ def benchmark_clusters(assignments: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def compare_strategies(described: DataFrame, labels: DataFrame, options: ClusterOptions) -> DataFrame:
+    """False merges and splits of both scoring strategies, and the share of errors the second saves."""
+    found = None
+    for strategy in ("legacy", "hybrid_v2"):
+        members = assign_clusters(described, replace(options, strategy=strategy))
+        home = F.concat_ws(":", "stream_id", F.col("cluster_seq").cast("string"))
+        one = benchmark_clusters(members.select("session_id", home.alias("cluster_id")), labels)
+        one = one.select(F.lit(1).alias("_one"), *[F.col(c).alias(f"{strategy}_{c}") for c in one.columns])
+        found = one if found is None else found.join(one, "_one")
+    rate_of = improvement_rate(F.col("legacy_total_errors"), F.col("hybrid_v2_total_errors"))
+    return found.drop("_one").withColumn("improvement_rate", rate_of)
+
+
 def improvement_rate(baseline_errors: Column, errors: Column) -> Column:
     """Share of the baseline's errors that are gone."""
     raw = F.when(

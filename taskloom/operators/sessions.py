@@ -614,18 +614,17 @@ def list_sessions(sessions: DataFrame) -> DataFrame:
     ).orderBy(F.col("start_time").desc(), "session_id")
 
 
-def session_of_event(steps: DataFrame, sessions: DataFrame, normalized_event_id: str) -> DataFrame:
-    """The session that holds an event."""
-    return sessions.join(
-        steps.filter(F.col("normalized_event_id") == normalized_event_id).select(*SESSION),
-        SESSION,
-        "left_semi",
+def sessions_of_events(steps: DataFrame, sessions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each wanted ``normalized_event_id`` the session that holds it, and its place there."""
+    return (
+        wanted.select("normalized_event_id")
+        .distinct()
+        .join(steps.select("normalized_event_id", *SESSION, "step_order"), "normalized_event_id")
+        .join(sessions, SESSION)
     )
 
 
-def session_detail(steps: DataFrame, sessions: DataFrame, session_id: str) -> DataFrame:
-    """One session with its steps in order."""
-    return (
-        steps.join(sessions.filter(F.col("session_id") == session_id), SESSION)
-        .orderBy("step_order")
-    )
+def session_details(steps: DataFrame, sessions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The steps, in order, of each wanted ``session_id``, beside the session."""
+    some = sessions.join(wanted.select("session_id").distinct(), "session_id", "left_semi")
+    return steps.join(some, SESSION).orderBy("session_id", "step_order")
