@@ -72,20 +72,23 @@ def pretoken_pieces(frequencies: DataFrame, path: str) -> DataFrame:
 
 
 def _frequent(pieces: DataFrame, limit: int) -> dict[str, int]:
-    """At most ``limit`` short pre-tokens, those above a frequency that a histogram gives."""
+    """At most ``limit`` short pre-tokens, those above a frequency that a histogram gives.
+
+    Its bins are single numbers, and from 4096 on the 64 parts of an octave, so they are few whatever the counts.
+    """
+    octaves = F.floor((F.log2("n") - 12) * 64).cast("long") + 4096
     short = pieces.filter(F.length("pretoken") <= SHORT)
-    sizes = (
-        short.groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(4096).alias("n"))
-        .count()
-        .collect()
-    )
-    least, total = 4097, 0
+    short = short.withColumn("bin", F.when(F.col("n") < 4096, F.col("n")).otherwise(octaves))
+    sizes = short.groupBy("bin").count().collect()
+    least, total = None, 0
     for n, count in sorted(map(tuple, sizes), reverse=True):
         total += count
         if total > limit:
             break
         least = n
-    rows = short.filter(F.col("n") >= least).select("pretoken", "pieces").collect()
+    if least is None:
+        return {}
+    rows = short.filter(F.col("bin") >= least).select("pretoken", "pieces").collect()
     return {r.pretoken: r.pieces for r in rows}
 
 
@@ -99,8 +102,8 @@ def count_tokens(
     """doc_id, n_bytes and n_tokens of each row's whole text.
 
     A null or empty text has 0 of both. Every row gives one row, also if ids are null or occur twice.
-    Other columns are not read. Should more than ``frequent`` pre-tokens occur 4096 times or more, none
-    is sent and all go through the join; results are the same.
+    Other columns are not read. The ``frequent`` most frequent short pre-tokens are sent to every task, all others go
+    through a join.
     """
     source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counted = pretoken_pieces(pretoken_frequencies(source, path), path)

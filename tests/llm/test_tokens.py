@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from taskloom.llm.packing import pack, pack_documents, sequence_lengths
 from taskloom.llm.pretokens import PreTokens, vocabulary_path
-from taskloom.llm.token_counts import count_tokens
+from taskloom.llm.token_counts import _frequent, count_tokens
 
 from .conftest import EDGES, documents_frame
 
@@ -105,3 +105,14 @@ def test_packed_ids_on_edges(spark, edges, empty, library):
     one = [x for _, _, p in sorted(got[5]) for x in p]
     assert one == ids(library, EDGES[4][1]) + [2]
     assert pack_documents(empty, PATH, 2).collect() == []
+
+
+def test_frequent_pretokens_beyond_the_old_bin(spark):
+    """More pre-tokens than the limit occur very often; the most frequent of them are still sent."""
+    rows = [(f"p{i}", 5000 + 40 * i, 1 + i % 3) for i in range(1000)] + [("x" * 100, 10**9, 2), ("rare", 3, 1)]
+    frame = spark.createDataFrame(rows, "pretoken string, n long, pieces long")
+    for limit in (100, 500, 5000):
+        sent = _frequent(frame, limit)
+        assert len(sent) <= limit and len(sent) >= min(limit * 0.8, 1001)
+        assert set(sent) >= {f"p{i}" for i in range(1000 - int(len(sent) * 0.9), 1000)} and "x" * 100 not in sent
+    assert _frequent(frame.limit(0), 10) == {}
