@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; if it names none, one below the warehouse."""
+    """The shared folder the cluster names; if it names none, one below the warehouse.
+
+    A warehouse on a machine's own disk will do for a local master only.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        own = warehouse.startswith("file:") or "://" not in warehouse
+        if own and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"{warehouse}/_stages")
         current = spark.sparkContext.getCheckpointDir()
     return current
