@@ -300,6 +300,25 @@ def test_items_of_one_to_four_words_where_they_stand_alone(spark):
     assert got == {k: (1, 0) for k in [(30, 1), (31, 1), (32, 2), (34, 3), (36, 4), (38, 2), (40, 5)]}
 
 
+def test_items_with_values_drawn_anew_are_found(spark):
+    random.seed(4)
+    words = [f"{a}{b}" for a in "ba ce di fo gu la me ni po ru".split() for b in "na ter lis mon vek dra shi tol".split()]
+    names = "Anna Peter Maria Ruth Omar Lena Paris Berlin Lima Oslo".split()
+    items, documents = {}, {}
+    for i in range(60):
+        plain = random.choices(words, k=random.choice([5, 7, 10, 13, 20, 30]))
+        slots = random.sample(range(1, len(plain)), max(1, len(plain) // 6))
+        twice = []
+        for _ in range(2):
+            filled = list(plain)
+            for s in slots:
+                filled[s] = str(random.randint(2, 999)) if s % 2 else random.choice(names)
+            twice.append(" ".join(filled))
+        items[i], fill = twice[0], [" ".join(random.choices(words, k=40)) for _ in range(2)]
+        documents[i] = f"{fill[0]}. {twice[1]}. {fill[1]}"
+    assert set(found(spark, items, documents)) == {(i, i) for i in range(60)}
+
+
 def test_values_may_become_equal_and_a_conflict_is_local(spark):
     head = "the farmer puts 3 red apples and 5 green pears into the large basket today"
     rest = " ".join(f"word{i}" for i in range(40))
