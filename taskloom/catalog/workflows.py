@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
+from types import SimpleNamespace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -22,7 +24,9 @@ from ..operators import inspect as J
 from ..operators import sessions as S
 from ..options import SimilarityWeights
 from ..plans.analysis import find_workflows
+from ..plans.materialize import scratch_dir
 from ..plans.slices import with_previous_row
+from ..sources import store
 from . import inputs as I
 from . import sql as Q
 from .registry import query
@@ -628,6 +632,31 @@ def g21(spark, sf_dir):
     return clusters.select("stream_id", "cluster_id", "detection_mode", "name", "frequency", "confidence_score")
 
 
+@query(
+    "a6_stored_workflows",
+    Q.upto("grouped", """SELECT m.stream_id, sha1('workflow_cluster:' || signature) AS cluster_id, m.session_seq, m.step_count, size AS frequency, round(secs, 3) AS total_duration_seconds
+      FROM mem m JOIN flow USING (stream_id, cluster_seq)""", _lane("", "grp0", 0.6, 2)),
+)
+def a6_workflows(spark, sf_dir):
+    """A run is stored with its workflows, and they are read back with their sessions and steps."""
+    path = f"{scratch_dir(spark)}/runs-{uuid.uuid4().hex}"
+    described, assigned = I.described(spark, sf_dir), I.assigned(spark, sf_dir)
+    clusters, bridge = C.cluster_lane(described, assigned, WIDE)
+    events = I.labelled(spark, sf_dir)
+    run = SimpleNamespace(events=events, assigned=assigned, sessions=described, clusters=clusters, bridge=bridge)
+    store.write_analysis(run, path)
+    kept = store.read_analysis(spark, path)
+    steps = kept["steps"].groupBy("stream_id", "session_seq").agg(F.count("*").alias("step_count"))
+    members = kept["bridge"].join(kept["sessions"].select("stream_id", "session_seq"), ["stream_id", "session_seq"])
+    named = kept["clusters"].select(
+        "stream_id", "cluster_seq", "cluster_id", "frequency",
+        F.round("total_duration_seconds", 3).alias("total_duration_seconds"),
+    )
+    return members.join(steps, ["stream_id", "session_seq"]).join(named, ["stream_id", "cluster_seq"]).select(
+        "stream_id", "cluster_id", "session_seq", "step_count", "frequency", "total_duration_seconds"
+    )
+
+
 def _merge_rules(clusters):
     """Send every workflow to the first one of its applications."""
     target = clusters.groupBy("involved_apps").agg(F.min_by("workflow_signature", "cluster_seq").alias("target"))
