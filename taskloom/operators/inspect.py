@@ -492,7 +492,8 @@ def explain_membership(
 
     Sessions with equal descriptors have equal similarities, so only distinct descriptors are compared, and of each only
     its first four sessions can be anyone's best peers. A large workflow meets itself block by block, and in a
-    pair of blocks only as many pairs are scored as upper bounds leave open.
+    pair of blocks only as many pairs are scored as upper bounds leave open. Workflows within a block share lots of
+    about a block of descriptors each, so that many tiny ones are few groups; one of a single session has no peers.
     """
     keys = [*CLUSTER, "descriptor"]
     order = Window.partitionBy(*keys).orderBy("start_time", "session_seq")
@@ -501,35 +502,55 @@ def explain_membership(
         F.array_sort(F.collect_list(F.struct("start_time", "session_seq"))).alias("sessions"),
         *[F.first(c).alias(c) for c in ("tokens", "actions", "action_set", "contexts", "start_minute")],
     )
-    sizes = distinct.groupBy(*CLUSTER).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = distinct.groupBy(*CLUSTER).agg(F.count("*").alias("_size"), F.sum(F.size("sessions")).alias("_sessions"))
+    sizes = sizes.filter(F.col("_sessions") > 1).withColumn("blocks", F.ceil(F.col("_size") / block).cast("int"))
+    # One row: how many lots the workflows of one block fill.
+    lots = sizes.filter("blocks = 1").agg(F.ceil(F.sum("_size") / block).alias("_lots"), F.lit(1).alias("_one"))
+    small = F.col("blocks") == 1
+    sizes = sizes.withColumn("_one", F.lit(1)).join(lots, "_one").select(
+        *CLUSTER, "blocks",
+        F.when(small, F.lit("")).otherwise(F.col("stream_id")).alias("home"),
+        F.when(small, F.pmod(F.xxhash64(*CLUSTER), "_lots")).otherwise(F.col("cluster_seq")).alias("lot"),
+    )
     placed = distinct.join(sizes, CLUSTER).withColumn("block", F.pmod(F.xxhash64("descriptor"), F.col("blocks")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-    asked = placed.select(*keys, "tokens", "action_set", "contexts", "start_minute", F.col("block").alias("own"), every.alias("other"))
     facts = ["tokens", "actions", "action_set", "contexts", "start_minute", "sessions"]
+    asked = placed.select(
+        *keys, "tokens", "action_set", "contexts", "start_minute", "blocks", "home", "lot", F.col("block").alias("own"), every.alias("other")
+    )
     # Named anew, as both sides come from the same rows.
+    shared = [*CLUSTER, "blocks", "home", "lot"]
     peers = placed.select(
-        *[F.col(k).alias(f"peer_{k}") for k in CLUSTER], *[F.col(f).alias(f) for f in facts],
+        *[F.col(k).alias(f"peer_{k}") for k in shared], *[F.col(f).alias(f) for f in facts],
         F.col("block").alias("peer_other"), every.alias("peer_own"),
     )
     of_parts = strategy_weights(strategy, weights)
     columns = [*keys, *[c.split()[0] for c in _PEER.split(", ")]]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = (list(x.itertuples(index=False)) for x in (left, right))
-        return pd.DataFrame(best_peers(*rows, of_parts, strategy != "legacy")[0], columns=columns)
-
-    met = asked.groupBy(*CLUSTER, "own", "other").cogroup(
-        peers.groupBy(*[f"peer_{k}" for k in CLUSTER], "peer_own", "peer_other")
+        near: dict = {}
+        for row in right.itertuples(index=False):
+            near.setdefault((row.peer_stream_id, row.peer_cluster_seq), []).append(row)
+        here: dict = {}
+        for row in left.itertuples(index=False):
+            here.setdefault((row.stream_id, row.cluster_seq), []).append(row)
+        found = [best_peers(rows, near.get(flow, []), of_parts, strategy != "legacy")[0] for flow, rows in here.items()]
+        return pd.DataFrame([row for rows in found for row in rows], columns=columns)
+
+    # ``blocks`` keeps lots apart from large workflows.
+    met = asked.groupBy("blocks", "home", "lot", "own", "other").cogroup(
+        peers.groupBy("peer_blocks", "peer_home", "peer_lot", "peer_own", "peer_other")
     )
     met = met.applyInPandas(compare, f"stream_id string, cluster_seq long, descriptor string, {_PEER}")
     rank = [F.desc("composite_similarity"), F.col("peer_start"), F.col("peer_seq")]
     met = met.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*rank))).filter(F.col("_n") <= PEERS)
     ranked = F.array_sort(F.collect_list(F.struct("_n", F.struct(*columns[3:]).alias("peer"))))
     listed = met.groupBy(*keys).agg(F.transform(ranked, lambda r: r["peer"]).alias("peers"))
-    others = F.filter("peers", lambda p: p["peer_seq"] != F.col("session_seq"))
+    listed = members.join(listed, keys, "left")
+    others = F.coalesce(F.filter("peers", lambda p: p["peer_seq"] != F.col("session_seq")), F.array())
     top = F.slice(others, 1, 2)
     mean = F.aggregate(top, F.lit(0.0), lambda a, p: a + p["composite_similarity"]) / F.greatest(F.size(top), F.lit(1))
-    return members.join(listed, keys).select(
+    return listed.select(
         *CLUSTER,
         "session_seq",
         F.lit(strategy).alias("scoring_strategy"),

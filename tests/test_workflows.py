@@ -286,6 +286,29 @@ def test_membership_equals_all_pairs(spark):
             assert [p["peer_actions"] for p in peers] == [rows[o[2]]["actions"] for o in others]
 
 
+def test_membership_of_many_small_workflows(spark):
+    rows = _random_sessions(9, 90)
+    # Workflows of one, two and more sessions of two streams, and one beyond a block.
+    flow = [i % 30 if i < 45 else 30 for i in range(90)]
+    rows = [{**r, "stream_id": "st"[c % 2 if c < 30 else 0]} for r, c in zip(rows, flow)]
+    frame = spark.createDataFrame(rows, SESSION_SCHEMA)
+    homes = spark.createDataFrame([(r["session_seq"], c) for r, c in zip(rows, flow)], "session_seq long, cluster_seq long")
+    frame = frame.join(homes, "session_seq")
+    for block in (4, 20, 1000):
+        found = {r["session_seq"]: r for r in explain_membership(frame, block=block).collect()}
+        assert len(found) == len(rows)
+        for me, c in zip(rows, flow):
+            others = sorted(
+                (-(int(_total(o, me) * 100 + 0.5) / 100), o["start_time"], o["session_seq"])
+                for o, d in zip(rows, flow) if d == c and o["session_seq"] != me["session_seq"]
+            )
+            got = found[me["session_seq"]]
+            assert [p["peer_seq"] for p in got["peers"]] == [o[2] for o in others[:3]]
+            assert got["comparison_window"] == min(2, len(others))
+            mean = sum(-o[0] for o in others[:2]) / max(1, min(2, len(others)))
+            assert got["membership_score"] == int(mean * 100 + 0.5) / 100
+
+
 def test_membership_scores_few_pairs():
     from taskloom.operators.inspect import best_peers
 
