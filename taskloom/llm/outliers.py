@@ -3,9 +3,11 @@
 For each language and source the minimum-covariance-determinant estimate of location and scatter is computed, and
 rows far from it by Mahalanobis distance are rejected. Concentration steps run on Spark over all rows:
 each row's distance under the current estimate falls into a bin of a logarithmic scale, counts, sums and products are
-aggregated per group and bin, and the bins that hold the nearest share of the group give the next estimate. A step
-moves one row per group, bin and task; nothing is collected, and a group of any size, such as one that
-holds a third of all rows, is only ever summed. Binning makes the steps independent of row order and partitions.
+aggregated per group and bin, and the bins that hold the nearest share of the group (the last of them in part, so that
+it is exactly that share) give the next estimate. Several starts take their first steps side by side in one aggregation;
+per group the one of the least determinant goes on. A step moves one row per group, start, bin and task; nothing is
+collected, and a group of any size, such as one that holds a third of all rows, is only ever summed. Binning makes the
+steps independent of row order and partitions.
 """
 
 from __future__ import annotations
@@ -36,10 +38,16 @@ SUBSET = 0.75
 CONSISTENT = 1.41
 # Share of normal rows within the cutoff.
 INSIDE = 0.999
+# Groups of fewer rows are judged by a larger group's estimate.
 LEAST_ROWS = 50
-STEPS = 6
-# Parts that a group's rows are dealt in when they meet their group's estimate.
-PARTS = 32
+# Steps of all starts, and in all.
+FIRST_STEPS, STEPS = 2, 6
+# Each start's centre, as a quantile of every axis, and whether its spread is the quartile range or the floor alone.
+STARTS = ((0.5, True), (0.25, True), (0.75, True), (0.5, False))
+# A group's rows are dealt in parts of about this many when they meet their group's estimate.
+PART_ROWS = 100_000
+# The group of all rows; other groups' names begin with "{" or "pool".
+EVERY = "every row"
 BINS_PER_OCTAVE = 16
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -129,45 +137,63 @@ def axes() -> dict[str, Column]:
 
 
 def with_group(rows: DataFrame, keys: list[str], least: int = LEAST_ROWS) -> DataFrame:
-    """Add ``_group``: all keys, or the first key for groups of under ``least`` rows together.
+    """Add ``_group`` and its number of rows ``_size``, and that of the table, ``_all``.
 
-    Null where even that pool is smaller.
+    The group is all keys, the first key for groups of under ``least`` rows together, or, where even that pool is
+    smaller, the whole table.
     """
     named = rows.withColumn("_own", F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}))
-    sizes = named.groupBy("_own", F.col(keys[0]).alias("_first")).agg(F.count("*").alias("_n"))
+    sizes = named.groupBy("_own", F.col(keys[0]).alias("_first")).agg(F.count("*").alias("_n"), F.lit(1).alias("_one"))
     small = sizes.filter(F.col("_n") < least).groupBy("_first").agg(F.sum("_n").alias("_pool"))
+    whole = sizes.agg(F.sum("_n").alias("_all"), F.lit(1).alias("_one"))
+    own, pooled = F.col("_n") >= least, F.col("_pool") >= least
     chosen = sizes.join(
         small.withColumnRenamed("_first", "_f"), F.col("_first").eqNullSafe(F.col("_f")), "left"
-    ).select(
+    ).join(whole, "_one").select(
         F.col("_own").alias("_known"),
-        F.when(F.col("_n") >= least, F.col("_own"))
-        .when(F.col("_pool") >= least, F.concat(F.lit("pool "), F.coalesce("_first", F.lit("null"))))
-        .alias("_group"),
-    )
+        F.when(own, F.col("_own")).when(pooled, F.concat(F.lit("pool "), F.coalesce("_first", F.lit("null"))))
+        .otherwise(EVERY).alias("_group"),
+        F.when(own, F.col("_n")).when(pooled, F.col("_pool")).otherwise(F.col("_all")).alias("_size"),
+        "_all",
+    )
     return named.join(chosen, F.col("_own") == F.col("_known"), "left").drop("_own", "_known")
 
 
-def _first_estimate(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges per group, from bins of 1/64."""
+_ESTIMATE = "_key string, _start int, _parts long, _mean array<double>, _precision array<double>, _determinant double"
+
+
+def _parts(size) -> Column:
+    return F.ceil(size / PART_ROWS)
+
+
+def first_spreads(low: list, high: list) -> list[float]:
+    return [max(f, (h - x) / 1.349) for f, x, h in zip(FLOORS, low, high)]
+
+
+def _first_estimates(rows: DataFrame) -> DataFrame:
+    """The starts of each group: quartiles and their ranges, from bins of 1/64."""
     stacked = rows.select(
         "_group", F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.floor(F.col(a) * 64).alias("bin")) for i, a in enumerate(AXES)])).alias("_v")
     )
     bins = stacked.groupBy("_group", "_v.axis", "_v.bin").agg(F.count("*").alias("n"))
 
     def estimate(bins: pd.DataFrame) -> pd.DataFrame:
-        middle, spread = [], []
+        quartiles = {0.25: [], 0.5: [], 0.75: []}
         for axis in range(len(AXES)):
             own = bins[bins.axis == axis].sort_values("bin")
             share = own.n.cumsum().to_numpy() / own.n.sum()
-            low, mid, high = (own.bin.to_numpy()[np.searchsorted(share, q)] / 64 for q in (0.25, 0.5, 0.75))
-            middle.append(mid)
-            spread.append(max(FLOORS[axis], (high - low) / 1.349))
-        precision = np.diag(1 / np.square(spread)).ravel()
-        return pd.DataFrame({"_key": [bins._group.iloc[0]], "_mean": [middle], "_precision": [precision.tolist()]})
-
-    return bins.groupBy("_group").applyInPandas(
-        estimate, "_key string, _mean array<double>, _precision array<double>"
-    )
+            for q, found in quartiles.items():
+                found.append(own.bin.to_numpy()[np.searchsorted(share, q)] / 64)
+        spread = first_spreads(quartiles[0.25], quartiles[0.75])
+        size = int(bins.n[bins.axis == 0].sum())
+        found = []
+        for start, (q, ranged) in enumerate(STARTS):
+            squares = np.square(spread if ranged else FLOORS)
+            precision = np.diag(1 / squares).ravel().tolist()
+            found.append((bins._group.iloc[0], start, -(-size // PART_ROWS), quartiles[q], precision, float(np.prod(squares))))
+        return pd.DataFrame(found, columns=[c.split()[0] for c in _ESTIMATE.split(", ")])
+
+    return bins.groupBy("_group").applyInPandas(estimate, _ESTIMATE)
 
 
 def _distance() -> Column:
@@ -177,34 +203,58 @@ def _distance() -> Column:
 
 
 def _with_estimate(rows: DataFrame, estimate: DataFrame, how: str) -> DataFrame:
-    """Rows with their group's estimate; a group's rows stay spread over many tasks."""
-    spread = estimate.withColumn("_its_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    """Rows with their group's estimates; a large group's rows stay spread over many tasks."""
+    spread = estimate.withColumn("_its_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
     return rows.join(spread, (F.col("_group") == F.col("_key")) & (F.col("_part") == F.col("_its_part")), how)
 
 
+def nearest(bins: pd.DataFrame) -> pd.Series:
+    """Counts, sums and products of exactly the nearest share of a group; the last bin counts in part."""
+    bins = bins.sort_values("_bin").drop(columns="_bin")
+    before = bins.n.cumsum() - bins.n
+    taken = ((SUBSET * bins.n.sum() - before) / bins.n).clip(0, 1)
+    return bins.mul(taken, axis=0).sum()
+
+
 def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step: the estimate from the nearest rows under the one given."""
+    """One concentration step of every start: the estimate from the nearest rows under the one given."""
     n = len(AXES)
     placed = _with_estimate(rows, estimate, "inner").withColumn(
         "_bin", F.floor(F.log2(F.greatest(_distance(), F.lit(2.0**-20))) * BINS_PER_OCTAVE)
     )
     sums = [F.sum(a).alias(f"s{i}") for i, a in enumerate(AXES)]
     products = [F.sum(F.col(AXES[i]) * F.col(AXES[j])).alias(f"p{i}{j}") for i in range(n) for j in range(i, n)]
-    bins = placed.groupBy("_group", "_bin").agg(F.count("*").alias("n"), *sums, *products)
+    bins = placed.groupBy("_group", "_start", "_bin").agg(F.count("*").alias("n"), *sums, *products)
 
     def estimate_of(bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("_bin")
-        inner = bins.n.cumsum() - bins.n < SUBSET * bins.n.sum()
-        total = bins[inner].drop(columns=["_group", "_bin"]).sum()
+        group, start, parts = bins._group.iloc[0], bins._start.iloc[0], -(-int(bins.n.sum()) // PART_ROWS)
+        total = nearest(bins.drop(columns=["_group", "_start"]))
         mean = np.array([total[f"s{i}"] for i in range(n)]) / total.n
         scatter = np.array([[total[f"p{min(i, j)}{max(i, j)}"] for j in range(n)] for i in range(n)])
         scatter = (scatter / total.n - np.outer(mean, mean)) * CONSISTENT + np.diag(np.square(FLOORS))
-        precision = np.linalg.inv(scatter).ravel()
-        return pd.DataFrame({"_key": [bins._group.iloc[0]], "_mean": [mean.tolist()], "_precision": [precision.tolist()]})
+        row = (group, start, parts, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.det(scatter)))
+        return pd.DataFrame([row], columns=[c.split()[0] for c in _ESTIMATE.split(", ")])
 
-    return bins.groupBy("_group").applyInPandas(
-        estimate_of, "_key string, _mean array<double>, _precision array<double>"
-    )
+    return bins.groupBy("_group", "_start").applyInPandas(estimate_of, _ESTIMATE)
+
+
+def least_determinant(estimates: DataFrame) -> DataFrame:
+    """Of each group's starts the one of the least determinant; rounding must not tell equal ones apart."""
+    order = F.struct(F.round(F.log("_determinant"), 6), F.col("_start"))
+    names = ["_start", "_parts", "_mean", "_precision", "_determinant"]
+    best = estimates.groupBy("_key").agg(F.min_by(F.struct(*names), order).alias("_best"))
+    return best.select("_key", *[F.col(f"_best.{c}").alias(c) for c in names])
+
+
+def estimates(known: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Location and scatter of each ``_group`` of ``known``, which also holds ``_part`` and the axes."""
+    found = _first_estimates(known)
+    for _ in range(min(FIRST_STEPS, steps)):
+        found = _step(known, found)
+    found = least_determinant(found)
+    for _ in range(steps - FIRST_STEPS):
+        found = _step(known, found)
+    return found
 
 
 def judge_quality(
@@ -218,22 +268,25 @@ def judge_quality(
     """Statistics of each row, base_failed, distance (squared) and kept.
 
     The id and the keys pass through, other columns are not read; a null key is a group of its own. Groups under 50 rows are pooled by the first
-    key; rows of a pool under 50 have no distance and pass. Null and empty texts have 0 words
-    and fail the base rule. Equal rows get equal results; nothing is merged.
+    key; rows of a pool under 50 are judged by the estimate over all rows, so that every row has a distance, also in a
+    tiny table. Null and empty texts have 0 words and fail the base rule. Equal rows get equal results; nothing is
+    merged.
     """
     rows = with_group(with_statistics(documents, [doc_id, *keys], text).withColumns(axes()), list(keys))
-    rows = rows.withColumn("_part", (F.monotonically_increasing_id() % PARTS).cast("int"))
-    rows = materialize(rows, "statistics")
-    known = rows.filter(F.col("_group").isNotNull()).select("_group", "_part", *AXES)
-    estimate = _first_estimate(known)
-    for _ in range(steps):
-        estimate = _step(known, estimate)
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "statistics")
+    # Every row also counts in the group of all rows.
+    homes = F.array_distinct(F.array(F.struct("_group", "_size"), F.struct(F.lit(EVERY).alias("_group"), F.col("_all").alias("_size"))))
+    known = rows.select(F.explode(homes).alias("_home"), "_row", *AXES)
+    known = known.select("_home._group", F.pmod("_row", _parts(F.col("_home._size"))).alias("_part"), *AXES)
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
     return (
-        _with_estimate(rows, estimate, "left")
+        _with_estimate(rows.withColumn("_part", F.pmod("_row", _parts(F.col("_size")))), estimates(known, steps), "left")
         .withColumns({"base_failed": failed, "distance": _distance()})
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
-        .drop("_group", "_key", "_part", "_its_part", "_mean", "_precision", *AXES)
-    )
+        .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
+        .drop(
+            "_group", "_size", "_all", "_row", "_key", "_start", "_parts", "_part", "_its_part", "_mean", "_precision",
+            "_determinant", *AXES,
+        )
+    )

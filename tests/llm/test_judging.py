@@ -1,3 +1,5 @@
+import itertools
+import math
 import os
 import random
 import re
@@ -8,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from taskloom.llm import language
+from taskloom.llm import language, outliers
 from taskloom.llm.decontamination import drop_contaminated, find_contamination
 from taskloom.llm.language import codewords, fit_languages, held_out, identify_languages
 from taskloom.llm.outliers import CUTOFF, judge_quality
@@ -135,10 +137,98 @@ def test_statistics_on_edges(spark, edges, empty):
     )
     for r in rows:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
-        assert r.kept == (not r.base_failed)  # the groups are too small for a verdict
+    # Too few rows for groups of their own: all are judged by the estimate over the table.
+    distances = plain_distances([plain_axes(t) for _, t in EDGES])
+    assert sorted((r.distance, r.kept) for r in rows) == [
+        (pytest.approx(d, rel=1e-6), k) for d, k in sorted(
+            (d, not brute_failed(t) and d <= CUTOFF) for d, (_, t) in zip(distances, EDGES)
+        )
+    ]
     assert judge_quality(empty).collect() == []
 
 
+def brute_failed(text):
+    n, _, _, _, repeated = brute_statistics(text)
+    return n < 10 or 100 * repeated > 20 * n
+
+
+def plain_axes(text):
+    words, chars, symbols, same, repeated = brute_statistics(text)
+    lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)])
+    parts = symbols / (chars + 1), same / (lines + 1), repeated / (words + 1)
+    return [math.log(words + 1), math.log((chars + 1) / (words + 1)), *map(math.sqrt, parts)]
+
+
+def plain_estimate(points, steps=6):
+    """Mean, inverse scatter and determinant of one group, by loops over its points."""
+    n, axes = len(points), range(5)
+    cells = [sorted(math.floor(p[a] * 64) for p in points) for a in axes]
+    at = {q: [c[math.ceil(q * n) - 1] / 64 for c in cells] for q in (0.25, 0.5, 0.75)}
+    spread = [max(f, (h - x) / 1.349) for f, x, h in zip(outliers.FLOORS, at[0.25], at[0.75])]
+    found = [(at[q], np.diag([1 / v**2 for v in (spread if wide else outliers.FLOORS)]), 0.0) for q, wide in outliers.STARTS]
+    for step in range(steps):
+        if step == 2:
+            found = [min(found, key=lambda e: round(math.log(e[2]), 6))]
+        found = [plain_step(points, *e[:2]) for e in found]
+    return found[0]
+
+
+def plain_step(points, mean, precision):
+    weighed, bins = [], {}
+    for p in points:
+        off = [p[a] - mean[a] for a in range(5)]
+        d = max(sum(off[i] * off[j] * precision[i][j] for i in range(5) for j in range(5)), 2.0**-20)
+        bins.setdefault(math.floor(math.log2(d) * 16), []).append(p)
+    left = 0.75 * len(points)
+    for key in sorted(bins):
+        share = min(1.0, left / len(bins[key]))
+        weighed += [(share, p) for p in bins[key]]
+        left -= share * len(bins[key])
+        if left <= 0:
+            break
+    total = sum(w for w, _ in weighed)
+    middle = [sum(w * p[a] for w, p in weighed) / total for a in range(5)]
+    scatter = np.array([[sum(w * (p[i] - middle[i]) * (p[j] - middle[j]) for w, p in weighed) / total for j in range(5)] for i in range(5)])
+    scatter = scatter * 1.41 + np.diag(np.square(outliers.FLOORS))
+    return middle, np.linalg.inv(scatter), float(np.linalg.det(scatter))
+
+
+def plain_distances(points, pool=None):
+    mean, precision, _ = plain_estimate(pool or points)
+    return [float((np.array(p) - mean) @ precision @ (np.array(p) - mean)) for p in points]
+
+
+def test_distances_equal_the_plain_estimate(spark):
+    """Own groups, a pool of small ones, and rows judged by all rows; whole results are equal."""
+    rng = random.Random(28)
+    rows = []
+    for i in range(330):
+        words = [f"w{rng.randrange(10 ** rng.randint(2, 6))}" for _ in range(rng.randint(12, 200))]
+        if i % 17 == 0:
+            words = [f"{w} |" for w in words]
+        lang, source = ("en", "a") if i < 140 else ("en", f"s{i % 3}") if i < 200 else ("fr", "b") if i < 310 else ("de", "c")
+        rows.append((i, " ".join(words), lang, source))
+    got = {r.doc_id: r for r in judge_quality(documents_frame(spark, rows).repartition(5)).collect()}
+    point = {r[0]: plain_axes(r[1]) for r in rows}
+    for group, pool in ((range(140), range(140)), (range(140, 200), range(140, 200)), (range(200, 310), range(200, 310)), (range(310, 330), range(330))):
+        found = plain_distances([point[i] for i in group], [point[i] for i in pool])
+        assert [got[i].distance for i in group] == pytest.approx(found, rel=1e-6)
+        assert [got[i].kept for i in group] == [not brute_failed(rows[i][1]) and d <= CUTOFF for i, d in zip(group, found)]
+
+
+def test_the_least_determinant_is_near_the_least_of_all_subsets(spark):
+    """Two clusters of different size: twelve of sixteen points, tried in all ways."""
+    rng = random.Random(38)
+    points = [[rng.gauss(0, 1) * f * 3 + (9 * f if i < 4 else 0) for f in outliers.FLOORS] for i in range(16)]
+    frame = spark.createDataFrame([("g", 0, *p) for p in points], f"_group string, _part long, {', '.join(a + ' double' for a in outliers.AXES)}")
+    found = outliers.estimates(frame).first()
+    floors = np.diag(np.square(outliers.FLOORS))
+    subsets = [np.array(x) for x in itertools.combinations(points, 12)]
+    least = min(np.linalg.det(np.cov(x.T, bias=True) * 1.41 + floors) for x in subsets)
+    assert found._determinant == pytest.approx(plain_estimate(points)[2], rel=1e-6)
+    assert found._determinant < 1.05 * least
+
+
 def test_outliers_go_and_ordinary_rows_stay(spark):
     random.seed(8)
     rows = []
@@ -150,10 +240,8 @@ def test_outliers_go_and_ordinary_rows_stay(spark):
     got = {r.doc_id: r for r in judge_quality(documents_frame(spark, rows)).collect()}
     assert all(got[i].kept == bool(i % 20) for i in range(400))
     again = {r.doc_id: r.distance for r in judge_quality(documents_frame(spark, rows).repartition(7)).collect()}
-    # Ten rows of one source are too few for an estimate.
-    assert all((got[i].distance is None) == (i % 40 == 5) for i in range(400))
-    known = [i for i in range(400) if got[i].distance is not None]
-    assert all(abs(again[i] - got[i].distance) < 1e-6 * (1 + got[i].distance) for i in known)
+    # Ten rows of one source are too few for an estimate of their own.
+    assert all(abs(again[i] - got[i].distance) < 1e-6 * (1 + got[i].distance) for i in range(400))
 
 
 def test_moderate_junk_goes_and_a_repeated_line_stays(spark):
