@@ -136,14 +136,19 @@ def axes() -> dict[str, Column]:
     }
 
 
-def with_group(rows: DataFrame, keys: list[str], least: int = LEAST_ROWS) -> DataFrame:
+def _own_group(keys: list[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
+
+
+def with_group(rows: DataFrame, source: DataFrame, keys: list[str], least: int = LEAST_ROWS) -> DataFrame:
     """Add ``_group`` and its number of rows ``_size``, and that of the table, ``_all``.
 
-    The group is all keys, the first key for groups of under ``least`` rows together, or, where even that pool is
+    Rows are counted in ``source``, which has the same keys, so that no statistics are made for it. The group is all keys, the first key for groups of under ``least`` rows together, or, where even that pool is
     smaller, the whole table.
     """
-    named = rows.withColumn("_own", F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}))
-    sizes = named.groupBy("_own", F.col(keys[0]).alias("_first")).agg(F.count("*").alias("_n"), F.lit(1).alias("_one"))
+    sizes = source.groupBy(_own_group(keys).alias("_own"), F.col(keys[0]).alias("_first")).agg(
+        F.count("*").alias("_n"), F.lit(1).alias("_one")
+    )
     small = sizes.filter(F.col("_n") < least).groupBy("_first").agg(F.sum("_n").alias("_pool"))
     whole = sizes.agg(F.sum("_n").alias("_all"), F.lit(1).alias("_one"))
     own, pooled = F.col("_n") >= least, F.col("_pool") >= least
@@ -156,6 +161,7 @@ def with_group(rows: DataFrame, keys: list[str], least: int = LEAST_ROWS) -> Dat
         F.when(own, F.col("_n")).when(pooled, F.col("_pool")).otherwise(F.col("_all")).alias("_size"),
         "_all",
     )
+    named = rows.withColumn("_own", _own_group(keys))
     return named.join(chosen, F.col("_own") == F.col("_known"), "left").drop("_own", "_known")
 
 
@@ -272,7 +278,8 @@ def judge_quality(
     tiny table. Null and empty texts have 0 words and fail the base rule. Equal rows get equal results; nothing is
     merged.
     """
-    rows = with_group(with_statistics(documents, [doc_id, *keys], text).withColumns(axes()), list(keys))
+    rows = with_statistics(documents, [doc_id, *keys], text).withColumns(axes())
+    rows = with_group(rows, documents.select(*keys), list(keys))
     rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "statistics")
     # Every row also counts in the group of all rows.
     homes = F.array_distinct(F.array(F.struct("_group", "_size"), F.struct(F.lit(EVERY).alias("_group"), F.col("_all").alias("_size"))))
