@@ -50,7 +50,8 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     for begin, end in zip(words.first[:-1], words.first[1:]):
         own = hashes[begin:end]
         if len(own):
-            sets.append(np.unique(window_hashes(own, min(size, len(own)))))
+            found = np.sort(window_hashes(own, min(size, len(own))))
+            sets.append(found[np.append(True, found[1:] != found[:-1])])
         else:
             sets.append(own)
     return sets
@@ -71,15 +72,16 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def packed_bits(least: np.ndarray) -> np.ndarray:
-    """The low bits of the minima in 64-bit words."""
-    low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(PARTS, -1)
-    return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
+    """The low bits of the minima in 64-bit words; the minima are the last axis."""
+    low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(*least.shape[:-1], PARTS, -1)
+    return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=-1, dtype=np.uint64)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    """A hash of each band's minima and its number."""
-    rows = np.concatenate([least.astype(np.uint64).reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)[:, None]], axis=1)
-    return np.concatenate([window_hashes(r, ROWS + 1) for r in rows])
+    """A hash of each band's minima and its number, for one row of minima per set."""
+    rows = least.astype(np.uint64).reshape(len(least), BANDS, ROWS)
+    number = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[:, None], (len(least), BANDS, 1))
+    return window_hashes(np.moveaxis(np.concatenate([rows, number], axis=-1), -1, 0), ROWS + 1)[0]
 
 
 def sketches(documents: DataFrame, shingle: int) -> DataFrame:
@@ -89,16 +91,21 @@ def sketches(documents: DataFrame, shingle: int) -> DataFrame:
     def sketch(batches):
         for rows, texts in text_chunks(batches):
             sets = shingle_sets(texts, shingle)
-            least = [minima(s) if len(s) else None for s in sets]
-            bits = [packed_bits(m).view(np.int64) if m is not None else None for m in least]
+            none = np.array([len(s) == 0 for s in sets], dtype=bool)
+            least = np.stack([minima(s) for s in sets])
+            keys, bits = band_keys(least).view(np.int64), packed_bits(least).view(np.int64)
+            bands = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32(), mask=np.append(none, False)),
+                pa.array(keys.ravel()),
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
                     rows.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([None if m is None else band_keys(m).view(np.int64) for m in least], pa.list_(pa.int64())),
-                    *[pa.array([None if b is None else int(b[i]) for b in bits], pa.int64()) for i in range(PARTS)],
+                    bands,
+                    *[pa.array(bits[:, i], mask=none) for i in range(PARTS)],
                 ],
                 names=["doc_id", "text_hash", "n_shingles", "node", "bands", *SIGNATURE],
             )
@@ -243,7 +250,8 @@ def _star(active: DataFrame, turn: int, percent: int) -> DataFrame:
 def _rest(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links between different components that still share a bucket.
 
-    First the rows that have a likely partner at all are kept, then those meet with their full sets.
+    First the rows that have a likely partner at all are kept, then those meet with their full sets. A pair meets in
+    every bucket that it shares, often in many; the full sets are compared in one of them.
     """
     names = ["node", "root", "n", *SIGNATURE]
     several = active.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
@@ -259,16 +267,24 @@ def _rest(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         & _likely("m_", "l_", percent)
     )
     kept = side(still, "m_").join(side(still, "l_"), likely, "left_semi")
-    kept = kept.select(*[F.col(f"m_{c}").alias(c) for c in ("bucket", *names)]).join(sets, "node")
-    kept = materialize(kept, "likely")
+    kept = kept.select(*[F.col(f"m_{c}").alias(c) for c in ("bucket", *names)])
+    # A likely pair keeps its rows in all the buckets that it shares, so both see the same ones.
+    buckets = still.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    kept = materialize(kept.join(buckets, "node").join(sets, "node"), "likely")
     both = F.size(F.array_intersect("m_shingles", "l_shingles"))
     linked = both * 100 >= (F.col("m_n") + F.col("l_n") - both) * percent
-    pairs = side(kept, "m_", "shingles").join(
-        side(kept, "l_", "shingles"), (F.col("m_node") < F.col("l_node")) & likely & linked
+    pairs = side(kept, "m_", "buckets", "shingles").join(
+        side(kept, "l_", "buckets", "shingles"),
+        (F.col("m_node") < F.col("l_node")) & likely & _meet_here("m_", "l_") & linked,
     )
     return pairs.select(F.col("m_node").alias("a"), F.col("l_node").alias("b")).distinct()
 
 
+def _meet_here(a: str, b: str) -> Column:
+    """Whether this is the one among a pair's common buckets in which its full sets are compared."""
+    return F.col(f"{a}bucket") == F.array_min(F.array_intersect(f"{a}buckets", f"{b}buckets"))
+
+
 def drop_near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id.
 

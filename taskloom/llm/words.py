@@ -100,11 +100,11 @@ def mix(value: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` word hashes, one for each start."""
+    """Hash of each run of ``size`` word hashes along the first axis, one for each start."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    value = np.zeros(n, dtype=np.uint64)
+    value = np.zeros((n, *words.shape[1:]), dtype=np.uint64)
     for k in range(size):
         value *= np.uint64(0x9E3779B97F4A7C15)
         value += words[k : k + n]

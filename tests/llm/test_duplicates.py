@@ -2,9 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from taskloom.llm.graph import components
-from taskloom.llm.near_duplicates import drop_near_duplicates, link_documents, minima, packed_bits, shingle_sets
+from taskloom.llm.near_duplicates import _meet_here, band_keys, drop_near_duplicates, link_documents, minima, packed_bits, shingle_sets
 from taskloom.llm.phrase_dedup import PassageAutomaton, remove_repeated_passages
+from taskloom.llm.words import window_hashes
 
 from .conftest import EDGES, documents_frame
 
@@ -67,6 +69,29 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert [got[d] for d, _ in rows] == brute_components(rows, 4, 80)
 
 
+def test_full_sets_of_a_pair_meet_in_one_bucket(spark):
+    random.seed(6)
+    held = {n: random.sample(range(-20, 20), random.randint(1, 12)) for n in range(12)}
+    rows = spark.createDataFrame([(n, b, bs) for n, bs in held.items() for b in bs], "node long, bucket long, buckets array<long>")
+    left, right = ([rows[c].alias(f"{side}{c}") for c in rows.columns] for side in ("m_", "l_"))
+    pairs = rows.select(*left).join(rows.select(*right), (F.col("m_bucket") == F.col("l_bucket")) & (F.col("m_node") < F.col("l_node")))
+    shared = {(a, b) for a in held for b in held if a < b and set(held[a]) & set(held[b])}
+    assert pairs.count() > len(shared)
+    got = pairs.filter(_meet_here("m_", "l_")).select("m_node", "l_node").collect()
+    assert sorted(map(tuple, got)) == sorted(shared)
+
+
+def test_band_keys_of_many_sets_at_once():
+    random.seed(7)
+    texts = [" ".join(random.choices("abcdefgh", k=random.randint(1, 50))).encode() for _ in range(20)]
+    least = np.stack([minima(s) for s in shingle_sets([*texts, b""], 2)])
+    keys, bits = band_keys(least), packed_bits(least)
+    assert keys.shape == (21, 32) and bits.shape == (21, 8)
+    for m, k, b in zip(least, keys, bits):
+        assert [int(window_hashes(np.append(m[4 * i : 4 * i + 4], i).astype(np.uint64), 5)[0]) for i in range(32)] == k.tolist()
+        assert packed_bits(m).tolist() == b.tolist()
+
+
 def test_estimate_is_corrected_for_chance():
     random.seed(2)
     for share in (0.0, 0.5, 0.8, 1.0):
