@@ -92,8 +92,21 @@ def pack_documents(
         words = Remembered(lambda w: splitter.word(w, pieces_of), HELD_WORDS)
         task, sequences = TaskContext.get().partitionId(), 0
 
-        def encoded(text: bytes) -> bytes:
-            return b"".join(words.of(text.split())) + end
+        def encoded(texts: list[bytes]) -> list[bytes]:
+            special = [splitter.has_special(t) for t in texts]
+            units, first = splitter.units([b"" if s else t for t, s in zip(texts, special)])
+            pieces = words.of(units.dictionary.to_pylist())
+            size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+            begin = np.cumsum(size) - size
+            unit = units.indices.to_numpy()
+            after = np.concatenate(([0], np.cumsum(size[unit])))
+            at = np.repeat(begin[unit] - after[:-1], size[unit]) + np.arange(after[-1])
+            found = np.frombuffer(b"".join(pieces), dtype="<u4")[at]
+            edge = after[first]
+            return [
+                (b"".join(words.of(t.split())) if s else found[x:y].tobytes()) + end
+                for t, s, x, y in zip(texts, special, edge[:-1], edge[1:])
+            ]
 
         def packed(ids, held):
             nonlocal sequences
@@ -123,8 +136,7 @@ def pack_documents(
         ids, held, total, ids_type = [], [], 0, None
         for rows, texts in text_chunks(batches):
             ids_type = rows.column("doc_id").type
-            for i, t in zip(rows.column("doc_id").to_pylist(), texts):
-                one = encoded(t)
+            for i, one in zip(rows.column("doc_id").to_pylist(), encoded(texts)):
                 ids.append(i)
                 held.append(one)
                 total += len(one) // 4

@@ -13,6 +13,11 @@ import re
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
+from .words import Words
+
 # The rule set that the fast path stands for.
 _RULES = (
     ["NFC", "Replace", "Lowercase"],
@@ -28,6 +33,17 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Kinds of bytes: 0 letter, 1 digit, 2 any other of ASCII, 3 outside ASCII or an apostrophe, whose rules need the whole word.
+_KIND = np.full(256, 2, dtype=np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 0
+_KIND[48:58] = 1
+_KIND[128:] = _KIND[39] = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# The characters that stand for bytes without a sign of their own in byte-level vocabularies.
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
 class Remembered(dict):
     """Values of a function by key; when there are too many, those not asked for since the last time are forgotten."""
 
@@ -58,6 +74,7 @@ class PreTokens:
         rules = json.loads(self.library.to_str())
         special = [t["content"] for t in rules["added_tokens"]]
         self.special_ids = {t["content"]: t["id"] for t in rules["added_tokens"]}
+        self.special_bytes = [x.encode() for x in special]
         plain = all(
             not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])
             for t in rules["added_tokens"]
@@ -71,6 +88,7 @@ class PreTokens:
             and len(splits) == 2
             and splits[0].get("pattern", {}).get("Regex") == _RULES[1]
             and splits[1]["type"] == "ByteLevel"
+            and not (splits[1]["add_prefix_space"] or splits[1]["use_regex"])
             and rules.get("post_processor") is None
         )
         self.letters_are_one = not any(x.isalpha() for x in special)
@@ -100,6 +118,31 @@ class PreTokens:
                 out.extend(self.find(self._normal(part)))
         return out
 
+    def has_special(self, text: bytes) -> bool:
+        return any(x in text for x in self.special_bytes)
+
+    def units(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Units of texts without special strings, and the number of each text's first one (and the end).
+
+        A unit is a pre-token of a word in ASCII, its letters lower-cased, or a word as it is that
+        has other characters or an apostrophe.
+        """
+        words = Words(texts)
+        size = words.end - words.start
+        first = np.concatenate(([0], np.cumsum(size)))
+        body = words.body()
+        kind = _KIND[body]
+        odd = np.logical_or.reduceat(kind == 3, first[:-1]) if len(size) else np.zeros(0, dtype=bool)
+        whole = np.repeat(odd, size)
+        cut = np.ones(len(body), dtype=bool)
+        cut[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 1)) & ~whole[1:]
+        cut[first[:-1]] = True
+        body = np.where(whole, body, _LOWER[body])
+        starts = np.append(np.flatnonzero(cut), len(body))
+        buffers = [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(body)]
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, buffers)
+        return units.dictionary_encode(), np.searchsorted(starts, first[words.first])
+
     def word(self, word: bytes, pieces: Remembered) -> bytes:
         """Packed ids of what stands between white space; ``pieces`` has those of pre-tokens."""
         if self.letters_are_one and word.isalpha():
@@ -110,6 +153,6 @@ class PreTokens:
         """The pieces of one pre-token."""
         if pretoken in self.special_ids:
             return [self.special_ids[pretoken]]
-        if pretoken.isascii() and pretoken.isprintable():
-            return [t.id for t in self.library.model.tokenize(pretoken)]
-        return self.library.encode(pretoken, add_special_tokens=False).ids
+        if not (pretoken.isascii() and pretoken.isprintable()):
+            pretoken = pretoken.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return [t.id for t in self.library.model.tokenize(pretoken)]

@@ -71,6 +71,11 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
+    def body(self) -> np.ndarray:
+        """The bytes of all words, without what stands between them."""
+        text = self.buffer[:-8]
+        return text[~_SPACE[text]]
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         length = self.end - self.start

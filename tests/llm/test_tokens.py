@@ -116,3 +116,26 @@ def test_frequent_pretokens_beyond_the_old_bin(spark):
         assert len(sent) <= limit and len(sent) >= min(limit * 0.8, 1001)
         assert set(sent) >= {f"p{i}" for i in range(1000 - int(len(sent) * 0.9), 1000)} and "x" * 100 not in sent
     assert _frequent(frame.limit(0), 10) == {}
+
+
+def test_units_of_many_texts_equal_library(library):
+    splitter = PreTokens(PATH)
+    random.seed(8)
+    letters = list("abHZ '\"s.t!é̱́ßΣσςİK1²½ \n\t 日<|>_#\x1c\x00")
+    texts = ["", " \n", *("".join(random.choices(letters, k=random.randint(0, 40))) for _ in range(2000)), ""]
+    units, first = splitter.units([t.encode() for t in texts])
+    words = units.to_pylist()
+    assert len(first) == len(texts) + 1 and len(set(words)) == len(units.dictionary)
+    for text, x, y in zip(texts, first[:-1], first[1:]):
+        found = [i for w in words[x:y] for p in splitter.split(w.decode()) for i in splitter.ids(p)]
+        assert found == ids(library, text), text
+    assert len(splitter.units([b"", b" "])[0]) == 0
+
+
+def test_packed_ids_equal_library(spark, library):
+    texts = [*TRICKY, "", None, "İ̱ H̱ K, K. k k's K12", " ".join(f"Word{i}, it's <|endoftext|>" for i in range(2000))]
+    held = defaultdict(dict)
+    for r in pack_documents(documents_frame(spark, list(enumerate(texts))).coalesce(1), PATH, 2).collect():
+        held[r.doc_id][r.start] = np.frombuffer(r.ids, dtype="<u4").tolist()
+    for i, text in enumerate(texts):
+        assert sum((held[i][s] for s in sorted(held[i])), []) == [*ids(library, text), 2], text
