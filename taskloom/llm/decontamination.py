@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, mix, text_chunks, unused
+from ..plans.materialize import materialize
+from .words import SMALL_CHUNK_BYTES, Words, mix, text_chunks, unused
 
 WINDOW = 13
 # Literal words in a typed window of a longer item, and in an item that is one window.
@@ -201,7 +202,7 @@ def _windows(rows: DataFrame, sizes: list[int], own_size: bool, bits=None) -> Da
     def cut(batches):
         canonical, task, number = Canonical(), TaskContext.get().partitionId(), 0
         table = bits.value if bits is not None else None
-        for chunk, texts in text_chunks(batches):
+        for chunk, texts in text_chunks(batches, limit=SMALL_CHUNK_BYTES):
             of, row, start, template, slots = [], [], [], [], []
             words = CanonicalWords(texts, canonical)
             count = np.diff(words.first)
@@ -306,9 +307,13 @@ def find_contamination(
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose text shares no consistent template window with an item; texts decide, not ids."""
-    digest, name = F.md5(F.coalesce(F.col(text), F.lit(""))), unused(documents, "_digest")
+    """The rows whose text shares no consistent template window with an item; texts decide, not ids.
+
+    The digests found are written first, so that their true size decides whether the documents have to be shuffled.
+    """
+    digest, name = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))), unused(documents, "_digest")
     texts = documents.select(digest.alias("digest"), F.col(text).alias("text"))
     items = benchmark.select("item_id", "text")
     leaked = find_contamination(texts, items, doc_key="digest").select(F.col("digest").alias(name)).distinct()
+    leaked = materialize(leaked, "leaked")
     return documents.withColumn(name, digest).join(leaked, name, "left_anti").select(*documents.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import text_chunks
+from .words import SMALL_CHUNK_BYTES, text_chunks
 
 BINS = 1 << 13
 GRAMS = (2, 3, 4)
@@ -191,7 +191,7 @@ def identify_languages(
 
     def apply(batches):
         known = LanguageModel(*shared.value)
-        for rows, texts in text_chunks(batches, text):
+        for rows, texts in text_chunks(batches, text, SMALL_CHUNK_BYTES):
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for at in range(0, len(texts), 256):
                 if not known.languages:

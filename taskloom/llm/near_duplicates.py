@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
 from .graph import components
-from .words import Words, text_chunks, unused, window_hashes
+from .words import SMALL_CHUNK_BYTES, Words, text_chunks, unused, window_hashes
 
 MINIMA, ROWS, BITS = 128, 4, 4
 BANDS = MINIMA // ROWS
@@ -89,7 +89,7 @@ def sketches(documents: DataFrame, shingle: int) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches):
-        for rows, texts in text_chunks(batches):
+        for rows, texts in text_chunks(batches, limit=SMALL_CHUNK_BYTES):
             sets = shingle_sets(texts, shingle)
             none = np.array([len(s) == 0 for s in sets], dtype=bool)
             least = np.stack([minima(s) for s in sets])
@@ -154,7 +154,7 @@ def _candidate_sets(documents: DataFrame, nodes: DataFrame, shingle: int) -> Dat
     """The full sets of some nodes, from the whole text of the document that stands for each."""
 
     def cut(batches):
-        for _, texts in text_chunks(batches):
+        for _, texts in text_chunks(batches, limit=SMALL_CHUNK_BYTES):
             sets = shingle_sets(texts, shingle)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -250,8 +250,8 @@ def _star(active: DataFrame, turn: int, percent: int) -> DataFrame:
 def _rest(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links between different components that still share a bucket.
 
-    First the rows that have a likely partner at all are kept, then those meet with their full sets. A pair meets in
-    every bucket that it shares, often in many; the full sets are compared in one of them.
+    First the rows that have a likely partner at all are kept. A pair meets in every bucket that it shares, often in many;
+    the full sets are compared in one of them, and only the rows of such buckets get their sets.
     """
     names = ["node", "root", "n", *SIGNATURE]
     several = active.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
@@ -267,15 +267,19 @@ def _rest(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         & _likely("m_", "l_", percent)
     )
     kept = side(still, "m_").join(side(still, "l_"), likely, "left_semi")
-    kept = kept.select(*[F.col(f"m_{c}").alias(c) for c in ("bucket", *names)])
+    kept = materialize(kept.select(*[F.col(f"m_{c}").alias(c) for c in ("bucket", *names)]), "partners")
     # A likely pair keeps its rows in all the buckets that it shares, so both see the same ones.
-    buckets = still.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
-    kept = materialize(kept.join(buckets, "node").join(sets, "node"), "likely")
+    buckets = kept.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    kept = kept.join(buckets, "node")
+    here = likely & _meet_here("m_", "l_")
+    kept = side(kept, "m_", "buckets").join(side(kept, "l_", "buckets"), here, "left_semi")
+    kept = kept.select(*[F.col(f"m_{c}").alias(c) for c in ("bucket", *names, "buckets")])
+    kept = materialize(kept.join(sets, "node"), "likely")
     both = F.size(F.array_intersect("m_shingles", "l_shingles"))
     linked = both * 100 >= (F.col("m_n") + F.col("l_n") - both) * percent
     pairs = side(kept, "m_", "buckets", "shingles").join(
         side(kept, "l_", "buckets", "shingles"),
-        (F.col("m_node") < F.col("l_node")) & likely & _meet_here("m_", "l_") & linked,
+        (F.col("m_node") < F.col("l_node")) & here & linked,
     )
     return pairs.select(F.col("m_node").alias("a"), F.col("l_node").alias("b")).distinct()
 

@@ -10,8 +10,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
+# For work that holds many arrays of numbers for each word.
+SMALL_CHUNK_BYTES = 1 << 20
 LONG_WORD = 128
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -22,18 +25,17 @@ _KEEP = np.array([0] + [2 ** (8 * k) - 1 for k in range(1, 9)], dtype=np.uint64)
 def text_chunks(batches, column: str = "text", limit: int = CHUNK_BYTES):
     """Slices of record batches with at most ``limit`` bytes of text, or one longer text.
 
-    Yields the slice and its texts as bytes; a null text is an empty one.
+    Yields the slice and its texts as bytes; a null text is an empty one. Only a slice's texts are copied, not the batch's.
     """
     for batch in batches:
-        texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
-        start, size = 0, 0
-        for i, t in enumerate(texts):
-            if i > start and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        data = batch.column(column).cast(pa.binary())
+        end = np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy())
+        start, before = 0, 0
+        while start < len(end):
+            stop = max(start + 1, int(np.searchsorted(end, before + limit, side="right")))
+            size = stop - start
+            yield batch.slice(start, size), [t or b"" for t in data.slice(start, size).to_pylist()]
+            start, before = stop, int(end[stop - 1])
 
 
 def unused(frame, name: str) -> str:

@@ -1,12 +1,15 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from taskloom.llm import near_duplicates
 from taskloom.llm.graph import components
 from taskloom.llm.near_duplicates import _meet_here, band_keys, drop_near_duplicates, link_documents, minima, packed_bits, shingle_sets
 from taskloom.llm.phrase_dedup import PassageAutomaton, remove_repeated_passages
-from taskloom.llm.words import window_hashes
+from taskloom.llm.words import text_chunks, window_hashes
 
 from .conftest import EDGES, documents_frame
 
@@ -190,3 +193,37 @@ def test_large_ids_beside_a_null_id(spark):
     }
     got = {r.doc_id: r.n_removed for r in remove_repeated_passages(rows.filter("doc_id > 0 OR doc_id IS NULL")).collect()}
     assert got == {2**60 + 1: 0, 2**60 + 2: 20, None: 0}
+
+
+def test_full_sets_only_where_a_pair_is_compared(spark, monkeypatch):
+    written = {}
+
+    def spy(df, name="stage"):
+        written[name] = near_duplicates_materialize(df, name)
+        return written[name]
+
+    near_duplicates_materialize = near_duplicates.materialize
+    monkeypatch.setattr(near_duplicates, "materialize", spy)
+    words = [f"w{i}" for i in range(400)]
+    other = words[:170] + [f"v{i}" for i in range(60)] + words[230:]
+    got = link_documents(documents_frame(spark, [(1, " ".join(words)), (2, " ".join(other))]), 4, 80).collect()
+    assert {r.component_id for r in got} == {1, 2}
+    # Alike enough to be compared, and together in several buckets.
+    assert written["partners"].count() > 2
+    assert written["likely"].count() == 2
+
+
+def test_only_the_texts_of_a_chunk_are_copied():
+    texts = [None, "", "x" * 5000, *["y" * 1000] * 4000, "z", None]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    for limit in (1, 1500, 65_536):
+        chunks = list(text_chunks([batch, batch.slice(0, 0), batch.slice(3, 9)], limit=limit))
+        assert [t for _, some in chunks for t in some] == [(t or "").encode() for t in texts + texts[3:12]]
+        assert all(len(rows) == len(some) for rows, some in chunks)
+        assert all(len(some) == 1 or sum(map(len, some)) <= limit for _, some in chunks)
+    tracemalloc.start()
+    for _ in text_chunks([batch], limit=65_536):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000
