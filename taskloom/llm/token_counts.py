@@ -40,8 +40,9 @@ def pretoken_frequencies(documents: DataFrame, path: str, text: str = "text") ->
                 for p in splitter.split(word.decode()):
                     found[p] += n
             held.clear()
+            # Types are stated: what comes after the last flush may be empty and must have the same ones.
             return pa.RecordBatch.from_pydict(
-                {"pretoken": list(found.keys()), "n": pa.array(found.values(), pa.int64())}
+                {"pretoken": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())}
             )
 
         for _, texts in text_chunks(batches, text):

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from taskloom.llm import token_counts
 from taskloom.llm.packing import pack, pack_documents, sequence_lengths
 from taskloom.llm.pretokens import PreTokens, vocabulary_path
 from taskloom.llm.token_counts import _frequent, count_tokens
@@ -50,6 +51,14 @@ def test_counts_on_edges(spark, edges, empty, library):
     assert count_tokens(empty, PATH).collect() == []
 
 
+def test_nothing_left_after_the_last_flush(spark, library, monkeypatch):
+    """More distinct words than a task holds, flushed by its very last texts."""
+    monkeypatch.setattr(token_counts, "HELD", 5)
+    texts = ["one two three four five six seven", "seven eight nine ten eleven twelve"]
+    rows = count_tokens(documents_frame(spark, list(enumerate(texts))).coalesce(1), PATH).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(ids(library, t)) for i, t in enumerate(texts)}
+
+
 def test_counts_do_not_depend_on_the_frequent_table(spark, library):
     frame = documents_frame(spark, list(enumerate(TRICKY * 3)))
     for frequent in (0, 5, 1000):
