@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from ..operators.clusters import describe_sessions
 from ..operators.label import label_raw_events, spread_over_slices, with_nearby_context
 from ..operators.normalize import normalize_events
-from ..operators.sessions import assign_sessions, roll_up_sessions
+from ..operators.sessions import SLICE, assign_sessions, roll_up_sessions
 from ..options import AnalyzeOptions
-from ..plans.activity import raw_events
-from ..plans.materialize import materialize
+from ..plans.activity import raw_events, table
+from ..plans.materialize import materialize, partitions
 from ..plans.session import configure
 
 # The supplied events are sparse: every duration is stretched by this factor.
 STRETCH = 240
 OPTIONS = AnalyzeOptions().stretched(STRETCH)
+BUCKET_ROWS = 250_000
 
 _known: dict = {}
 
@@ -28,10 +29,18 @@ def forget() -> None:
     _known.clear()
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def _once(spark: SparkSession, sf_dir: str, name: str, build, by=None) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _known:
-        _known[key] = materialize(build(), name)
+        _known[key] = materialize(build(), name, by, by and _tasks(spark, sf_dir))
+    return _known[key]
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets of events: enough for a task to sort its whole rows in memory."""
+    key = (spark.sparkContext.applicationId, sf_dir, "tasks")
+    if key not in _known:
+        _known[key] = max(partitions(spark), -(-table(spark, sf_dir, "events").count() // BUCKET_ROWS))
     return _known[key]
 
 
@@ -54,7 +63,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         "labelled",
-        lambda: label_raw_events(raw(spark, sf_dir), OPTIONS.labels, OPTIONS.urls),
+        lambda: label_raw_events(raw(spark, sf_dir), OPTIONS.labels, OPTIONS.urls, _tasks(spark, sf_dir)),
+        SLICE,
     )
 
 
@@ -63,7 +73,8 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         "assigned",
-        lambda: assign_sessions(labelled(spark, sf_dir), OPTIONS.sessions),
+        lambda: assign_sessions(labelled(spark, sf_dir), OPTIONS.sessions, tasks=_tasks(spark, sf_dir)),
+        SLICE,
     )
 
 

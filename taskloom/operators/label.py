@@ -17,11 +17,14 @@ from .normalize import normalize_events
 CONTEXT_FIELDS = ["target", "page_type", "resource_hint"]
 
 
-def spread_over_slices(events: DataFrame, options: LabelOptions = LabelOptions()) -> DataFrame:
+def spread_over_slices(
+    events: DataFrame, options: LabelOptions = LabelOptions(), tasks: int | None = None
+) -> DataFrame:
     """Cut streams into time slices, so one busy stream spreads over many tasks.
 
     Rows near an edge are copied into the neighbouring slice; the copies only lend
     context. Raw rows are narrower than normalised ones, so this is best done first.
+    ``tasks`` states the number of tasks; else adaptive execution finds one.
     """
     reach = options.nearby_ms
     slice_ms = max(options.slice_ms, reach)
@@ -37,7 +40,7 @@ def spread_over_slices(events: DataFrame, options: LabelOptions = LabelOptions()
     return (
         events.withColumn("_home", home_slice(slice_ms))
         .withColumn("slice", F.explode(slices))
-        .repartition("stream_id", "slice")
+        .repartition(*([] if tasks is None else [tasks]), "stream_id", "slice")
     )
 
 
@@ -313,10 +316,13 @@ def label_in_context(events: DataFrame, packs=ACTION_PACKS) -> DataFrame:
 
 
 def label_raw_events(
-    raw: DataFrame, options: LabelOptions = LabelOptions(), urls: UrlOptions = UrlOptions()
+    raw: DataFrame,
+    options: LabelOptions = LabelOptions(),
+    urls: UrlOptions = UrlOptions(),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Raw events -> labelled events over one shuffle of the raw rows."""
-    return label_events(normalize_events(spread_over_slices(raw, options), urls), options)
+    return label_events(normalize_events(spread_over_slices(raw, options, tasks), urls), options)
 
 
 def label_events(
