@@ -293,9 +293,8 @@ def g2(spark, sf_dir):
     )
 
 
-def _neighbours(spark, sf_dir):
-    """Every session beside the one before it in its stream."""
-    facts = ["tokens", "actions", "action_set", "contexts", "start_minute"]
+def _neighbours(spark, sf_dir, *facts):
+    """The given facts of every session beside those of the one before it in its stream."""
     d = I.described(spark, sf_dir).select(
         "stream_id", "session_seq", c("session_id").alias("id"), c("start_ts").alias("ts"),
         c("start_time").alias("ts_text"), c("start_order")["seq"].alias("seq"), *facts,
@@ -329,41 +328,42 @@ pr4 AS (SELECT *, lcs / greatest(len(t), len(lt)) * 0.75 + ({_jac('lg', 'g')}) *
 
 @query("g3_lcs_length", Q.upto("described", "SELECT stream_id, session_seq, lcs::INT AS lcs FROM pr2", _PAIRS))
 def g3(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("stream_id", "session_seq", lcs_of("left_tokens", "tokens").alias("lcs"))
+    return _neighbours(spark, sf_dir, "tokens").select("stream_id", "session_seq", lcs_of("left_tokens", "tokens").alias("lcs"))
 
 
 @query("g4_ngrams", Q.upto("described", "SELECT stream_id, session_seq, array_to_string(g, ' ') AS grams FROM pr3", _PAIRS))
 def g4(spark, sf_dir):
     size = F.least(F.lit(2), F.greatest(F.lit(1), F.least(F.size("tokens"), F.size("left_tokens"))))
-    return _neighbours(spark, sf_dir).select(
+    return _neighbours(spark, sf_dir, "tokens").select(
         "stream_id", "session_seq", F.array_join(ngrams(c("tokens"), size), " ").alias("grams")
     )
 
 
 @query("g5_jaccard", Q.upto("described", "SELECT stream_id, session_seq, action_set AS score FROM pr4", _PAIRS))
 def g5(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select(
+    return _neighbours(spark, sf_dir, "action_set").select(
         "stream_id", "session_seq", jaccard(c("left_action_set"), c("action_set")).alias("score")
     )
 
 
 @query("g6_sequence_similarity", Q.upto("described", "SELECT stream_id, session_seq, round(sequence, 9) AS score FROM pr4", _PAIRS))
 def g6(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select(
+    return _neighbours(spark, sf_dir, "tokens").select(
         "stream_id", "session_seq", F.round(sequence_similarity("left_tokens", "tokens"), 9).alias("score")
     )
 
 
 @query("g7_time_of_day", Q.upto("described", "SELECT stream_id, session_seq, round(time_of_day, 9) AS score FROM pr4", _PAIRS))
 def g7(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select(
+    return _neighbours(spark, sf_dir, "start_minute").select(
         "stream_id", "session_seq", F.round(time_of_day_similarity(c("left_start_minute"), c("start_minute")), 9).alias("score")
     )
 
 
 def _composite(spark, sf_dir, weights, strategy="hybrid_v2"):
     parts = similarity_parts("left_", "", strategy)
-    rows = _neighbours(spark, sf_dir).select("stream_id", "session_seq", *[v.alias(k) for k, v in parts.items()])
+    facts = ["tokens", "action_set", "contexts", "start_minute"]
+    rows = _neighbours(spark, sf_dir, *facts).select("stream_id", "session_seq", *[v.alias(k) for k, v in parts.items()])
     total = composite({k: c(k) for k in parts}, weights, strategy)
     return rows.select("stream_id", "session_seq", F.round(total, 9).alias("score"))
 
