@@ -989,7 +989,7 @@ def l3(spark, sf_dir):
 )
 def l4(spark, sf_dir):
     """Every seventh event comes a batch late, most of them behind the watermark; the sessions are those of all events."""
-    known = I.labelled(spark, sf_dir)
+    known = I.labelled(spark, sf_dir).drop("raw_event_id", "raw")  # no session depends on them
     base = f"{scratch_dir(spark)}/late-{uuid.uuid4().hex}"
     late = (c("seq") % 7 == 3) & (c("ts") < known.agg(F.max("ts")).first()[0] - timedelta(hours=1))
     known.filter(~late).write.parquet(f"{base}/arriving")
